@@ -9,6 +9,8 @@ unique path, has no group that could become hot, and runs as it is on a stream.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,13 +29,15 @@ from ..operators.similarity import PATTERN_THRESHOLD, semantic_patterns, text_hi
 
 # Sorts behind every rule; marks a line that the similarity lane wants although no rule hit it.
 _NO_RULE = 2**31 - 1
+_LINE_COLUMNS = ("file", "line", "findings", "line_score", "window")
 
 
-def _scan_rows(files, catalogue, path, content, every_line: bool, window: bool) -> DataFrame:
-    """``(file, present, line, hits, text, window)``: one row per line of interest."""
-    text = F.col("content")
+def _scan_rows(files, catalogue, path, content, keep, every_line: bool,
+               window: bool) -> DataFrame:
+    """``(*keep, file, present, line, hits, text, window)``: one row per line of interest."""
+    text = F.col("_content")
     rows = files.where(F.col(content).isNotNull()).select(
-        F.col(path).alias("file"), F.col(content).alias("content"),
+        *keep, F.col(path).alias("file"), F.col(content).alias("_content"),
         folded(F.col(content)).alias("lowered"))
     if every_line:
         rows = rows.withColumn(
@@ -64,8 +68,8 @@ def _scan_rows(files, catalogue, path, content, every_line: bool, window: bool)
     # The score terms are looked up once per file, ahead of the explode to lines; neither the
     # text nor its lower-case form travels any further.
     return rows.select(
-        "file", "content", "rules", present_terms(F.col("lowered")).alias("present")
-    ).select("file", "present", F.inline(let(lines_of(text), with_lines)))
+        *keep, "file", "_content", "rules", present_terms(F.col("lowered")).alias("present")
+    ).select(*keep, "file", "present", F.inline(let(lines_of(text), with_lines)))
 
 
 def _sources(rules: Column, hits: Column, text: Column, line: Column, lane: str) -> Column:
@@ -90,7 +94,7 @@ def _sources(rules: Column, hits: Column, text: Column, line: Column, lane: str)
 
 def _semantic_sources(similar: Column, text: Column, line: Column) -> Column:
     patterns = F.from_json(
-        F.lit(_json([{"name": p.name, "finding_type": p.finding_type, "severity": p.severity}
+        F.lit(json.dumps([{"name": p.name, "finding_type": p.finding_type, "severity": p.severity}
                      for p in SEMANTIC_PATTERNS])),
         "array<struct<name:string,finding_type:string,severity:string>>")
     return F.transform(similar, lambda s: F.struct(
@@ -102,21 +106,17 @@ def _semantic_sources(similar: Column, text: Column, line: Column) -> Column:
     )).cast(f"array<{SOURCE_TYPE}>")
 
 
-def _json(rows) -> str:
-    import json
-    return json.dumps(rows)
-
-
 def scan_lines(files: DataFrame, catalogue: tuple[Rule, ...] = DEFAULT_CATALOGUE, *,
                embed=None, threshold: float = PATTERN_THRESHOLD, path: str = "path",
-               content: str = "content", window: bool = False) -> DataFrame:
-    """One row per line with findings.
+               content: str = "content", keep: tuple[str, ...] = (),
+               window: bool = False) -> DataFrame:
+    """One row per line with findings, in front of them the ``keep`` columns of its file.
 
     ``findings`` are the deduplicated findings of the line in arrival order, ``line_score``
     is the score of the last of them, and ``window`` the numbered lines around (on request).
     Without ``embed`` the scan is regex-only.
     """
-    rows = _scan_rows(files, catalogue, path, content, embed is not None, window)
+    rows = _scan_rows(files, catalogue, path, content, keep, embed is not None, window)
     rules, hits = rule_array(catalogue), F.col("hits")
     text, line = F.col("text"), F.col("line")
     heuristic = _sources(rules, hits, text, line, HEURISTIC)
@@ -129,12 +129,12 @@ def scan_lines(files: DataFrame, catalogue: tuple[Rule, ...] = DEFAULT_CATALOGUE
         heuristic = let(F.concat(heuristic, _semantic_sources(F.col("similar"), text, line)),
                         dedup_heuristics)
     deterministic = _sources(rules, hits, text, line, RULE)
-    rows = rows.select("file", "line", "present", "window",
+    rows = rows.select(*keep, "file", "line", "present", "window",
                        F.concat(deterministic, heuristic).alias("findings"))
     if embed is not None:
         rows = rows.where(F.size("findings") > 0)
     last = F.element_at("findings", -1)
-    return rows.select("file", "line", "findings",
+    return rows.select(*keep, "file", "line", "findings",
                        risk_score(last.finding_type, F.col("present")).alias("line_score"),
                        "window")
 
@@ -155,9 +155,10 @@ def merged_findings(lines: DataFrame, *, strict: bool = False, analyse: bool = F
     """The findings of a scan: one row per (file, line, type).
 
     The score of a line goes to its first finding, and so does the analysis of the last
-    escalated one (``analyse``).  With ``context_filter`` only findings that the context
+    escalated one (``analyse``).  Further columns of ``lines`` are kept.  With ``context_filter`` only findings that the context
     validator accepts are escalated; ``strict`` also drops the others from the result.
     """
+    keep = [c for c in lines.columns if c not in _LINE_COLUMNS]
     real = F.filter("findings", is_real)
     if strict:
         lines = lines.withColumn("findings", real).where(F.size("findings") > 0)
@@ -173,10 +174,10 @@ def merged_findings(lines: DataFrame, *, strict: bool = False, analyse: bool = F
         fix = F.when(F.size("escalated") > 0, answer.fix_suggestion)
     first = F.col("seq") == 0
     return lines.select(
-        "file", "line", "line_score", explanation.alias("explanation"), fix.alias("fix"),
+        *keep, "file", "line", "line_score", explanation.alias("explanation"), fix.alias("fix"),
         F.posexplode(merge_line(F.col("findings"))).alias("seq", "f"),
     ).select(
-        "file", "line", "seq", "f.finding_type", "f.severity", "f.evidence",
+        *keep, "file", "line", "seq", "f.finding_type", "f.severity", "f.evidence",
         F.when(first, F.col("line_score")).otherwise(F.lit(0.0)).alias("risk_score"),
         "f.needs_escalation", F.when(first, F.col("explanation")).alias("explanation"),
         F.when(first, F.col("fix")).alias("fix_suggestion"), "f.source_details")
@@ -184,10 +185,11 @@ def merged_findings(lines: DataFrame, *, strict: bool = False, analyse: bool = F
 
 def scan(files: DataFrame, catalogue: tuple[Rule, ...] = DEFAULT_CATALOGUE, *, embed=None,
          strict: bool = False, analyse: bool = False, context_filter: bool = False,
-         path: str = "path", content: str = "content") -> DataFrame:
+         path: str = "path", content: str = "content",
+         keep: tuple[str, ...] = ()) -> DataFrame:
     """Findings of a table of files.  Order it with ``operators.report.report_order``."""
     return merged_findings(
-        scan_lines(files, catalogue, embed=embed, path=path, content=content),
+        scan_lines(files, catalogue, embed=embed, path=path, content=content, keep=keep),
         strict=strict, analyse=analyse, context_filter=context_filter)
 
 
