@@ -74,6 +74,20 @@ def _targets(path: Column, source: Column) -> Column:
         .otherwise(F.array().cast("array<struct<kind:string,target:string>>")))
 
 
+MAX_NAMED_TARGETS = 1000
+
+
+def _only_asked(offered: DataFrame, asked: DataFrame) -> DataFrame:
+    """Without the files that no request asks for, as long as the targets are few enough to
+    be tested within the row.  Otherwise every file is scanned, which gives the same answers.
+    """
+    names = [f"{r.kind}:{r.target}" for r in asked.limit(MAX_NAMED_TARGETS + 1).collect()]
+    if len(names) > MAX_NAMED_TARGETS:
+        return offered
+    own = F.transform("_targets", lambda t: F.concat_ws(":", t.kind, t.target))
+    return offered.where(F.arrays_overlap(own, F.lit(names)) if names else F.lit(False))
+
+
 def answer_requests(requests: DataFrame, files: DataFrame, catalogue=DEFAULT_CATALOGUE,
                     request: str = "request") -> DataFrame:
     """One row per request: its error, or the counts of its report."""
@@ -89,25 +103,22 @@ def answer_requests(requests: DataFrame, files: DataFrame, catalogue=DEFAULT_CAT
     inline_answers = inline.select("request_id").join(inline_counts, "request_id", "left") \
         .withColumn("files_scanned", F.lit(1).cast("long"))
 
-    # Only files that some request asks for are scanned, each of them once.
     lookups = valid.where("content IS NULL").select("request_id", "kind", "target")
-    source = is_source_file(F.col("path"), F.octet_length("content"))
-    asked = (
-        files.select("path", F.explode(_targets(F.col("path"), source)).alias("t"))
-        .select("path", "t.*")
-        .join(lookups.select("kind", "target").distinct(), ["kind", "target"]))
-    targets = asked.groupBy("path").agg(F.collect_set(F.struct("kind", "target")).alias("ts"))
-    per_file = (
-        scan(files.join(targets.select("path"), "path", "left_semi"), catalogue)
-        .groupBy(F.col("file").alias("path"))
-        .agg(F.count("*").alias("total_findings"), *severity_counts()))
+    asked = lookups.select("kind", "target").distinct()
+    size = F.col("size") if "size" in files.columns else F.octet_length("content")
+    offered = files.withColumn("_targets", _targets(
+        F.col("path"), is_source_file(F.col("path"), size)))
     per_target = (
-        targets.join(per_file, "path", "left")
-        .select(F.explode("ts").alias("t"), *_COUNTS)
-        .groupBy("t.kind", "t.target")
-        .agg(*[F.sum(F.coalesce(c, F.lit(0))).alias(c) for c in _COUNTS],
-             F.count("*").alias("files_scanned")))
-    looked_up = lookups.join(per_target, ["kind", "target"], "left")
+        offered.select(F.inline("_targets")).join(asked, ["kind", "target"])
+        .groupBy("kind", "target").agg(F.count("*").alias("files_scanned")))
+    # The scan counts per target; neither texts nor single findings are joined or shuffled.
+    found = (
+        scan(_only_asked(offered, asked), catalogue, keep=("_targets",))
+        .select("severity", F.inline("_targets"))
+        .groupBy("kind", "target")
+        .agg(F.count("*").alias("total_findings"), *severity_counts()))
+    looked_up = (lookups.join(per_target, ["kind", "target"], "left")
+                 .join(found, ["kind", "target"], "left"))
 
     answers = inline_answers.select("request_id", *_COUNTS, "files_scanned").unionByName(
         looked_up.select("request_id", *_COUNTS, "files_scanned"))
