@@ -358,7 +358,7 @@ def oracles() -> dict[str, str]:
                             for t, a in cat.SAFE_ALTERNATIVES.items())
     with_analysis = (f"LEFT JOIN last_escalated a ON a.file = m.file AND a.line = m.line")
     pages = "SELECT url AS path, html AS content FROM pages"
-    turns = "SELECT conv_id || '/' || turn AS path, text AS content FROM conversations"
+    plain = "SELECT CAST(doc_id AS VARCHAR) AS path, text AS content FROM documents"
     scan_report = (
         f"WITH {raw(files=src)}, {kept()}, {escalated()}, {LAST_ESCALATED}, {merged()}\n"
         f"SELECT {REPORT}, {analysed(0)} AS explanation, {analysed(1)} AS fix_suggestion "
@@ -398,7 +398,7 @@ SELECT file, k, pattern AS rule_id, finding_type, evidence, line FROM raw""",
         "web_page_scan": f"""WITH {raw(files=pages)}
 SELECT file, pattern, count(*) AS matches, min(line) AS first_line FROM raw
 GROUP BY file, pattern""",
-        "conversation_scan": report(turns),
+        "document_scan": report(plain),
         "path_filter": f"SELECT path, extension, CAST(strlen(content) AS INTEGER) AS bytes FROM ({src}) s",
         "lenient_decode": """SELECT doc_id, md5(content) AS digest,
        CAST(length(content) AS INTEGER) AS chars
@@ -468,6 +468,20 @@ FROM raw r LEFT JOIN last_score s ON s.file = r.file AND s.line = r.line""",
        substring(evidence, 1, 60) AS evidence, substring(explanation, 1, 100) AS explanation,
        substring(fix_suggestion, 1, 80) AS fix_suggestion
 FROM ({scan_report}) r ORDER BY file, {rank('severity')} DESC, line DESC, seq LIMIT 20""",
+        "json_report": f"""WITH {all_raw}, {kept()}, {merged()},
+details AS (SELECT file, line, finding_type, list({{
+                'lane': lane, 'pattern': pattern, 'finding_type': finding_type,
+                'severity': severity, 'evidence_span': evidence, 'line': line,
+                'confidence': confidence, 'needs_escalation': needs_escalation}}
+                ORDER BY lane_rank, seq) AS d FROM sourced GROUP BY file, line, finding_type)
+SELECT m.file, CAST(to_json({{
+    'finding_type': m.finding_type, 'severity': m.severity, 'evidence_span': m.evidence,
+    'line': m.line, 'file': m.file,
+    'risk_score': CASE WHEN m.seq = 0 THEN round(s.line_score, 2) ELSE CAST(0 AS DOUBLE) END,
+    'needs_escalation': m.needs_escalation, 'llm_explanation': NULL, 'fix_suggestion': NULL,
+    'source_details': d.d}}) AS VARCHAR) AS json
+FROM merged m JOIN scored s ON m.file = s.file AND m.line = s.line
+JOIN details d ON d.file = m.file AND d.line = m.line AND d.finding_type = m.finding_type""",
         "context_validate": f"""WITH {all_raw}, {context_sql('raw')}
 SELECT file, ord, k, finding_type, context > {NEUTRAL} AS is_vulnerable,
        round(abs(context - {NEUTRAL}) * 2, 9) AS confidence,

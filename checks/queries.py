@@ -75,10 +75,11 @@ def web_page_scan(spark, sf_dir):
         F.count("*").alias("matches"), F.min("line").alias("first_line"))
 
 
-def conversation_scan(spark, sf_dir):
-    turns = table(spark, sf_dir, "conversations").select(
-        F.concat_ws("/", "conv_id", "turn").alias("path"), F.col("text").alias("content"))
-    return _sources(scan(turns)).select(*REPORT_COLUMNS)
+def document_scan(spark, sf_dir):
+    """Scan of the documents as they are; few of them hold anything."""
+    documents = table(spark, sf_dir, "documents").select(
+        F.col("doc_id").cast("string").alias("path"), F.col("text").alias("content"))
+    return _sources(scan(documents)).select(*REPORT_COLUMNS)
 
 
 def path_filter(spark, sf_dir):
@@ -408,7 +409,7 @@ def request_batch(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    rule_scan, heuristic_scan, custom_rule_scan, web_page_scan, conversation_scan, path_filter,
+    rule_scan, heuristic_scan, custom_rule_scan, web_page_scan, document_scan, path_filter,
     lenient_decode, eligible_lines, heuristic_dedup, detector_merge, table_merge, risk_scores,
     score_rows, escalation, escalation_lookup, merged_findings, scan_report, filtered_report,
     code_report, report_summary, gate, top_findings, json_report, context_validate,
