@@ -27,7 +27,7 @@ from flawsieve.plans.requests import answer_requests
 from flawsieve.plans.scan import escalations, scan, scan_lines
 from flawsieve.sources.files import changed_files, decoded_files, source_files
 
-from .corpus import corpus, path_of
+from .corpus import corpus, path_of, table
 
 EDITED_CATALOGUE = cat.remove_rule(
     cat.add_rule(cat.DEFAULT_CATALOGUE, {
@@ -38,10 +38,6 @@ REPORT_COLUMNS = ("file", "line", "seq", "finding_type", "severity", "evidence",
                   "needs_escalation", "sources")
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def _source_corpus(spark, sf_dir) -> DataFrame:
     return source_files(corpus(spark, sf_dir))
 
@@ -70,14 +66,14 @@ def custom_rule_scan(spark, sf_dir):
 
 
 def web_page_scan(spark, sf_dir):
-    pages = table(spark, sf_dir, "pages")
+    pages = table(spark, sf_dir, "pages", "page_id")
     return scan_matches(pages, path="url", content="html").groupBy("file", "pattern").agg(
         F.count("*").alias("matches"), F.min("line").alias("first_line"))
 
 
 def document_scan(spark, sf_dir):
     """Scan of the documents as they are; few of them hold anything."""
-    documents = table(spark, sf_dir, "documents").select(
+    documents = table(spark, sf_dir, "documents", "doc_id").select(
         F.col("doc_id").cast("string").alias("path"), F.col("text").alias("content"))
     return _sources(scan(documents)).select(*REPORT_COLUMNS)
 

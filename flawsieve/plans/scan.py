@@ -159,15 +159,14 @@ def merged_findings(lines: DataFrame, *, strict: bool = False, analyse: bool = F
     validator accepts are escalated; ``strict`` also drops the others from the result.
     """
     keep = [c for c in lines.columns if c not in _LINE_COLUMNS]
-    real = F.filter("findings", is_real)
     if strict:
-        lines = lines.withColumn("findings", real).where(F.size("findings") > 0)
-        real = F.col("findings")
+        lines = lines.withColumn("findings", F.filter("findings", is_real)) \
+            .where(F.size("findings") > 0)
     explanation = fix = F.lit(None).cast("string")
     if analyse:
-        candidates = escalated(real if context_filter else F.col("findings"),
-                               F.col("line_score"))
-        lines = lines.withColumn("escalated", candidates)
+        candidates = (F.filter("findings", is_real) if context_filter and not strict
+                      else F.col("findings"))
+        lines = lines.withColumn("escalated", escalated(candidates, F.col("line_score")))
         last = F.try_element_at("escalated", F.lit(-1))
         answer = standard_analysis(last.finding_type)
         explanation = F.when(F.size("escalated") > 0, answer.explanation)

@@ -58,6 +58,14 @@ def source_files(files: DataFrame, *, ignored=IGNORED_NAMES, extensions=EXTENSIO
         max_size=max_size)).withColumn("extension", extension(path))
 
 
+def spread(files: DataFrame, *key: str, partitions: int | None = None) -> DataFrame:
+    """For a *small* table that is stored in fewer pieces than there are cores: scanning costs
+    far more than moving it.  A large table has enough pieces and should stay where it is.
+    """
+    n = partitions or files.sparkSession.sparkContext.defaultParallelism
+    return files.repartition(n, *key)
+
+
 def decoded_files(files: DataFrame, data: str = "data") -> DataFrame:
     """A table with raw bytes, with their text as ``content``."""
     return files.withColumn("content", lenient_utf8(data)).drop(data)
