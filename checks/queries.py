@@ -26,6 +26,7 @@ from flawsieve.plans.detect import detect
 from flawsieve.plans.requests import answer_requests
 from flawsieve.plans.scan import escalations, scan, scan_lines
 from flawsieve.sources.files import changed_files, decoded_files, source_files
+from flawsieve.sources.staging import staged
 
 from .corpus import corpus, path_of, table
 
@@ -107,7 +108,7 @@ def _raw_with_confidence(spark, sf_dir):
 
 
 def heuristic_dedup(spark, sf_dir):
-    return tables.dedup(_raw_with_confidence(spark, sf_dir)).select(
+    return tables.dedup(staged(_raw_with_confidence(spark, sf_dir))).select(
         "file", "line", "finding_type", "pattern", "severity", "evidence",
         F.round("confidence", 6).alias("confidence"))
 
@@ -119,8 +120,8 @@ def detector_merge(spark, sf_dir):
 
 
 def table_merge(spark, sf_dir):
-    raw = scan_matches(corpus(spark, sf_dir)).withColumn(
-        "seq", F.col("ord") * 100000 + F.col("k"))
+    raw = staged(scan_matches(corpus(spark, sf_dir)).withColumn(
+        "seq", F.col("ord") * 100000 + F.col("k")))
     kept = raw.where("lane = 'rule'").unionByName(
         tables.dedup(raw.where("lane = 'heuristic'")), allowMissingColumns=True)
     merged = tables.merge(kept)
@@ -151,8 +152,8 @@ def escalation(spark, sf_dir):
 
 def escalation_lookup(spark, sf_dir):
     """Findings joined with the last score of their line, 0.5 where there is none."""
-    raw = scan_matches(corpus(spark, sf_dir)).withColumn(
-        "seq", F.col("ord") * 100000 + F.col("k"))
+    raw = staged(scan_matches(corpus(spark, sf_dir)).withColumn(
+        "seq", F.col("ord") * 100000 + F.col("k")))
     scores = raw.where("lane = 'rule'").select(
         "file", "line", "seq", (F.length("evidence") / 50.0).alias("score"))
     joined = tables.line_scores_or_default(

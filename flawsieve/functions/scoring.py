@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..catalogue import SCORE_TERMS, SEVERITY_LEVEL, SEVERITY_RANK
+from .text import let
 
 BASE_SCORE = 0.5
 HIGH_SCORE = 0.8
@@ -34,11 +35,10 @@ def risk_score(finding_type: Column, present: Column) -> Column:
     The weights are added in catalogue order, since the order shows in the last digit and
     the digit in the comparison with the thresholds.
     """
-    lowered_type = F.lower(finding_type)
-    weights = F.zip_with(
+    weights = let(F.lower(finding_type), lambda name: F.zip_with(
         score_terms(), present,
-        lambda t, found: F.when(found | F.contains(lowered_type, t.term), t.weight)
-        .otherwise(F.lit(0.0)))
+        lambda t, found: F.when(found | F.contains(name, t.term), t.weight)
+        .otherwise(F.lit(0.0))))
     total = F.aggregate(weights, F.lit(BASE_SCORE), lambda total, w: total + w)
     return F.least(F.greatest(total, F.lit(0.0)), F.lit(1.0))
 

@@ -28,7 +28,8 @@ REGEX_CONFIDENCE = 0.7
 _CASE_EXTRAS = "ıİſ\u212a"
 _CASE_PLAIN = "iisk"
 
-RULE_TYPE = ("struct<ord:int,lane:string,name:string,regex:string,needles:array<string>,"
+RULE_TYPE = ("struct<ord:int,lane:string,name:string,regex:string,guard:string,"
+             "needles:array<string>,"
              "finding_type:string,severity:string,needs_escalation:boolean>")
 
 RAW_COLUMNS = ("lane", "ord", "k", "pattern", "finding_type", "severity", "evidence", "line",
@@ -40,6 +41,7 @@ def rule_array(catalogue: tuple[Rule, ...]) -> Column:
     rows = [
         {"ord": i, "lane": r.lane, "name": r.name,
          "regex": java_pattern(r.linear_pattern or r.pattern, r.lane == HEURISTIC),
+         "guard": r.guard and java_pattern(r.guard, r.lane == HEURISTIC),
          "needles": list(r.needles), "finding_type": r.finding_type,
          "severity": r.severity, "needs_escalation": r.needs_escalation}
         for i, r in enumerate(usable(catalogue), 1)
@@ -62,6 +64,7 @@ def matching_rules(content: Column, lowered: Column, catalogue: tuple[Rule, ...]
         lambda rule: (
             (F.size(rule.needles) == 0)
             | F.exists(rule.needles, lambda needle: F.contains(lowered, needle)))
+        & (rule.guard.isNull() | F.rlike(content, rule.guard))
         & F.rlike(content, rule.regex))
 
 

@@ -21,8 +21,16 @@ def order_columns() -> list[Column]:
             F.asc("seq")]
 
 
-def report_order(findings: DataFrame) -> DataFrame:
-    return findings.orderBy(*order_columns())
+def report_order(findings: DataFrame, by_file: bool = False) -> DataFrame:
+    """The findings in report order within each partition.
+
+    A scan leaves all findings of a file in one partition, so this alone puts every file in
+    order, without a shuffle; which file comes first means nothing in a report.  For findings
+    from elsewhere ``by_file`` brings those of a file together first.  (A global sort would
+    run the whole scan a second time, just to sample the sort keys.)
+    """
+    rows = findings.repartition("file") if by_file else findings
+    return rows.sortWithinPartitions(*order_columns())
 
 
 def severity_counts() -> list[Column]:
@@ -58,7 +66,7 @@ def gate(summary: DataFrame, any_finding: bool = False) -> DataFrame:
 
 def top_findings(findings: DataFrame, n: int = SHOWN_FINDINGS) -> DataFrame:
     """The head of the report, cut to the width of a screen.  Takes a top-n, not a sort."""
-    return report_order(findings).limit(n).select(
+    return findings.orderBy(*order_columns()).limit(n).select(
         "file", "line", "seq", "finding_type", "severity",
         F.substring("evidence", 1, SHOWN_EVIDENCE).alias("evidence"),
         F.substring("explanation", 1, SHOWN_EXPLANATION).alias("explanation"),
