@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scoring import (present_terms, risk_score, score_confidence,
                                  severity_from_score)
+from ..functions.text import let
 
 # What a finding without the field is scored as.
 DEFAULTS = {"finding_type": "Unknown", "evidence": "", "severity": "Medium"}
@@ -27,7 +28,7 @@ def score_findings(findings: DataFrame, content: str = "content",
         F.coalesce(F.col(content), F.lit("")).alias("_content"))
     # One text per finding, searched once: no term has a blank, so none can span the joint.
     text = F.lower(F.concat_ws(" ", "evidence", "_content"))
-    scored = filled.withColumn("_present", present_terms(text)).withColumn(
+    scored = filled.withColumn("_present", let(text, present_terms)).withColumn(
         "score", risk_score(F.col("finding_type"), F.col("_present")))
     score = F.col("score")
     return scored.select(

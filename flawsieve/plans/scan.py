@@ -65,10 +65,11 @@ def _scan_rows(files, catalogue, path, content, keep, every_line: bool,
             (context_window(lines, g.line) if window else F.lit(None).cast("string"))
             .alias("window")))
 
-    # The score terms are looked up once per file, ahead of the explode to lines; neither the
-    # text nor its lower-case form travels any further.
+    # The score terms are looked up once per file, ahead of the explode to lines; the text
+    # travels no further.
     return rows.select(
-        *keep, "file", "_content", "rules", present_terms(F.col("lowered")).alias("present")
+        *keep, "file", "_content", "rules",
+        let(F.lower(text), present_terms).alias("present")
     ).select(*keep, "file", "present", F.inline(let(lines_of(text), with_lines)))
 
 
