@@ -57,28 +57,61 @@ def detector_patterns(embed) -> tuple[PatternSet, list[str]]:
             [t for t, _ in texts])
 
 
-def _matcher(patterns: PatternSet, threshold: float, best_only: bool):
-    """A function from a matrix of vectors to the matches of each row.
+def _pair_finder(threshold: float, best_only: bool):
+    """A function from two matrices of unit vectors to the matching pairs ``(i, j, sims)``.
 
-    Defined inside a function so that it is shipped to the workers by value.
+    The matrix product only proposes pairs: its last digits depend on the size of the batch.
+    What is compared with the threshold and returned is summed pair by pair, so a result does
+    not depend on how rows were batched.  (Defined inside a function so that it is shipped to
+    the workers by value.)
     """
-    import numpy as np
+    slack, rows_at_once = 1e-9, 1024
+
+    def pairs(v, unit):
+        import numpy as np
+
+        parts = [some(v[at:at + rows_at_once], unit)
+                 for at in range(0, len(v), rows_at_once)] or [some(v, unit)]
+        return (np.concatenate([i + n * rows_at_once for n, (i, _, _) in enumerate(parts)]),
+                np.concatenate([j for _, j, _ in parts]),
+                np.concatenate([s for _, _, s in parts]))
+
+    def some(v, unit):
+        import numpy as np
+
+        rough = v @ unit.T
+        rough = np.where(np.isnan(rough), -np.inf, rough)
+        floor = max(threshold, 0.0) if best_only else threshold
+        near = rough > floor - slack
+        if best_only:
+            near &= rough >= rough.max(axis=1, keepdims=True) - slack
+        i, j = np.nonzero(near)
+        sims = (v[i] * unit[j]).sum(axis=1)
+        keep = sims > floor
+        i, j, sims = i[keep], j[keep], sims[keep]
+        if best_only and len(i):
+            order = np.lexsort((j, -sims, i))
+            first = np.concatenate(([True], np.diff(i[order]) != 0))
+            i, j, sims = i[order][first], j[order][first], sims[order][first]
+        return i, j, sims
 
+    return pairs
+
+
+def _matcher(patterns: PatternSet, threshold: float, best_only: bool):
+    """A function from a matrix of vectors to the matches of each row."""
     ords, unit = patterns.ords, patterns.unit
+    pairs = _pair_finder(threshold, best_only)
 
     def match(vectors):
+        import numpy as np
+
         v = np.asarray(vectors, dtype=np.float64)
         with np.errstate(divide="ignore", invalid="ignore"):
-            sims = (v / np.sqrt((v * v).sum(axis=1, keepdims=True))) @ unit.T
-        sims = np.where(np.isnan(sims), -np.inf, sims)
-        if best_only:
-            best = sims.argmax(axis=1)
-            top = sims[np.arange(len(sims)), best]
-            return [[(int(ords[b]), float(s))] if s > max(threshold, 0.0) else []
-                    for b, s in zip(best, top)]
-        out = [[] for _ in range(len(sims))]
-        for i, j in zip(*np.nonzero(sims > threshold)):
-            out[i].append((int(ords[j]), float(sims[i, j])))
+            v = v / np.sqrt((v * v).sum(axis=1, keepdims=True))
+        out = [[] for _ in range(len(v))]
+        for i, j, s in zip(*pairs(v, unit)):
+            out[i].append((int(ords[j]), float(s)))
         return out
 
     return match
@@ -128,20 +161,20 @@ def text_hits(text: Column | str, patterns: PatternSet, embed,
     return F.pandas_udf(hits, HITS_TYPE)(text)
 
 
-def hashed_ngrams(dimensions: int = 256, n: int = 3):
-    """A deterministic stand-in for a language model: hashed character n-grams of words."""
+def hashed_ngrams(dimensions: int = 256):
+    """A deterministic stand-in for a language model: counts of hashed character trigrams,
+    with everything but letters and digits read as a blank."""
     def embed(texts):
         import re
-        import zlib
 
         import numpy as np
 
         out = np.zeros((len(texts), dimensions))
         for row, text in zip(out, texts):
-            for word in re.findall(r"[a-z0-9]+", text.lower()):
-                padded = f" {word} "
-                for i in range(max(1, len(padded) - n + 1)):
-                    row[zlib.crc32(padded[i:i + n].encode()) % dimensions] += 1.0
+            words = re.sub(r"[^a-z0-9]+", " ", f" {text.lower()} ").encode()
+            c = np.frombuffer(words, dtype=np.uint8).astype(np.int64)
+            grams = (c[:-2] * 961 + c[1:-1] * 31 + c[2:]) % dimensions
+            row += np.bincount(grams, minlength=dimensions)
         return out
 
     return embed
@@ -185,6 +218,8 @@ def _block_join(items, patterns, key, vector, threshold, best_only, block_size,
         .alias("block"),
         F.pmod(F.xxhash64(*key), F.lit(shares)).alias("share"))
 
+    pairs = _pair_finder(threshold, best_only)
+
     def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         import numpy as np
         import pandas as pd
@@ -197,11 +232,11 @@ def _block_join(items, patterns, key, vector, threshold, best_only, block_size,
             with np.errstate(divide="ignore", invalid="ignore"):
                 return v / np.sqrt((v * v).sum(axis=1, keepdims=True))
 
-        sims = unit(left["item_vector"]) @ unit(right["pattern_vector"]).T
-        i, j = np.nonzero(sims > threshold)
+        right = right.sort_values("ord")
+        i, j, sims = pairs(unit(left["item_vector"]), unit(right["pattern_vector"]))
         out = left[key].iloc[i].reset_index(drop=True)
         out["ord"] = right["ord"].to_numpy()[j]
-        out["similarity"] = sims[i, j]
+        out["similarity"] = sims
         return out
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}"

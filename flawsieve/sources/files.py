@@ -30,6 +30,9 @@ EXTENSIONS = (
 )
 MAX_FILE_SIZE = 1_000_000
 
+# Files differ in size, so work is cut finer than there are cores.
+PIECES_PER_CORE = 4
+
 FILE_SCHEMA = "path string, absolute_path string, content string, extension string"
 
 
@@ -62,7 +65,7 @@ def spread(files: DataFrame, *key: str, partitions: int | None = None) -> DataFr
     """For a *small* table that is stored in fewer pieces than there are cores: scanning costs
     far more than moving it.  A large table has enough pieces and should stay where it is.
     """
-    n = partitions or files.sparkSession.sparkContext.defaultParallelism
+    n = partitions or PIECES_PER_CORE * files.sparkSession.sparkContext.defaultParallelism
     return files.repartition(n, *key)
 
 
@@ -87,7 +90,7 @@ def read_directory(spark: SparkSession, root: str, *, ignored=IGNORED_NAMES,
     if not os.path.exists(root):
         raise ValueError(f"no such directory: {root}")
     top = [(e,) for e in sorted(os.listdir(root))]
-    n = partitions or spark.sparkContext.defaultParallelism
+    n = partitions or PIECES_PER_CORE * spark.sparkContext.defaultParallelism
 
     def walk(batches):
         import pandas as pd

@@ -82,7 +82,7 @@ def test_detector(spark):
         for n, line in enumerate(text.split("\n"), 1):
             line = line.strip()
             if len(line) >= 5 and not line.startswith(("#", "//")):
-                sims = unit @ unit_rows(embed([line]))[0]
+                sims = (unit * unit_rows(embed([line]))[0]).sum(axis=1)
                 j = int(sims.argmax())
                 if sims[j] > 0.55:
                     want.add((f"f{i}.py", n, described[j][0], "semantic", round(float(sims[j]), 9)))
