@@ -24,20 +24,21 @@ def score_terms() -> Column:
         "array<struct<term:string,weight:double>>")
 
 
-def present_terms(lowered: Column) -> Column:
-    """``ARRAY<BOOLEAN>``: which score terms occur in a lower-cased text."""
-    return F.transform(F.lit([t for t, _ in SCORE_TERMS]), lambda t: F.contains(lowered, t))
+def score_terms_in(lowered: Column) -> Column:
+    """The score terms that occur in a lower-cased text."""
+    return F.filter(F.lit(list(dict.fromkeys(t for t, _ in SCORE_TERMS))),
+                    lambda t: F.contains(lowered, t))
 
 
-def risk_score(finding_type: Column, present: Column) -> Column:
-    """The score of a finding whose texts have the ``present`` terms, besides its type.
+def risk_score(finding_type: Column, terms: Column) -> Column:
+    """The score of a finding in whose texts, besides its type, these terms occur.
 
     The weights are added in catalogue order, since the order shows in the last digit and
     the digit in the comparison with the thresholds.
     """
-    weights = let(F.lower(finding_type), lambda name: F.zip_with(
-        score_terms(), present,
-        lambda t, found: F.when(found | F.contains(name, t.term), t.weight)
+    weights = let(F.lower(finding_type), lambda name: F.transform(
+        score_terms(),
+        lambda t: F.when(F.array_contains(terms, t.term) | F.contains(name, t.term), t.weight)
         .otherwise(F.lit(0.0))))
     total = F.aggregate(weights, F.lit(BASE_SCORE), lambda total, w: total + w)
     return F.least(F.greatest(total, F.lit(0.0)), F.lit(1.0))

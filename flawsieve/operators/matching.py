@@ -49,21 +49,37 @@ def rule_array(catalogue: tuple[Rule, ...]) -> Column:
     return F.from_json(F.lit(json.dumps(rows)), f"array<{RULE_TYPE}>")
 
 
+def has_case_extras(content: Column) -> Column:
+    return contains_any(content, _CASE_EXTRAS)
+
+
 def folded(content: Column) -> Column:
     """The text as the needle test reads it: lower case, by the rules of case-insensitive
     matching."""
     return F.lower(
-        F.when(contains_any(content, _CASE_EXTRAS),
-               F.translate(content, _CASE_EXTRAS, _CASE_PLAIN)).otherwise(content))
+        F.when(has_case_extras(content), F.translate(content, _CASE_EXTRAS, _CASE_PLAIN))
+        .otherwise(content))
+
+
+def needles_of(catalogue: tuple[Rule, ...]) -> list[str]:
+    return sorted({n for r in catalogue for n in r.needles})
 
 
-def matching_rules(content: Column, lowered: Column, catalogue: tuple[Rule, ...]) -> Column:
-    """The rules that match the text, in catalogue order.  ``lowered`` is its folded form."""
+def words_in(text: Column, words: list[str]) -> Column:
+    """Which of a fixed list of words occur in a text."""
+    return F.filter(F.lit(words).cast("array<string>"), lambda w: F.contains(text, w))
+
+
+def matching_rules(content: Column, needles: Column, catalogue: tuple[Rule, ...]) -> Column:
+    """The rules that match the text, in catalogue order.
+
+    ``needles`` are those of the catalogue's needles that occur in the folded text.
+    """
     return F.filter(
         rule_array(catalogue),
         lambda rule: (
             (F.size(rule.needles) == 0)
-            | F.exists(rule.needles, lambda needle: F.contains(lowered, needle)))
+            | F.exists(rule.needles, lambda needle: F.array_contains(needles, needle)))
         & (rule.guard.isNull() | F.rlike(content, rule.guard))
         & F.rlike(content, rule.regex))
 
@@ -142,9 +158,10 @@ def scan_matches(files: DataFrame, catalogue: tuple[Rule, ...] = DEFAULT_CATALOG
     hits = (
         files.where(F.col(content).isNotNull())
         .select(F.col(path).alias("file"), F.col(content).alias("content"),
-                folded(F.col(content)).alias("lowered"))
+                let(folded(F.col(content)), lambda t: words_in(t, needles_of(catalogue)))
+                .alias("needles"))
         .select("file", "content",
-                F.explode(matching_rules(F.col("content"), F.col("lowered"), catalogue))
+                F.explode(matching_rules(F.col("content"), F.col("needles"), catalogue))
                 .alias("rule"))
     )
     rule, text = F.col("rule"), F.col("content")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scoring import (present_terms, risk_score, score_confidence,
+from ..functions.scoring import (risk_score, score_confidence, score_terms_in,
                                  severity_from_score)
 from ..functions.text import let
 
@@ -28,8 +28,8 @@ def score_findings(findings: DataFrame, content: str = "content",
         F.coalesce(F.col(content), F.lit("")).alias("_content"))
     # One text per finding, searched once: no term has a blank, so none can span the joint.
     text = F.lower(F.concat_ws(" ", "evidence", "_content"))
-    scored = filled.withColumn("_present", let(text, present_terms)).withColumn(
-        "score", risk_score(F.col("finding_type"), F.col("_present")))
+    scored = filled.withColumn("_terms", let(text, score_terms_in)).withColumn(
+        "score", risk_score(F.col("finding_type"), F.col("_terms")))
     score = F.col("score")
     return scored.select(
         *kept, "finding_type",

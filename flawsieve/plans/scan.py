@@ -14,16 +14,18 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..catalogue import DEFAULT_CATALOGUE, HEURISTIC, RULE, SEMANTIC, SEMANTIC_PATTERNS, Rule
+from ..catalogue import (DEFAULT_CATALOGUE, HEURISTIC, RULE, SCORE_TERMS, SEMANTIC,
+                         SEMANTIC_PATTERNS, Rule)
 from ..functions.context import context_score
 from ..functions.prompts import context_window
-from ..functions.scoring import (PIPELINE_CONFIDENCE, present_terms, risk_score,
+from ..functions.scoring import (PIPELINE_CONFIDENCE, risk_score, score_terms_in,
                                  should_escalate)
 from ..functions.text import let, lines_of, strip
 from ..operators.analysis import standard_analysis
 from ..operators.linewise import pattern_lane_eligible
 from ..operators.matching import (HIT_TYPE, REGEX_CONFIDENCE, folded, group_by_line,
-                                  line_evidence, line_hits, matching_rules, rule_array)
+                                  has_case_extras, line_evidence, line_hits, matching_rules,
+                                  needles_of, rule_array, words_in)
 from ..operators.merge import SOURCE_TYPE, dedup_heuristics, merge_line
 from ..operators.similarity import PATTERN_THRESHOLD, semantic_patterns, text_hits
 
@@ -34,19 +36,19 @@ _LINE_COLUMNS = ("file", "line", "findings", "line_score", "window")
 
 def _scan_rows(files, catalogue, path, content, keep, every_line: bool,
                window: bool) -> DataFrame:
-    """``(*keep, file, present, line, hits, text, window)``: one row per line of interest."""
+    """``(*keep, file, terms, line, hits, text, window)``: one row per line of interest."""
     text = F.col("_content")
+    needles = needles_of(catalogue)
     rows = files.where(F.col(content).isNotNull()).select(
         *keep, F.col(path).alias("file"), F.col(content).alias("_content"),
-        folded(F.col(content)).alias("lowered"))
+        let(folded(F.col(content)), lambda t: words_in(t, needles)).alias("needles"))
+    rules = matching_rules(text, F.col("needles"), catalogue)
     if every_line:
-        rows = rows.withColumn(
-            "rules", matching_rules(text, F.col("lowered"), catalogue))
+        rows = rows.withColumn("rules", rules)
     else:
         # A file with no matching rule ends here: the explode gives no row for an empty list.
         rows = rows.select("*", F.explode(F.filter(
-            F.array(matching_rules(text, F.col("lowered"), catalogue)),
-            lambda rules: F.size(rules) > 0)).alias("rules"))
+            F.array(rules), lambda rules: F.size(rules) > 0)).alias("rules"))
 
     def with_lines(lines):
         groups = line_hits(text, lines, F.col("rules"))
@@ -66,11 +68,14 @@ def _scan_rows(files, catalogue, path, content, keep, every_line: bool,
             .alias("window")))
 
     # The score terms are looked up once per file, ahead of the explode to lines; the text
-    # travels no further.
+    # travels no further.  Those that are needles too are known already, unless the needles
+    # were looked up in a text with letters changed.
+    others = [t for t in dict.fromkeys(t for t, _ in SCORE_TERMS) if t not in needles]
+    terms = F.when(has_case_extras(text), let(F.lower(text), score_terms_in)).otherwise(
+        F.concat(F.col("needles"), let(F.lower(text), lambda t: words_in(t, others))))
     return rows.select(
-        *keep, "file", "_content", "rules",
-        let(F.lower(text), present_terms).alias("present")
-    ).select(*keep, "file", "present", F.inline(let(lines_of(text), with_lines)))
+        *keep, "file", "_content", "rules", terms.alias("terms")
+    ).select(*keep, "file", "terms", F.inline(let(lines_of(text), with_lines)))
 
 
 def _sources(rules: Column, hits: Column, text: Column, line: Column, lane: str) -> Column:
@@ -130,13 +135,13 @@ def scan_lines(files: DataFrame, catalogue: tuple[Rule, ...] = DEFAULT_CATALOGUE
         heuristic = let(F.concat(heuristic, _semantic_sources(F.col("similar"), text, line)),
                         dedup_heuristics)
     deterministic = _sources(rules, hits, text, line, RULE)
-    rows = rows.select(*keep, "file", "line", "present", "window",
+    rows = rows.select(*keep, "file", "line", "terms", "window",
                        F.concat(deterministic, heuristic).alias("findings"))
     if embed is not None:
         rows = rows.where(F.size("findings") > 0)
     last = F.element_at("findings", -1)
     return rows.select(*keep, "file", "line", "findings",
-                       risk_score(last.finding_type, F.col("present")).alias("line_score"),
+                       risk_score(last.finding_type, F.col("terms")).alias("line_score"),
                        "window")
 
 
