@@ -70,7 +70,7 @@ raw AS (SELECT path AS file, lane, CAST(ord AS INTEGER) AS ord, CAST(m.k AS INTE
                END AS evidence,
                CAST(m.line AS INTEGER) AS line,
                CASE WHEN lane = 'heuristic' THEN CAST(0.7 AS DOUBLE) END AS confidence,
-               esc AND lane = 'rule' AS needs_escalation, ord * 100000 + m.k AS seq
+               esc AND lane = 'rule' AS needs_escalation, CAST(ord AS BIGINT) * 1000000000 + m.k AS seq
         FROM places)"""
 
 

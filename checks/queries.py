@@ -103,7 +103,7 @@ def eligible_lines(spark, sf_dir):
 def _raw_with_confidence(spark, sf_dir):
     """All heuristic matches, with confidences that differ from match to match."""
     raw = scan_matches(corpus(spark, sf_dir), cat.HEURISTIC_RULES)
-    return raw.withColumn("seq", F.col("ord") * 100000 + F.col("k")).withColumn(
+    return raw.withColumn("seq", F.col("ord").cast("long") * 10**9 + F.col("k")).withColumn(
         "confidence", F.lit(0.5) + F.pmod(F.col("k") * 7 + F.col("ord") * 3, F.lit(10)) / 20)
 
 
@@ -121,7 +121,7 @@ def detector_merge(spark, sf_dir):
 
 def table_merge(spark, sf_dir):
     raw = staged(scan_matches(corpus(spark, sf_dir)).withColumn(
-        "seq", F.col("ord") * 100000 + F.col("k")))
+        "seq", F.col("ord").cast("long") * 10**9 + F.col("k")))
     kept = raw.where("lane = 'rule'").unionByName(
         tables.dedup(raw.where("lane = 'heuristic'")), allowMissingColumns=True)
     merged = tables.merge(kept)
@@ -153,7 +153,7 @@ def escalation(spark, sf_dir):
 def escalation_lookup(spark, sf_dir):
     """Findings joined with the last score of their line, 0.5 where there is none."""
     raw = staged(scan_matches(corpus(spark, sf_dir)).withColumn(
-        "seq", F.col("ord") * 100000 + F.col("k")))
+        "seq", F.col("ord").cast("long") * 10**9 + F.col("k")))
     scores = raw.where("lane = 'rule'").select(
         "file", "line", "seq", (F.length("evidence") / 50.0).alias("score"))
     joined = tables.line_scores_or_default(

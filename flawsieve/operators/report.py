@@ -37,19 +37,23 @@ def severity_counts() -> list[Column]:
     return [F.count_if(F.col("severity") == s).alias(f"{s.lower()}_count") for s in COUNTED]
 
 
-def summary(findings: DataFrame, files: DataFrame,
+def summary(findings: DataFrame, files: DataFrame | int,
             scan_seconds: float | None = None) -> DataFrame:
     """One row: findings in total and by severity, and the number of files scanned, those
     without findings included.
 
-    Both inputs are counted in one aggregation, and of the files no content is read.
+    ``files`` is that number, or the table itself.  Then both are counted in one aggregation,
+    and of the files no more is read than their filter needs.
     """
-    rows = findings.select("severity", F.lit(1).alias("finding"), F.lit(0).alias("file")) \
-        .unionByName(files.select(F.lit(None).cast("string").alias("severity"),
-                                  F.lit(0).alias("finding"), F.lit(1).alias("file")))
+    rows = findings.select("severity", F.lit(1).alias("finding"), F.lit(0).alias("file"))
+    if isinstance(files, DataFrame):
+        rows = rows.unionByName(files.select(
+            F.lit(None).cast("string").alias("severity"), F.lit(0).alias("finding"),
+            F.lit(1).alias("file")))
+    known = F.lit(0 if isinstance(files, DataFrame) else files).cast("long")
     out = rows.agg(
         F.coalesce(F.sum("finding"), F.lit(0)).alias("total_findings"), *severity_counts(),
-        F.coalesce(F.sum("file"), F.lit(0)).alias("files_scanned"))
+        (F.coalesce(F.sum("file"), F.lit(0)) + known).alias("files_scanned"))
     if scan_seconds is not None:
         out = out.withColumn("scan_time_seconds", F.lit(round(scan_seconds, 2)))
     return out

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import os
 import time
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import cached_property, partial
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 from ..catalogue import DEFAULT_CATALOGUE
 from ..operators import report
@@ -17,10 +20,14 @@ from .scan import escalations, scan, scan_lines
 
 @dataclass(frozen=True)
 class Report:
-    """The files of a scan and its findings, neither computed before they are asked for."""
+    """The files of a scan and what finds their findings; neither runs before it is asked."""
 
     files: DataFrame
-    findings: DataFrame
+    finder: Callable[[DataFrame], DataFrame]
+
+    @cached_property
+    def findings(self) -> DataFrame:
+        return self.finder(self.files)
 
     def summary(self) -> DataFrame:
         return report.summary(self.findings, self.files)
@@ -35,19 +42,23 @@ class Report:
         """Writes ``findings`` (JSON, in report order) and ``summary`` under a folder, and
         returns the summary.
 
-        The scan runs once; the summary is counted from what it wrote.
+        The files are read once: they are counted as they pass, and the summary is made from
+        the written findings.
         """
-        spark, started = self.findings.sparkSession, time.time()
-        report.write_json(self.findings, f"{path}/findings")
+        spark, started = self.files.sparkSession, time.time()
+        counted = Observation()
+        files = self.files.select("path", "content").observe(
+            counted, F.count(F.lit(1)).alias("files"))
+        report.write_json(self.finder(files), f"{path}/findings")
         written = spark.read.schema("severity string").json(f"{path}/findings")
-        report.summary(written, self.files, time.time() - started) \
+        report.summary(written, counted.get["files"], time.time() - started) \
             .write.mode("overwrite").json(f"{path}/summary")
         return spark.read.json(f"{path}/summary")
 
 
 def scan_files(files: DataFrame, catalogue=DEFAULT_CATALOGUE, *, embed=None, analyse=False,
                context_filter=False, strict=False, prompts: str | None = None) -> Report:
-    """The report on a table of files.
+    """The report on a table of files ``(path, content)``.
 
     With ``prompts`` a review prompt is written there for each escalated finding, in a pass
     over the files of its own.
@@ -55,8 +66,8 @@ def scan_files(files: DataFrame, catalogue=DEFAULT_CATALOGUE, *, embed=None, ana
     if prompts is not None:
         lines = scan_lines(files, catalogue, embed=embed, window=True)
         write_prompts(render_prompts(escalations(lines)), prompts)
-    return Report(files, scan(files, catalogue, embed=embed, analyse=analyse,
-                              context_filter=context_filter, strict=strict))
+    return Report(files, partial(scan, catalogue=catalogue, embed=embed, analyse=analyse,
+                                 context_filter=context_filter, strict=strict))
 
 
 def scan_repository(spark: SparkSession, path: str, catalogue=DEFAULT_CATALOGUE,

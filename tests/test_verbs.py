@@ -27,6 +27,13 @@ def test_repository_file_and_code_agree(spark, tmp_path):
         flawsieve.scan_file(spark, str(tmp_path / "none"))
 
 
+def test_save_counts_clean_files_in_the_same_pass(spark, tmp_path):
+    files = spark.createDataFrame([(f"f{i}.py", GOLDEN if i == 3 else "x = 1")
+                                   for i in range(40)], "path string, content string")
+    summary = flawsieve.scan_files(files.repartition(5)).save(str(tmp_path / "r")).first()
+    assert (summary.files_scanned, summary.total_findings) == (40, 11)
+
+
 def test_save(spark, tmp_path):
     report = flawsieve.scan_code(spark, GOLDEN, strict=True)
     summary = report.save(str(tmp_path / "r")).first()
