@@ -1,7 +1,6 @@
 """The scan as a whole, against the plain-Python model."""
 
 import random
-import re
 
 import pytest
 from conftest import files_frame
@@ -10,7 +9,6 @@ from test_matching import ODD, SAMPLES
 import model
 from flawsieve import catalogue as cat
 from flawsieve.operators import report
-from flawsieve.operators.linewise import pattern_lane_eligible
 from flawsieve.operators.similarity import hashed_ngrams, unit_rows
 from flawsieve.plans.scan import escalations, merged_findings, scan, scan_lines
 

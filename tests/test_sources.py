@@ -2,7 +2,6 @@
 
 import json
 import os
-import warnings
 
 import pytest
 from conftest import files_frame
