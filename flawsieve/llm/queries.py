@@ -5,12 +5,18 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe
+from . import bpe, packing
 from .common import documents
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op2_packing(spark, sf_dir):
+    rows = packing.pack_documents(documents(spark, sf_dir), BYTE_BPE)
+    return rows.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"),
+                       "doc_tokens", "sequence_id", "offset", "loss_tokens", "sequence_tokens")
+
+
 def op10_bpe(spark, sf_dir):
     rows = bpe.decode_documents(bpe.encode_documents(documents(spark, sf_dir), BYTE_BPE), BYTE_BPE)
     return rows.select(
@@ -18,5 +24,5 @@ def op10_bpe(spark, sf_dir):
         F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {"op10_bpe": op10_bpe}
+QUERIES = {"op2_packing": op2_packing, "op10_bpe": op10_bpe}
 ORACLES: dict[str, str] = {}
