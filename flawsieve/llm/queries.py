@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, packing
+from . import bpe, packing, token_files
 from .common import documents
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -17,6 +17,14 @@ def op2_packing(spark, sf_dir):
                        "doc_tokens", "sequence_id", "offset", "loss_tokens", "sequence_tokens")
 
 
+def op7_token_files(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    files = token_files.TokenFiles.write(docs, BYTE_BPE)
+    return files.read(docs.select("doc_id")).select(
+        "doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.crc32("ids").alias("ids_crc32"))
+
+
 def op10_bpe(spark, sf_dir):
     rows = bpe.decode_documents(bpe.encode_documents(documents(spark, sf_dir), BYTE_BPE), BYTE_BPE)
     return rows.select(
@@ -24,5 +32,5 @@ def op10_bpe(spark, sf_dir):
         F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {"op2_packing": op2_packing, "op10_bpe": op10_bpe}
+QUERIES = {"op2_packing": op2_packing, "op7_token_files": op7_token_files, "op10_bpe": op10_bpe}
 ORACLES: dict[str, str] = {}
