@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, packing, token_files
+from . import bpe, packing, quality_rules, token_files
 from .common import documents
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -25,6 +25,10 @@ def op7_token_files(spark, sf_dir):
         F.crc32("ids").alias("ids_crc32"))
 
 
+def op8_quality_rules(spark, sf_dir):
+    return quality_rules.verdicts(documents(spark, sf_dir)).drop("cleaned")
+
+
 def op10_bpe(spark, sf_dir):
     rows = bpe.decode_documents(bpe.encode_documents(documents(spark, sf_dir), BYTE_BPE), BYTE_BPE)
     return rows.select(
@@ -32,5 +36,5 @@ def op10_bpe(spark, sf_dir):
         F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {"op2_packing": op2_packing, "op7_token_files": op7_token_files, "op10_bpe": op10_bpe}
-ORACLES: dict[str, str] = {}
+QUERIES = {"op2_packing": op2_packing, "op7_token_files": op7_token_files, "op8_quality_rules": op8_quality_rules, "op10_bpe": op10_bpe}
+ORACLES: dict[str, str] = {"op8_quality_rules": quality_rules.ORACLE_SQL}
