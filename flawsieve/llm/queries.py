@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, packing, quality_rules, token_files
+from . import bpe, exact_dedup, packing, quality_rules, token_files
 from .common import documents
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -17,6 +17,11 @@ def op2_packing(spark, sf_dir):
                        "doc_tokens", "sequence_id", "offset", "loss_tokens", "sequence_tokens")
 
 
+def op3_exact_dedup(spark, sf_dir):
+    return exact_dedup.decisions(documents(spark, sf_dir)).withColumnRenamed(
+        "digest", "text_sha256")
+
+
 def op7_token_files(spark, sf_dir):
     docs = documents(spark, sf_dir)
     files = token_files.TokenFiles.write(docs, BYTE_BPE)
@@ -36,5 +41,5 @@ def op10_bpe(spark, sf_dir):
         F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {"op2_packing": op2_packing, "op7_token_files": op7_token_files, "op8_quality_rules": op8_quality_rules, "op10_bpe": op10_bpe}
-ORACLES: dict[str, str] = {"op8_quality_rules": quality_rules.ORACLE_SQL}
+QUERIES = {"op2_packing": op2_packing, "op3_exact_dedup": op3_exact_dedup, "op7_token_files": op7_token_files, "op8_quality_rules": op8_quality_rules, "op10_bpe": op10_bpe}
+ORACLES: dict[str, str] = {"op3_exact_dedup": exact_dedup.ORACLE_SQL, "op8_quality_rules": quality_rules.ORACLE_SQL}
