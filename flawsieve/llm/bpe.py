@@ -29,6 +29,11 @@ from pyspark.sql import types as T
 from .common import id_and_text, ready_workers
 from .tokens import PieceEncoder, shares
 
+# The format's split pattern, with its classes of letters, numbers and white space
+# written out for Latin-1.
+_L, _N, _S = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼½¾", "\\t-\\r \\x85\\xa0"
+LATIN_SPLIT = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|"
+                         f"[{_S}]+(?![^{_S}])|[{_S}]+")
 # A worker remembers at most so many pairs of tokens, and a quarter as many words.
 MEMO = 1_000_000
 
@@ -45,9 +50,6 @@ class Vocabulary:
     """Tokens, merges and the tables derived from them, for one vocabulary file."""
 
     def __init__(self, path: str):
-        import ahocorasick
-        from tokenizers.pre_tokenizers import ByteLevel
-
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.check(spec)
@@ -55,26 +57,46 @@ class Vocabulary:
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.added_pattern = re.compile("(" + "|".join(
             re.escape(t) for t in sorted(self.added, key=len, reverse=True)) + ")")
-        # The library's splitter, so that character classes are those of its Unicode version.
-        # Its words have one letter for each byte, as the tokens of the file have.
-        self.split = ByteLevel(add_prefix_space=False, use_regex=True).pre_tokenize_str
         self.ids = {t: i for t, i in model["vocab"].items() if t not in self.added}
+        self.buffer, self.offsets = self.offset_table()
+
+    def prepare(self, merges: list) -> None:
+        """The tables that encoding needs and decoding doesn't."""
+        import ahocorasick
+        from tokenizers.pre_tokenizers import ByteLevel
+
+        self.library_split = ByteLevel(add_prefix_space=False, use_regex=True).pre_tokenize_str
+        by_byte = {b: c for c, b in byte_letters().items()}
+        self.letters = {i: "".join(by_byte[b] for b in chr(i).encode()) for i in range(256)}
         # For a pair of ids the rank of its merge; for an id its two parts and that rank.
         self.merge: dict[tuple[int, int], int] = {}
         self.parts: dict[int, tuple[int, int, int]] = {}
-        for rank, pair in enumerate(model["merges"]):
+        for rank, pair in enumerate(merges):
             left, right = pair.split(" ") if isinstance(pair, str) else pair
             key = (self.ids[left], self.ids[right])
             self.merge[key] = rank
             self.parts.setdefault(self.ids[left + right], (*key, rank))
         self.finder = ahocorasick.Automaton()
+        size = max(self.ids.values(), default=-1) + 1
+        # Of each token its length and the longest token that it begins with.
+        self.length, self.shorter = [0] * size, [-1] * size
         for token, i in self.ids.items():
-            self.finder.add_word(token, (len(token), i))
+            self.finder.add_word(token, i)
+            self.length[i] = len(token)
+            self.shorter[i] = next((self.ids[token[:n]] for n in range(len(token) - 1, 0, -1)
+                                    if token[:n] in self.ids), -1)
         self.finder.make_automaton()
         self.compatible_memo: dict[tuple[int, int], bool] = {}
         self.border_memo: tuple[dict, dict] = ({}, {})
         self.word_memo: dict[str, bytes] = {}
-        self.buffer, self.offsets = self.offset_table()
+
+    def split(self, text: str) -> list[str]:
+        """Words of the split pattern, with one letter for each byte, as the tokens of the file
+        have.  Beyond Latin-1 the library splits, so that character classes are those of its
+        Unicode version."""
+        if text.isascii() or max(text) < "\u0100":
+            return [w.translate(self.letters) for w in LATIN_SPLIT.findall(text)]
+        return [w for w, _ in self.library_split(text)]
 
     @staticmethod
     def check(spec: dict) -> None:
@@ -122,27 +144,33 @@ class Vocabulary:
         return known
 
     def encode_word(self, word: str) -> list[int]:
-        """The ids of one piece of the split pattern."""
-        starts: list[list[tuple[int, int]]] = [[] for _ in word]
-        for end, (length, i) in self.finder.iter(word):
-            starts[end - length + 1].append((length, i))  # ends ascend, so lengths do
-        open_, path, at = bytearray(b"\1") * (len(word) + 1), [], 0
-        choice = [len(s) for s in starts]
-        while at < len(word):
-            tried = choice[at] = choice[at] - 1
-            if tried < 0:
+        """The ids of one word of the split pattern."""
+        if word in self.ids:
+            return [self.ids[word]]  # the longest match at its first byte, with none before it
+        length, shorter, known = self.length, self.shorter, self.compatible_memo
+        longest = [-1] * len(word)
+        for end, i in self.finder.iter(word):  # ends ascend, so the longest comes last
+            longest[end + 1 - length[i]] = i
+        open_, path, at, before, token = bytearray(b"\1") * (len(word) + 1), [], 0, -1, longest[0]
+        while True:
+            while token >= 0:
+                end = at + length[token]
+                if open_[end] and (before < 0 or known.get((before, token))
+                                   or self.compatible(before, token)):
+                    break
+                token = shorter[token]
+            if token >= 0:
+                path.append(token)
+                if end == len(word):
+                    return path
+                at, before, token = end, token, longest[end]
+            elif path:
                 open_[at] = 0
-                if not path:
-                    raise ValueError("the vocabulary lacks a byte")
-                at -= path.pop()[0]
-                continue
-            length, i = starts[at][tried]
-            if open_[at + length] and (not path or self.compatible(path[-1][1], i)):
-                path.append((length, i))
-                at += length
-                if at < len(word):
-                    choice[at] = len(starts[at])
-        return [i for _, i in path]
+                token = path.pop()
+                at, before = at - length[token], path[-1] if path else -1
+                token = shorter[token]
+            else:
+                raise ValueError("the vocabulary lacks a byte")
 
     def encode(self, pieces: list[str]) -> Iterator[bytes]:
         for piece in pieces:
@@ -151,7 +179,7 @@ class Vocabulary:
                 if n % 2:
                     ids.append(np.array([self.added[part]], "<u4").tobytes())
                     continue
-                for word, _ in self.split(part):
+                for word in self.split(part):
                     known = self.word_memo.get(word)
                     if known is None:
                         known = np.array(self.encode_word(word), "<u4").tobytes()
@@ -185,6 +213,8 @@ def vocabulary(path: str) -> Vocabulary:
 
 def encoder(path: str) -> PieceEncoder:
     if path not in _ENCODERS:
+        with open(path, encoding="utf-8") as f:
+            vocabulary(path).prepare(json.load(f)["model"]["merges"])
         _ENCODERS[path] = PieceEncoder(vocabulary(path).encode)
     return _ENCODERS[path]
 
