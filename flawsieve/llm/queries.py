@@ -5,12 +5,22 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, packing, quality_rules, token_files
+from . import bpe, exact_dedup, packing, quality_rules, secret_scan, token_files
 from .common import documents
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_secret_scan(spark, sf_dir):
+    found = secret_scan.find_secrets(documents(spark, sf_dir))
+    base = secret_scan.written(F.col("base_spans"))
+    return found.select(
+        "doc_id", *[secret_scan.count_of(F.col("base_spans"), k).alias(f"n_{k}")
+                    for k in ("assign", "access", "hex")],
+        F.sha2(base, 256).alias("base_sha256"),
+        secret_scan.written(F.col("secret_spans")).alias("spans"))
+
+
 def op2_packing(spark, sf_dir):
     rows = packing.pack_documents(documents(spark, sf_dir), BYTE_BPE)
     return rows.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"),
@@ -41,5 +51,5 @@ def op10_bpe(spark, sf_dir):
         F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {"op2_packing": op2_packing, "op3_exact_dedup": op3_exact_dedup, "op7_token_files": op7_token_files, "op8_quality_rules": op8_quality_rules, "op10_bpe": op10_bpe}
+QUERIES = {"op1_secret_scan": op1_secret_scan, "op2_packing": op2_packing, "op3_exact_dedup": op3_exact_dedup, "op7_token_files": op7_token_files, "op8_quality_rules": op8_quality_rules, "op10_bpe": op10_bpe}
 ORACLES: dict[str, str] = {"op3_exact_dedup": exact_dedup.ORACLE_SQL, "op8_quality_rules": quality_rules.ORACLE_SQL}
