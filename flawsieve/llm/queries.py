@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, packing, quality_rules, secret_scan, token_files
+from . import bpe, exact_dedup, jaccard_join, packing, quality_rules, secret_scan, token_files
 from .common import documents
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -32,6 +32,10 @@ def op3_exact_dedup(spark, sf_dir):
         "digest", "text_sha256")
 
 
+def op4_jaccard_join(spark, sf_dir):
+    return jaccard_join.classes(documents(spark, sf_dir))
+
+
 def op7_token_files(spark, sf_dir):
     docs = documents(spark, sf_dir)
     files = token_files.TokenFiles.write(docs, BYTE_BPE)
@@ -51,5 +55,6 @@ def op10_bpe(spark, sf_dir):
         F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {"op1_secret_scan": op1_secret_scan, "op2_packing": op2_packing, "op3_exact_dedup": op3_exact_dedup, "op7_token_files": op7_token_files, "op8_quality_rules": op8_quality_rules, "op10_bpe": op10_bpe}
+QUERIES = {"op1_secret_scan": op1_secret_scan, "op2_packing": op2_packing, "op3_exact_dedup": op3_exact_dedup, "op4_jaccard_join": op4_jaccard_join,
+           "op7_token_files": op7_token_files, "op8_quality_rules": op8_quality_rules, "op10_bpe": op10_bpe}
 ORACLES: dict[str, str] = {"op3_exact_dedup": exact_dedup.ORACLE_SQL, "op8_quality_rules": quality_rules.ORACLE_SQL}
