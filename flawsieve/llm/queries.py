@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, jaccard_join, packing, quality_rules, secret_scan, token_files
+from . import bpe, exact_dedup, jaccard_join, packing, quality_rules, secret_scan, token_files, unit_dedup
 from .common import documents
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -36,6 +36,14 @@ def op4_jaccard_join(spark, sf_dir):
     return jaccard_join.classes(documents(spark, sf_dir))
 
 
+def op5_unit_dedup(spark, sf_dir):
+    rows = unit_dedup.deduplicated(documents(spark, sf_dir))
+    return rows.select(
+        "doc_id", "n_units", F.size("removed").cast("long").alias("n_removed"),
+        F.array_join(F.transform("removed", lambda s: F.concat_ws(":", s["start"], s["stop"])),
+                     ",").alias("removed"), F.sha2("cleaned", 256).alias("cleaned_sha256"))
+
+
 def op7_token_files(spark, sf_dir):
     docs = documents(spark, sf_dir)
     files = token_files.TokenFiles.write(docs, BYTE_BPE)
@@ -56,5 +64,5 @@ def op10_bpe(spark, sf_dir):
 
 
 QUERIES = {"op1_secret_scan": op1_secret_scan, "op2_packing": op2_packing, "op3_exact_dedup": op3_exact_dedup, "op4_jaccard_join": op4_jaccard_join,
-           "op7_token_files": op7_token_files, "op8_quality_rules": op8_quality_rules, "op10_bpe": op10_bpe}
-ORACLES: dict[str, str] = {"op3_exact_dedup": exact_dedup.ORACLE_SQL, "op8_quality_rules": quality_rules.ORACLE_SQL}
+           "op5_unit_dedup": op5_unit_dedup, "op7_token_files": op7_token_files, "op8_quality_rules": op8_quality_rules, "op10_bpe": op10_bpe}
+ORACLES: dict[str, str] = {"op5_unit_dedup": unit_dedup.ORACLE_SQL, "op3_exact_dedup": exact_dedup.ORACLE_SQL, "op8_quality_rules": quality_rules.ORACLE_SQL}
