@@ -5,7 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, jaccard_join, packing, quality_rules, secret_scan, token_files, unit_dedup
+from . import (bpe, exact_dedup, jaccard_join, packing, quality_model, quality_rules,
+               secret_scan, token_files, unit_dedup)
 from .common import documents
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -44,6 +45,16 @@ def op5_unit_dedup(spark, sf_dir):
                      ",").alias("removed"), F.sha2("cleaned", 256).alias("cleaned_sha256"))
 
 
+def op6_quality_model(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    weights = quality_model.train(docs, labels.filter(
+        ~quality_model.held_out(F.col("doc_id"))).select("doc_id", F.col("quality").alias("label")))
+    return quality_model.scored(docs, weights).select(
+        "doc_id", quality_model.held_out(F.col("doc_id")).alias("held_out"), "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op7_token_files(spark, sf_dir):
     docs = documents(spark, sf_dir)
     files = token_files.TokenFiles.write(docs, BYTE_BPE)
@@ -64,5 +75,6 @@ def op10_bpe(spark, sf_dir):
 
 
 QUERIES = {"op1_secret_scan": op1_secret_scan, "op2_packing": op2_packing, "op3_exact_dedup": op3_exact_dedup, "op4_jaccard_join": op4_jaccard_join,
-           "op5_unit_dedup": op5_unit_dedup, "op7_token_files": op7_token_files, "op8_quality_rules": op8_quality_rules, "op10_bpe": op10_bpe}
+           "op5_unit_dedup": op5_unit_dedup, "op6_quality_model": op6_quality_model,
+           "op7_token_files": op7_token_files, "op8_quality_rules": op8_quality_rules, "op10_bpe": op10_bpe}
 ORACLES: dict[str, str] = {"op5_unit_dedup": unit_dedup.ORACLE_SQL, "op3_exact_dedup": exact_dedup.ORACLE_SQL, "op8_quality_rules": quality_rules.ORACLE_SQL}
