@@ -8,57 +8,124 @@ ids of its pieces in a row.  Most pieces repeat, and a worker remembers those th
 
 from __future__ import annotations
 
+import json
+import os
 import re
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 
-# A worker remembers at most so many pieces of at most so many characters, then starts anew.
+# A worker remembers two generations of at most so many pieces of at most so many characters.
 REMEMBERED, LONGEST = 400_000, 48
 # Texts are taken from a batch in shares of about so many characters.
 SHARE = 2_000_000
+# Pieces that are encoded as one text.
+JOINED = 256
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
+class _Known(dict):
+    """Ids of pieces.  One that is new is noted, and has None; one of the generation before is
+    taken over."""
+
+    def __init__(self, before: dict[str, bytes]):
+        self.before, self.new = before, set()
+
+    def __missing__(self, piece: str) -> bytes | None:
+        ids = self.before.get(piece)
+        if ids is None:
+            self.new.add(piece)
+        else:
+            self[piece] = ids
+        return ids
+
+
 class PieceEncoder:
     """Ids of texts as little-endian unsigned 32-bit bytes.  ``encode`` gives those of a list of
     pieces."""
 
     def __init__(self, encode: Callable[[list[str]], Iterable[bytes]]):
         self.encode = encode
-        self.known: dict[str, bytes] = {}
+        self.known = _Known({})
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > REMEMBERED:
-            self.known = {}
-        pieces = [None if "\0" in t else t.replace(" ", "\0 ").split("\0") for t in texts]
-        ids, rest = self.known, self._unseen(pieces)
-        found = []
-        for text, parts in zip(texts, pieces):
-            known = parts and [ids[p] if p in ids else rest[p] for p in parts]
-            if known is None or None in known:
-                # Other white space than single spaces: cut with care, remember nothing.
-                known = self.encode([p if i == 0 else " " + p
-                                     for i, p in enumerate(_CUT.split(text))])
-            found.append(b"".join(known))
+            self.known.before = {}
+            self.known = _Known(self.known)
+        look, pieces, ids, found = self.known.__getitem__, [], [], []
+        for text in texts:
+            pieces.append(text.replace(" ", "\0 ").split("\0") if "\0" not in text else ["\0"])
+            ids.append(list(map(look, pieces[-1])))
+        learned = self._learn()
+        for text, parts, known in zip(texts, pieces, ids):
+            try:
+                found.append(b"".join(known))
+            except TypeError:
+                known = [learned.get(p) if i is None else i for p, i in zip(parts, known)]
+                if None in known:
+                    # Other white space than single spaces: cut with care, remember nothing.
+                    known = self.encode([p if i == 0 else " " + p
+                                         for i, p in enumerate(_CUT.split(text))])
+                found.append(b"".join(known))
         return found
 
-    def _unseen(self, pieces: list[list[str] | None]) -> dict[str, bytes | None]:
-        """Learns the new pieces; returns those that are not remembered: long ones, and, as None,
-        those that can't stand alone."""
-        new = {p for parts in pieces if parts for p in parts if p not in self.known}
-        alone = [p for p in new if _stands_alone(p)]
+    def _learn(self) -> dict[str, bytes]:
+        """The ids of the new pieces that can stand alone; remembers those that aren't long."""
+        alone = [p for p in self.known.new if _stands_alone(p)]
+        self.known.new.clear()
         ids = dict(zip(alone, self.encode(alone)))
-        rest = dict.fromkeys(new.difference(alone))
-        rest.update((p, i) for p, i in ids.items() if len(p) > LONGEST)
         self.known.update((p, i) for p, i in ids.items() if len(p) <= LONGEST)
-        return rest
+        return ids
 
 
 def _stands_alone(piece: str) -> bool:
     """A first piece, or a space and visible characters at both ends."""
     body = piece[1:] if piece[:1] == " " else piece
-    return piece == "" or bool(body) and not body[0].isspace() and not body[-1].isspace()
+    return piece == "" or bool(body) and not body[0].isspace() \
+        and not body[-1].isspace() and "\0" not in body
+
+
+def _library(path: str) -> Callable[[list[str]], Iterable[bytes]]:
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.no_truncation()
+    tokenizer.no_padding()
+    spec = json.loads(tokenizer.to_str())
+    if spec["pre_tokenizer"]["type"] != "ByteLevel" or spec["normalizer"]:
+        raise ValueError("pieces of a text are independent in byte-level vocabularies only")
+    added = {t["content"] for t in spec["added_tokens"]}
+    vocabulary = tokenizer.get_vocab(with_added_tokens=True)
+    length = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)  # bytes of each token
+    for token, i in vocabulary.items():
+        length[i] = len(token.encode()) if token in added else len(token)
+
+    def alone(texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, dtype="<u4")
+                for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+    def joined(group: list[str]) -> list[bytes]:
+        """Pieces that begin with a space, in a row: their ids follow from the tokens' lengths."""
+        ids = alone(["".join(group)])[0]
+        ends = np.cumsum([len(p.encode()) for p in group])
+        cuts = np.searchsorted(np.cumsum(length[ids]), ends) + 1
+        raw = ids.tobytes()
+        return [raw[4 * a:4 * b] for a, b in zip([0, *cuts[:-1].tolist()], cuts.tolist())]
+
+    def encode(pieces: list[str]) -> list[bytes]:
+        found: list[bytes] = [b""] * len(pieces)
+        spaced = [i for i, p in enumerate(pieces) if p[:1] == " " and _stands_alone(p)]
+        for at in range(0, len(spaced), JOINED):
+            group = spaced[at:at + JOINED]
+            for i, ids in zip(group, joined([pieces[i] for i in group])):
+                found[i] = ids
+        others = sorted(set(range(len(pieces))).difference(spaced))
+        for i, ids in zip(others, alone([pieces[i] for i in others])):
+            found[i] = ids.tobytes()
+        return found
+
+    return encode
 
 
 _ENCODERS: dict[str, PieceEncoder] = {}
@@ -67,21 +134,7 @@ _ENCODERS: dict[str, PieceEncoder] = {}
 def library_encoder(path: str) -> PieceEncoder:
     """The tokenizers library's ids, special strings in a text included; one for each worker."""
     if path not in _ENCODERS:
-        import os
-
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.no_truncation()
-        tokenizer.no_padding()
-
-        def encode(pieces):
-            for at in range(0, len(pieces), 4096):
-                for e in tokenizer.encode_batch(pieces[at:at + 4096], add_special_tokens=False):
-                    yield np.array(e.ids, dtype="<u4").tobytes()
-
-        _ENCODERS[path] = PieceEncoder(encode)
+        _ENCODERS[path] = PieceEncoder(_library(path))
     return _ENCODERS[path]
 
 
