@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from . import (bpe, exact_dedup, jaccard_join, packing, quality_model, quality_rules,
-               secret_scan, token_files, unit_dedup)
+               secret_scan, suffix_dedup, token_files, unit_dedup)
 from .common import documents
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -67,6 +67,19 @@ def op8_quality_rules(spark, sf_dir):
     return quality_rules.verdicts(documents(spark, sf_dir)).drop("cleaned")
 
 
+def op9_suffix_dedup(spark, sf_dir):
+    def written(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["start"], s["stop"])),
+                            ",").alias(spans)
+
+    def total(spans):
+        return F.aggregate(spans, F.lit(0).cast("long"), lambda a, s: a + s["stop"] - s["start"])
+
+    return suffix_dedup.repeated_passages(documents(spark, sf_dir)).select(
+        "doc_id", "n_words", total("spans").alias("n_repeated_words"), written("spans"),
+        total("later").alias("n_later_words"), written("later"))
+
+
 def op10_bpe(spark, sf_dir):
     rows = bpe.decode_documents(bpe.encode_documents(documents(spark, sf_dir), BYTE_BPE), BYTE_BPE)
     return rows.select(
@@ -76,5 +89,5 @@ def op10_bpe(spark, sf_dir):
 
 QUERIES = {"op1_secret_scan": op1_secret_scan, "op2_packing": op2_packing, "op3_exact_dedup": op3_exact_dedup, "op4_jaccard_join": op4_jaccard_join,
            "op5_unit_dedup": op5_unit_dedup, "op6_quality_model": op6_quality_model,
-           "op7_token_files": op7_token_files, "op8_quality_rules": op8_quality_rules, "op10_bpe": op10_bpe}
+           "op7_token_files": op7_token_files, "op8_quality_rules": op8_quality_rules, "op9_suffix_dedup": op9_suffix_dedup, "op10_bpe": op10_bpe}
 ORACLES: dict[str, str] = {"op5_unit_dedup": unit_dedup.ORACLE_SQL, "op3_exact_dedup": exact_dedup.ORACLE_SQL, "op8_quality_rules": quality_rules.ORACLE_SQL}
