@@ -58,16 +58,21 @@ def _rank() -> Column:
                     "doc_id", "file", "number")
 
 
-def located(docs: DataFrame) -> DataFrame:
-    """``(held, file, number)``: the rows with the place of each in the Parquet files.  Rows that
-    aren't read straight from files are written to the shared folder first."""
-    place = [F.col("_metadata.file_path").alias("file"),
-             F.col("_metadata.row_index").alias("number")]
-    held = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("held")
+def on_files(docs: DataFrame) -> DataFrame:
+    """``docs`` if its rows are read straight from files; else a copy in the shared folder, so
+    that the places of its rows are the same each time they are asked for."""
     try:
-        return docs.select(held, *place)
+        docs.select("_metadata.row_index")
     except AnalysisException:
-        return staged(docs).select(held, *place)
+        return staged(docs)
+    return docs
+
+
+def located(docs: DataFrame) -> DataFrame:
+    """``(held, file, number)``: the rows with the place of each in the Parquet files."""
+    held = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("held")
+    return on_files(docs).select(held, F.col("_metadata.file_path").alias("file"),
+                                 F.col("_metadata.row_index").alias("number"))
 
 
 def fingerprints(rows: DataFrame, folder: str, digest: Callable[[Column], Column]) -> DataFrame:

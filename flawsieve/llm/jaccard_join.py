@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import SPACES, ready_workers, shared_folder, staged
-from .exact_dedup import located
+from .exact_dedup import located, on_files
 
 SHINGLE, SIMILARITY = 5, 0.8
 TREES, LONGEST_PREFIX, TARGET_RECALL = 32, 12, 0.99
@@ -348,6 +348,7 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 
 def one_of_each_class(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The rows with the smallest ``doc_id`` of each class, one for each, with all columns."""
+    docs = on_files(docs)
     rows = located(docs)
     best = Join(docs, similarity).members.groupBy("class_key").agg(F.min(F.struct(
         F.col("doc_id").isNull(), "doc_id", "file", "number")).alias("best"))

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import ready_workers, shared_folder, staged
-from .exact_dedup import located
+from .exact_dedup import located, on_files
 from .jaccard_join import _mixed, plain_words
 
 LEAST, WINDOW, GRAM = 50, 24, 5
@@ -282,6 +282,7 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
 def without_later(docs: DataFrame) -> DataFrame:
     """``(doc_id, text, cleaned)``: each text without the words of its later passages; a text that
     loses words has one space between those that stay."""
+    docs = on_files(docs)
     later = repeated_passages(docs).select(*PLACE, "later")
     rows = located(docs).select("held.doc_id", F.col("held.text").alias("text"),
                                 F.xxhash64("file").alias("file"), "number").alias("t")

@@ -16,7 +16,7 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 
 # A worker remembers two generations of at most so many pieces of at most so many characters.
-REMEMBERED, LONGEST = 400_000, 48
+REMEMBERED, LONGEST = 500_000, 48
 # Texts are taken from a batch in shares of about so many characters.
 SHARE = 2_000_000
 # Pieces that are encoded as one text.
@@ -73,11 +73,27 @@ class PieceEncoder:
         """The ids of the new pieces that can stand alone; remembers those that aren't long."""
         alone = [p for p in self.known.new if _stands_alone(p)]
         self.known.new.clear()
-        ids = dict(zip(alone, self.encode(alone)))
+        parts = {p: _cut_mark(p) for p in alone}
+        look = self.known.__getitem__
+        ids = {q: i for q in {q for both in parts.values() for q in both}
+               if (i := look(q)) is not None}
+        new = [*self.known.new]
+        self.known.new.clear()
+        ids.update(zip(new, self.encode(new)))
+        ids.update((p, ids[both[0]] + ids[both[1]]) for p, both in parts.items() if len(both) > 1)
         self.known.update((p, i) for p, i in ids.items() if len(p) <= LONGEST)
         return ids
 
 
+def _cut_mark(piece: str) -> tuple[str, ...]:
+    """A piece without the marks at its end, and these: the split pattern always cuts between a
+    letter and such a mark.  Other pieces stay whole."""
+    word = piece.rstrip(",.!?;:")
+    if len(word) < len(piece) and word[-1:] < "\u0100" and word[-1:].isalpha():
+        return word, piece[len(word):]
+    return (piece,)
+
+
 def _stands_alone(piece: str) -> bool:
     """A first piece, or a space and visible characters at both ends."""
     body = piece[1:] if piece[:1] == " " else piece
