@@ -98,7 +98,7 @@ def heads(texts: DataFrame) -> DataFrame:
                 yield _taken(batch, rows, found, places)
 
     def _taken(batch, rows, found, places):
-        part = batch.take(pa.array(np.concatenate(rows)))
+        part = batch.select(list(PLACE)).take(pa.array(np.concatenate(rows)))
         return pa.RecordBatch.from_arrays(
             [*[part.column(n) for n in PLACE], pa.array(np.concatenate(found), pa.int64()),
              pa.array(np.concatenate(places), pa.int32())], schema.names)
@@ -123,7 +123,7 @@ def _contexts(rows: DataFrame) -> DataFrame:
                 at = [s["at"] for s in suffix]
                 rights = [padded[LEFT + p + HEAD:LEFT + p + HEAD + RIGHT].tobytes() for p in at]
                 lefts = [padded[p:p + LEFT][::-1].tobytes() for p in at]
-                place = batch.slice(i, 1).take(pa.array([0] * len(at), pa.int64()))
+                place = batch.select(list(PLACE)).take(pa.array([i] * len(at), pa.int64()))
                 yield pa.RecordBatch.from_arrays(
                     [*[place.column(n) for n in PLACE],
                      pa.array([s["head"] for s in suffix], pa.int64()),
