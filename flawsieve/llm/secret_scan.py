@@ -4,8 +4,8 @@ Two Markov models of characters give the chance of each character after the one
 of random strings, one of ordinary identifiers.  A long string is a secret if the sum of the
 logarithms of their ratios exceeds what the rarity of secrets asks for.  The models are trained
 from labelled samples, counted over all documents: values that a fixed pattern finds are random
-strings, other strings without a digit are ordinary.  Both start from one uniform count for each
-pair, so without samples nothing is found but by the fixed patterns.
+strings, other strings without a digit are ordinary.  A character that never followed another is
+judged by how often it occurs at all; without samples nothing is found but by the fixed patterns.
 
 Everything is array and string functions within the row.  Training counts pairs of characters,
 combined before the shuffle; what reaches the driver is at most one count for each pair of 67
@@ -40,7 +40,8 @@ LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 STRING = "[A-Za-z0-9+/_=-]"
 SIZE = len(LETTERS) + 1  # class 0 stands before the first character
 SAMPLE_LENGTH = 8  # least characters of an ordinary sample
-LEAST_LENGTH = 20  # least characters of a string that is judged
+LEAST_LENGTH = 20  # least characters of a string that is judged; it has letters and digits
+BACK_OFF = 20.0
 PRIOR = 1e-6  # share of secrets among long strings
 BLOCK = 256
 PLACEHOLDER = "[secret]"
@@ -181,15 +182,29 @@ def train(labelled: DataFrame) -> list[float]:
         lambda p: p.isNotNull() & (p % SIZE != 0)))
     counts = labelled.filter("sample is not null and random is not null").select(
         "random", F.explode(pairs).alias("pair")).groupBy("random", "pair").count()
-    table = {kind: [1.0] * (SIZE * SIZE) for kind in (True, False)}
+    table = {kind: [0] * (SIZE * SIZE) for kind in (True, False)}
     for r in counts.collect():  # at most 2 * 68 * 68 rows
-        table[r["random"]][r["pair"]] += r["count"]
-    chance = {}
-    for kind, row in table.items():
-        sums = [sum(row[a * SIZE + 1:(a + 1) * SIZE]) for a in range(SIZE)]
-        chance[kind] = [math.log(n / sums[i // SIZE]) for i, n in enumerate(row)]
-    return [round(a - b, 6) if i % SIZE else 0.0
-            for i, (a, b) in enumerate(zip(chance[True], chance[False]))]
+        table[r["random"]][r["pair"]] = r["count"]
+    random, ordinary = _chances(table[True], True), _chances(table[False], False)
+    return [round(math.log(a / b), 6) if i % SIZE else 0.0
+            for i, (a, b) in enumerate(zip(random, ordinary))]
+
+
+def _chances(pairs: list[int], random: bool) -> list[float]:
+    """The chance of each character after each other: counts of the pair, with ``BACK_OFF`` more
+    dealt by how often a character occurs at all.  That starts from one for each character; for
+    random strings half of it is uniform, as samples of one kind of secret lack characters that
+    others have."""
+    total = [1 + sum(pairs[b::SIZE]) for b in range(1, SIZE)]
+    each = [n / sum(total) for n in total]
+    if random:
+        each = [(p + 1 / len(each)) / 2 for p in each]
+    out = []
+    for a in range(SIZE):
+        row = pairs[a * SIZE:(a + 1) * SIZE]
+        out += [1.0] + [(n + BACK_OFF * p) / (sum(row[1:]) + BACK_OFF)
+                        for n, p in zip(row[1:], each)]
+    return out
 
 
 def evidence(string: Column, ratios: list[float]) -> Column:
@@ -209,7 +224,8 @@ def scan(docs: DataFrame, ratios: list[float]) -> DataFrame:
     least = math.log((1 - PRIOR) / PRIOR)
     with_base = docs.withColumn("base_spans", base_spans(text))
     added = let(masked(text, F.col("base_spans")), lambda rest: _hits(
-        rest, long_string, _spans(len(KINDS), 0, lambda h: evidence(h, ratios) > least)))
+        rest, long_string, _spans(len(KINDS), 0, lambda h: h.rlike("[0-9]") & h.rlike(
+            "[A-Za-z]") & (evidence(h, ratios) > least))))
     return with_base.withColumn("secret_spans", F.array_sort(F.concat("base_spans", added)))
 
 
