@@ -19,7 +19,7 @@ document is cut into many pieces; a document without tokens has no piece.
 
 from __future__ import annotations
 
-from collections import defaultdict, deque
+from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -57,16 +57,24 @@ class Piece:
     loss: np.ndarray
     doc_tokens: int
 
+    def __post_init__(self):
+        self.kind = (len(self.ids), int(np.count_nonzero(self.loss)))
+
 
 class Packer:
-    """Packs pieces one sequence at a time.  Pieces of the same demands wait in one queue, so a
-    choice looks at the distinct demands only."""
+    """Packs pieces one sequence at a time.  Pieces of the same demands are one kind and wait in
+    one queue, so a choice looks at the distinct demands only."""
 
     def __init__(self, limits: Limits):
-        self.limits = limits
-        self.queues: dict[tuple[int, int], deque[Piece]] = defaultdict(deque)
-        self.size = 0
-        self.kinds: np.ndarray | None = None
+        self.limits, self.size = limits, 0
+        self.whole = np.array([limits.tokens, limits.loss_tokens, limits.segments], dtype=float)
+        self.clear()
+
+    def clear(self) -> None:
+        self.queues: list[deque[Piece]] = []
+        self.number: dict[tuple[int, int], int] = {}
+        self.kinds = np.ones((256, 3))
+        self.waiting = np.zeros(256, dtype=bool)
 
     def add(self, document, ids: np.ndarray, loss: np.ndarray) -> Iterator[list[Piece]]:
         """Takes a document's ids and, for each, whether it bears loss; yields the sequences that
@@ -74,8 +82,8 @@ class Packer:
         start, limit = 0, self.limits
         while len(ids) - start >= limit.tokens:
             end = start + limit.tokens
-            if loss[start:end].sum() > limit.loss_tokens:
-                end = start + int(np.searchsorted(np.cumsum(loss[start:]), limit.loss_tokens,
+            if np.count_nonzero(loss[start:end]) > limit.loss_tokens:
+                end = start + int(np.searchsorted(np.cumsum(loss[start:end]), limit.loss_tokens,
                                                   side="right"))
             yield [Piece(document, start, ids[start:end], loss[start:end], len(ids))]
             start = end
@@ -86,43 +94,54 @@ class Packer:
 
     def put(self, piece: Piece, first: bool = False) -> None:
         """Into the pool; a rest that bears more loss than a sequence may is halved."""
-        if piece.loss.sum() > self.limits.loss_tokens:
+        if piece.kind[1] > self.limits.loss_tokens:
             for part in cut(piece, len(piece.ids) // 2):
                 self.put(part)
             return
-        key = (len(piece.ids), int(piece.loss.sum()))
-        if not self.queues[key]:
-            self.kinds = None
-        (self.queues[key].appendleft if first else self.queues[key].append)(piece)
+        at = self.number.get(piece.kind)
+        if at is None:
+            if len(self.queues) > 4096 + 2 * self.waiting.sum():  # most kinds have no piece left
+                held = [q for q in self.queues if q]
+                self.clear()
+                for queue in held:
+                    self._kind(queue[0].kind, queue)
+            at = self._kind(piece.kind, deque())
+        (self.queues[at].appendleft if first else self.queues[at].append)(piece)
+        self.waiting[at] = True
         self.size += 1
 
-    def take(self, key: tuple[int, int]) -> Piece:
-        piece = self.queues[key].popleft()
-        if not self.queues[key]:
-            del self.queues[key]
-            self.kinds = None
+    def _kind(self, kind: tuple[int, int], queue: deque[Piece]) -> int:
+        at = self.number[kind] = len(self.queues)
+        if at == len(self.waiting):
+            self.kinds = np.concatenate([self.kinds, np.ones_like(self.kinds)])
+            self.waiting = np.concatenate([self.waiting, np.zeros_like(self.waiting)])
+        self.queues.append(queue)
+        self.kinds[at, :2], self.waiting[at] = kind, bool(queue)
+        return at
+
+    def take(self, at: int) -> Piece:
+        piece = self.queues[at].popleft()
+        self.waiting[at] = bool(self.queues[at])
         self.size -= 1
         return piece
 
     def sequence(self) -> list[Piece]:
-        limit = self.limits
-        room = np.array([limit.tokens, limit.loss_tokens, limit.segments], dtype=float)
-        whole, chosen = room.copy(), []
+        room, chosen = self.whole.copy(), []
         while self.size and room[2] >= 1 and room[0] >= 1:
-            if self.kinds is None:
-                keys = np.array(list(self.queues), dtype=float)
-                self.kinds = np.column_stack([keys, np.ones(len(keys))])
-            fits = (self.kinds <= room).all(axis=1)
-            if fits.any():
-                value = np.where(fits, (self.kinds / whole) @ (room / whole), -1.0)
-                kind = self.kinds[int(value.argmax())]
-                chosen.append(self.take((int(kind[0]), int(kind[1]))))
+            n = len(self.queues)
+            kinds = self.kinds[:n]
+            # Demands and room as shares of the limits.
+            value = kinds @ (room / self.whole ** 2)
+            value[~(self.waiting[:n] & (kinds[:, 0] <= room[0]) & (kinds[:, 1] <= room[1]))] = -1
+            at = int(value.argmax())
+            if value[at] >= 0:
+                chosen.append(self.take(at))
             else:
                 part = self.fitted(int(room[0]), int(room[1]))
                 if part is None:
                     break
                 chosen.append(part)
-            room -= (len(chosen[-1].ids), chosen[-1].loss.sum(), 1)
+            room -= (*chosen[-1].kind, 1)
         return chosen
 
     def fitted(self, tokens: int, loss: int) -> Piece | None:
@@ -130,12 +149,12 @@ class Packer:
         least = self.limits.least_cut
         if tokens < least:
             return None
-        key = max(self.queues)
-        if key[0] < tokens + least:
+        at = int(np.where(self.waiting, self.kinds[:, 0], 0).argmax())
+        if self.kinds[at, 0] < tokens + least:
             return None
-        piece = self.take(key)
+        piece = self.take(at)
         front, rest = cut(piece, tokens)
-        if front.loss.sum() > loss:
+        if front.kind[1] > loss:
             self.put(piece, first=True)
             return None
         self.put(rest)
@@ -200,7 +219,7 @@ def _packed(rows: DataFrame, limits: Limits, documents) -> DataFrame:
             offset, total = 0, sum(len(p.ids) for p in pieces)
             for p in pieces:
                 out.append((p.document, p.start, len(p.ids), p.ids.astype("<u4").tobytes(),
-                            p.doc_tokens, int(p.loss.sum()), number, offset, total))
+                            p.doc_tokens, p.kind[1], number, offset, total))
                 offset += len(p.ids)
             number += 1
 
