@@ -6,8 +6,6 @@ under a path that depends on the id as well.  ``corpus_sql`` is the same for Duc
 
 from __future__ import annotations
 
-import os
-
 from flawsieve.sources.files import spread
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,16 +47,10 @@ def path_of(key: Column) -> Column:
     return _pick(FOLDERS, key)
 
 
-# A table file up to this size is spread over the cores before it is scanned.
-SMALL_FILE = 256 << 20
-
-
 def table(spark: SparkSession, sf_dir: str, name: str, *key: str) -> DataFrame:
-    """A given table; with a key, spread by it if it is one small file."""
-    path = f"{sf_dir}/{name}.parquet"
-    rows = spark.read.parquet(path)
-    small = os.path.isfile(path) and os.path.getsize(path) <= SMALL_FILE
-    return spread(rows, *key) if key and small else rows
+    """A given table; with a key, spread by it, whatever its size."""
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(rows, *key) if key else rows
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:

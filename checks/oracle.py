@@ -227,19 +227,15 @@ def window_sql(content: str, line: str) -> str:
 
 
 def prompt_sql(window: str) -> str:
-    return (f"'Review this security finding:' || chr(10) || chr(10) || 'Finding Type: ' || "
-            f"finding_type || chr(10) || 'Severity: ' || severity || chr(10) || 'Evidence: ' "
-            f"|| evidence || chr(10) || 'Line: ' || line || chr(10) || chr(10) || "
-            f"'Code context:' || chr(10) || '```' || chr(10) || {window} || chr(10) || '```' "
-            f"|| chr(10) || chr(10) || 'Give:' || chr(10) || '1. What the weakness is' || "
-            f"chr(10) || '2. How to fix it, with code' || chr(10)")
+    return (f"'A scan marked line ' || line || ' as ' || finding_type || ', ' || severity || "
+            f"', because of this text:' || chr(10) || '    ' || evidence || chr(10) || "
+            f"'The lines around it:' || chr(10) || chr(10) || {window} || chr(10) || chr(10) || "
+            f"'Is the mark right, and what would make the code safe?' || chr(10)")
 
 
 def document_sql(window: str) -> str:
-    return (f"'# Finding: ' || finding_type || ' at line ' || line || chr(10) || "
-            f"'# Severity: ' || severity || chr(10) || '# Evidence: ' || evidence || chr(10) "
-            f"|| '# File: ' || file || chr(10) || chr(10) || {prompt_sql(window)} || chr(10) "
-            f"|| chr(10) || {quoted(ANSWER_FORMAT)}")
+    return (f"file || ':' || line || ' | ' || finding_type || ' | ' || severity || ' | ' || "
+            f"evidence || chr(10) || chr(10) || {prompt_sql(window)} || {quoted(ANSWER_FORMAT)}")
 
 
 KEY = "replace(finding_type, ' ', '_') || '_line' || line"
@@ -369,8 +365,9 @@ SELECT {COUNTS}, (SELECT count(*) FROM files) AS files_scanned FROM merged"""
 windowed AS (SELECT e.file, e.line, e.ek AS k, e.finding_type, e.severity, e.evidence,
                     {window_sql('f.content', 'e.line')} AS win
              FROM escalated e JOIN files f ON f.path = e.file)"""
-    answers = (f"answers AS (SELECT {path_sql('conv_id')} AS file, text || chr(10) || 'Fix: ' "
-               f"|| text AS answer FROM conversations WHERE role = 'assistant' AND turn = 1)")
+    answers = (f"answers AS (SELECT {path_sql('conv_id')} AS file, max_by(text, turn) || chr(10) || "
+               f"'Fix: ' || max_by(text, turn) AS answer FROM conversations WHERE role = 'assistant' "
+               f"GROUP BY conv_id)")
     routed = f"""{answers},
 routed AS (SELECT e.file, e.line, e.ek AS k, e.finding_type,
                   CASE WHEN a.answer IS NOT NULL THEN {parsed_answer('a.answer', 'explanation')}
@@ -507,6 +504,14 @@ SELECT vec_id, ord, round(similarity, 6) AS similarity FROM sims WHERE similarit
         "cosine_best": f"""WITH {CENTROIDS}
 SELECT vec_id, min_by(ord, (-similarity, ord)) AS ord, round(max(similarity), 6) AS similarity
 FROM sims GROUP BY vec_id HAVING max(similarity) > 0""",
+        "cosine_blocks": """WITH v AS (SELECT CAST(vec_id AS INTEGER) AS id,
+       list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+sims AS (SELECT i.id, p.id AS ord, list_cosine_similarity(i.e, p.e) AS similarity
+         FROM v i, v p WHERE p.id % 50 = 7),
+best AS (SELECT id, min_by(ord, (-similarity, ord)) AS ord, max(similarity) AS similarity
+         FROM sims GROUP BY id HAVING max(similarity) > 0)
+SELECT id - id % 2 AS item, count(*) AS matches, min(ord) AS first_ord, max(ord) AS last_ord,
+       round(max(similarity), 6) AS similarity FROM best GROUP BY item""",
         "cosine_to_label": f"""WITH {CENTROIDS}
 SELECT vec_id, own AS label, round(similarity, 6) AS similarity FROM sims WHERE ord = own""",
         "mean_pool": """SELECT label, CAST(i - 1 AS INTEGER) AS dim,
@@ -547,7 +552,8 @@ SELECT m.file, m.line, m.seq, m.finding_type, m.severity, m.evidence,
 FROM merged m JOIN files f ON f.path = m.file""",
         "known_pattern_summary": f"""WITH {all_raw}, {kept()}, {merged()}
 SELECT string_agg('- ' || finding_type || ': ' || substring(evidence, 1, 50) || chr(10), ''
-                  ORDER BY file, line, seq) AS known_patterns
+                  ORDER BY file, line, seq) AS known_patterns,
+       (SELECT count(*) FROM merged) AS n_examples
 FROM (SELECT * FROM merged ORDER BY file, line, seq LIMIT 5) t""",
         "findings_history": f"""WITH {all_raw}, {kept()}, {merged()}
 SELECT f.lang AS scan_id, count(*) AS findings FROM merged m JOIN files f ON f.path = m.file

@@ -62,7 +62,8 @@ def heuristic_scan(spark, sf_dir):
 
 
 def custom_rule_scan(spark, sf_dir):
-    return scan_matches(corpus(spark, sf_dir), EDITED_CATALOGUE).where("lane = 'rule'").select(
+    rules = tuple(r for r in EDITED_CATALOGUE if r.lane == cat.RULE)
+    return scan_matches(corpus(spark, sf_dir), rules).select(
         "file", "k", F.col("pattern").alias("rule_id"), "finding_type", "evidence", "line")
 
 
@@ -253,6 +254,19 @@ def cosine_best(spark, sf_dir):
         "similarity", F.round("similarity", 6))
 
 
+def cosine_blocks(spark, sf_dir):
+    """The best match of each vector among several blocks of patterns; every id comes twice."""
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("int"), "embedding")
+    patterns = vectors.where("vec_id % 50 = 7").select(
+        F.col("vec_id").alias("ord"), F.col("embedding").alias("vector"))
+    items = vectors.select((F.col("vec_id") - F.col("vec_id") % 2).alias("item"),
+                           F.col("embedding").alias("vector"))
+    return similar_patterns(items, patterns, ["item"], threshold=0.0, best_only=True,
+                            blocks=5, shares=7).groupBy("item").agg(
+        F.count("*").alias("matches"), F.min("ord").alias("first_ord"),
+        F.max("ord").alias("last_ord"), F.round(F.max("similarity"), 6).alias("similarity"))
+
+
 def cosine_to_label(spark, sf_dir):
     """Similarity of each vector to the mean of its own label, in plain expressions."""
     vectors = table(spark, sf_dir, "embeddings")
@@ -322,9 +336,10 @@ def response_parse(spark, sf_dir):
 
 
 def _answers(spark, sf_dir):
-    """Answers to some escalated lines: the first assistant turn of the conversation that has
-    the id of the document, with a line that speaks of a fix."""
-    turns = table(spark, sf_dir, "conversations").where("role = 'assistant' AND turn = 1")
+    """Answers to some escalated lines: the last assistant turn of the conversation that has the
+    id of the document, with a line that speaks of a fix."""
+    turns = table(spark, sf_dir, "conversations").where("role = 'assistant'").groupBy(
+        "conv_id").agg(F.max_by("text", "turn").alias("text"))
     return turns.select(path_of(F.col("conv_id")).alias("file"),
                         F.concat("text", F.lit("\nFix: "), "text").alias("answer"))
 
@@ -411,6 +426,7 @@ QUERIES = {f.__name__: f for f in (
     score_rows, escalation, escalation_lookup, merged_findings, scan_report, filtered_report,
     code_report, report_summary, gate, top_findings, json_report, context_validate,
     classified_findings, safe_alternatives, keyword_lines, cosine_threshold, cosine_best,
+    cosine_blocks,
     cosine_to_label, mean_pool, detector_scan, semantic_report, prompt_window,
     prompt_window_join, prompt_render, prompt_export, stub_analysis, response_parse,
     analysis_routing, analysed_report, training_set, known_pattern_summary, findings_history,

@@ -73,15 +73,16 @@ def words_in(text: Column, words: list[str]) -> Column:
 def matching_rules(content: Column, needles: Column, catalogue: tuple[Rule, ...]) -> Column:
     """The rules that match the text, in catalogue order.
 
-    ``needles`` are those of the catalogue's needles that occur in the folded text.
+    ``needles`` are those of the catalogue's needles that occur in the folded text.  They are
+    bound to a variable, so they are looked up once wherever the expression stands.
     """
-    return F.filter(
+    return let(needles, lambda found: F.filter(
         rule_array(catalogue),
         lambda rule: (
             (F.size(rule.needles) == 0)
-            | F.exists(rule.needles, lambda needle: F.array_contains(needles, needle)))
+            | F.exists(rule.needles, lambda needle: F.array_contains(found, needle)))
         & (rule.guard.isNull() | F.rlike(content, rule.guard))
-        & F.rlike(content, rule.regex))
+        & F.rlike(content, rule.regex)))
 
 
 def match_counts(content: Column, lines: Column, rule: Column) -> Column:

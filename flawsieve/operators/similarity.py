@@ -1,8 +1,9 @@
 """Matching by vector similarity: lines against a catalogue of described weaknesses.
 
-The catalogue side is a small matrix that travels with the task; each Arrow batch of vectors
-is compared with it by one matrix product, and only the matches come back.  No pair of line
-and pattern ever becomes a row unless it is a result.
+The package's own catalogues are small matrices that travel with the task; each Arrow batch of
+vectors is compared with one by one matrix product, and only the matches come back.  A *table* of
+patterns is cut into blocks and meets shares of the items by co-group.  No pair of line and
+pattern ever becomes a row unless it is a result.
 """
 
 from __future__ import annotations
@@ -22,10 +23,6 @@ DETECTOR_THRESHOLD = 0.55
 
 HITS_TYPE = "array<struct<ord:int,similarity:double>>"
 
-# A pattern table up to this size is taken into the tasks whole.  A larger one is joined in
-# blocks of this size.
-MAX_LOCAL_PATTERNS = 4096
-
 
 @dataclass(frozen=True)
 class PatternSet:
@@ -182,41 +179,28 @@ def hashed_ngrams(dimensions: int = 256):
 
 def similar_patterns(items: DataFrame, patterns: DataFrame, key: list[str],
                      vector: str = "vector", threshold: float = PATTERN_THRESHOLD,
-                     best_only: bool = False,
-                     max_local: int = MAX_LOCAL_PATTERNS) -> DataFrame:
+                     best_only: bool = False, blocks: int = 1,
+                     shares: int | None = None) -> DataFrame:
     """The matches ``(*key, ord, similarity)`` of a table of vectors in a table of patterns
-    ``(ord, vector)``.  ``key`` identifies an item.
+    ``(ord, vector)``; of repeated keys each row has its own.
 
-    The size of the pattern table is checked first.  Up to ``max_local`` rows it travels with
-    the tasks and nothing is shuffled; beyond that both sides meet block by block.
+    Patterns are dealt to ``blocks`` and items to ``shares`` (by default the session's number of
+    shuffle partitions); each task compares one share with one block.  Both are the caller's
+    choice, so that a block and a share fit into a task: nothing is counted beforehand, and the
+    plan is the same for all sizes.  An exact search has to bring each item to each block, so
+    items are copied ``blocks`` times and patterns ``shares`` times, vectors included.
     """
-    head = patterns.select("ord", "vector").limit(max_local + 1).collect()
-    if not head:
-        empty = F.array().cast(HITS_TYPE)
-        return items.select(*key, F.inline(empty))
-    if len(head) <= max_local:
-        rows = sorted(head, key=lambda r: r.ord)
-        local = PatternSet.of([r.ord for r in rows], [r.vector for r in rows])
-        return items.select(*key, F.inline(vector_hits(vector, local, threshold, best_only)))
-    return _block_join(items, patterns, key, vector, threshold, best_only, max_local)
-
-
-def _block_join(items, patterns, key, vector, threshold, best_only, block_size,
-                items_per_task=20_000):
-    """Patterns are cut into blocks and items into shares; each task compares one share with
-    one block, so no task grows with either table."""
-    blocks = -(-patterns.count() // block_size)
-    shares = -(-items.count() // items_per_task) or 1
+    shares = shares or int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
     blocked = patterns.select(
-        F.pmod(F.xxhash64("ord"), F.lit(blocks)).alias("block"),
-        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shares - 1).cast("long")))
-        .alias("share"),
+        F.pmod(F.xxhash64("ord"), F.lit(blocks)).alias("block"), each(shares).alias("share"),
         "ord", F.col("vector").alias("pattern_vector"))
-    shared = items.select(
-        *key, F.col(vector).alias("item_vector"),
-        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
-        .alias("block"),
-        F.pmod(F.xxhash64(*key), F.lit(shares)).alias("share"))
+    # Rows are numbered before they are copied.
+    numbered = items.select(*key, F.col(vector).alias("item_vector"),
+                            F.monotonically_increasing_id().alias("row"))
+    shared = numbered.select("*", each(blocks).alias("block")).withColumn(
+        "share", F.pmod(F.xxhash64("row"), F.lit(shares)))
+    key = [*key, "row"]
 
     pairs = _pair_finder(threshold, best_only)
 
@@ -240,12 +224,12 @@ def _block_join(items, patterns, key, vector, threshold, best_only, block_size,
         return out
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}"
-                       for f in items.select(*key).schema.fields)
+                       for f in shared.select(*key).schema.fields)
     found = (shared.where(F.col("item_vector").isNotNull()).groupBy("block", "share")
              .cogroup(blocked.groupBy("block", "share"))
              .applyInPandas(compare, f"{schema}, ord int, similarity double"))
     if not best_only:
-        return found
+        return found.drop("row")
     best = found.where("similarity > 0").groupBy(*key).agg(
         F.max(F.struct("similarity", (-F.col("ord")).alias("rank"))).alias("best"))
-    return best.select(*key, (-F.col("best.rank")).alias("ord"), "best.similarity")
+    return best.select(*key[:-1], (-F.col("best.rank")).alias("ord"), "best.similarity")

@@ -38,23 +38,27 @@ def load_examples(spark: SparkSession, path: str) -> DataFrame:
 
 
 def known_patterns(examples: DataFrame, order: list[Column | str]) -> DataFrame:
-    """One row: a summary of the first few examples, and how many there are."""
+    """One row: a summary of the first few examples, and how many examples there are."""
     first = examples.orderBy(*order).limit(SUMMARY_EXAMPLES)
     ranked = first.select(
         F.struct(*order).alias("o"),
         F.concat(F.lit("- "), "finding_type", F.lit(": "),
                  F.substring(F.coalesce("evidence", F.lit("")), 1, SUMMARY_EVIDENCE),
-                 F.lit("\n")).alias("text"))
-    text = ranked.agg(F.sort_array(F.collect_list(F.struct("o", "text"))).alias("t"))
-    return text.select(F.array_join(F.transform("t", lambda t: t.text), "")
-                       .alias("known_patterns"))
+                 F.lit("\n")).alias("text"), F.lit(0).cast("long").alias("n"))
+    total = examples.agg(F.count(F.lit(1)).alias("n")).select(
+        F.lit(None).cast(ranked.schema["o"].dataType).alias("o"),
+        F.lit(None).cast("string").alias("text"), "n")
+    return ranked.unionByName(total).agg(
+        F.sort_array(F.collect_list(F.when(F.col("text").isNotNull(), F.struct("o", "text"))))
+        .alias("t"), F.max("n").alias("n_examples")).select(
+        F.array_join(F.transform("t", lambda t: t.text), "").alias("known_patterns"), "n_examples")
 
 
 def knowledge_prompt(code: Column, known: Column) -> Column:
     """Asks a reviewer to judge code with the known patterns at hand."""
-    return F.concat(F.lit("With what is known so far, analyse:\n\nCode:\n"), code,
-                    F.lit("\n\nKnown patterns:\n"), known,
-                    F.lit("\n\nIs it vulnerable? Explain."))
+    return F.concat(F.lit("Earlier reviews confirmed these:\n"), known,
+                    F.lit("\nDoes the following code show one of them, or another weakness? "
+                          "Name the lines.\n\n"), code, F.lit("\n"))
 
 
 def record_scan(findings: DataFrame, scan_id: str, path: str) -> None:

@@ -74,20 +74,6 @@ def _targets(path: Column, source: Column) -> Column:
         .otherwise(F.array().cast("array<struct<kind:string,target:string>>")))
 
 
-MAX_NAMED_TARGETS = 1000
-
-
-def _only_asked(offered: DataFrame, asked: DataFrame) -> DataFrame:
-    """Without the files that no request asks for, as long as the targets are few enough to
-    be tested within the row.  Otherwise every file is scanned, which gives the same answers.
-    """
-    names = [f"{r.kind}:{r.target}" for r in asked.limit(MAX_NAMED_TARGETS + 1).collect()]
-    if len(names) > MAX_NAMED_TARGETS:
-        return offered
-    own = F.transform("_targets", lambda t: F.concat_ws(":", t.kind, t.target))
-    return offered.where(F.arrays_overlap(own, F.lit(names)) if names else F.lit(False))
-
-
 def answer_requests(requests: DataFrame, files: DataFrame, catalogue=DEFAULT_CATALOGUE,
                     request: str = "request") -> DataFrame:
     """One row per request: its error, or the counts of its report."""
@@ -108,12 +94,14 @@ def answer_requests(requests: DataFrame, files: DataFrame, catalogue=DEFAULT_CAT
     size = F.col("size") if "size" in files.columns else F.octet_length("content")
     offered = files.withColumn("_targets", _targets(
         F.col("path"), is_source_file(F.col("path"), size)))
-    per_target = (
-        offered.select(F.inline("_targets")).join(asked, ["kind", "target"])
-        .groupBy("kind", "target").agg(F.count("*").alias("files_scanned")))
-    # The scan counts per target; neither texts nor single findings are joined or shuffled.
+    # Which files are asked for is settled on paths; texts only pass the semi join, and Spark
+    # picks that join by the measured number of paths.
+    met = offered.select("path", F.inline("_targets")).join(asked, ["kind", "target"])
+    per_target = met.groupBy("kind", "target").agg(F.count("*").alias("files_scanned"))
+    wanted = offered.join(met.select("path"), "path", "left_semi")
+    # The scan counts per target; single findings are neither joined nor shuffled.
     found = (
-        scan(_only_asked(offered, asked), catalogue, keep=("_targets",))
+        scan(wanted, catalogue, keep=("_targets",))
         .select("severity", F.inline("_targets"))
         .groupBy("kind", "target")
         .agg(F.count("*").alias("total_findings"), *severity_counts()))

@@ -11,7 +11,6 @@ from ..catalogue import DETERMINISTIC_RULES, HEURISTIC_RULES, Rule, rule_from_di
 
 RULE_JSON = ("id string, name string, description string, pattern string, severity string, "
              "finding_type string, needs_escalation boolean, _corrupt string")
-MAX_RULES = 10_000
 
 
 def read_rules(spark: SparkSession, path: str | None,
@@ -25,12 +24,10 @@ def read_rules(spark: SparkSession, path: str | None,
         try:
             rows = (spark.read.schema(RULE_JSON).option("multiLine", True)
                     .option("columnNameOfCorruptRecord", "_corrupt").json(path)
-                    .limit(MAX_RULES + 1).collect())
+                    .collect())
         except AnalysisException as e:
             warnings.warn(f"no rules read from {path} ({e.getCondition()}); built-in ones used")
             return rules + heuristics
-        if len(rows) > MAX_RULES:
-            raise ValueError(f"{path} has more than {MAX_RULES} rules")
         if any(r["_corrupt"] is not None for r in rows):
             warnings.warn(f"{path} is not a JSON array of rules; built-in ones used")
         else:

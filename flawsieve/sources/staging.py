@@ -3,25 +3,29 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def staged(rows: DataFrame) -> DataFrame:
-    """Writes an intermediate result once, to the checkpoint folder, instead of computing it
-    for each of its readers.
+def staging_folder(spark: SparkSession) -> str:
+    """A new folder below the one that all executors share: ``spark.checkpoint.dir``, or the
+    context's checkpoint folder.  Where neither is set, a local session, which is one process,
+    gets a folder of its own, and any other is told to set one."""
+    context = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if root is None:
+        if context.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="run-"))
+        root = context.getCheckpointDir()
+    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+
 
-    The folder is the shared one the cluster names in ``spark.checkpoint.dir``, so the result
-    outlives the executors that wrote it.  Where none is set, a local session gets a folder of
-    its own, and a cluster session leaves the result unstaged.
-    """
+def staged(rows: DataFrame, folder: str | None = None) -> DataFrame:
+    """Writes an intermediate result once, as Parquet in ``folder`` or a new shared one, instead
+    of computing it for each of its readers, which take the columns that they need."""
     spark = rows.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        if shared is None and context.master.startswith("local"):
-            shared = tempfile.mkdtemp(prefix="run-")
-        if shared is None:
-            return rows
-        context.setCheckpointDir(shared)
-    return rows.checkpoint()
+    folder = folder or staging_folder(spark)
+    rows.write.mode("overwrite").parquet(folder)
+    return spark.read.schema(rows.schema).parquet(folder)

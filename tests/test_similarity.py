@@ -20,9 +20,9 @@ def table(spark, v, name):
                                  f"{name} int, vector array<float>")
 
 
-@pytest.mark.parametrize("max_local", [4096, 7])
+@pytest.mark.parametrize("blocks", [1, 6])
 @pytest.mark.parametrize("best_only", [False, True])
-def test_matches(spark, max_local, best_only):
+def test_matches(spark, blocks, best_only):
     items, patterns = vectors(1, 300), vectors(2, 40)
     items[5] = 0
     patterns[7] = patterns[3]
@@ -37,7 +37,7 @@ def test_matches(spark, max_local, best_only):
             want |= {(i, j): s for j, s in enumerate(row) if s > 0.5}
     got = {(r.id, r.ord): r.similarity for r in similar_patterns(
         table(spark, items, "id"), table(spark, patterns, "ord"), ["id"], threshold=0.5,
-        best_only=best_only, max_local=max_local).collect()}
+        best_only=best_only, blocks=blocks).collect()}
     assert got.keys() == want.keys() and len(want) > 100
     assert all(abs(got[k] - want[k]) < 1e-9 for k in want)
 
@@ -51,10 +51,18 @@ def test_many_copies_of_one_vector(spark):
     """Copies of one item are spread over the shares by their keys."""
     items = np.repeat(vectors(3, 1), 500, axis=0)
     got = similar_patterns(table(spark, items, "id"), table(spark, items[:9], "ord"), ["id"],
-                           max_local=4)
+                           blocks=3, shares=5)
     assert got.count() == 4500
 
 
+@pytest.mark.parametrize("blocks", [1, 4])
+def test_equal_keys_have_a_match_each(spark, blocks):
+    items = table(spark, np.repeat(vectors(3, 1), 6, axis=0), "id").selectExpr("id % 2 AS id", "vector")
+    found = similar_patterns(items, table(spark, vectors(3, 9), "ord"), ["id"], threshold=0.0,
+                             best_only=True, blocks=blocks, shares=3).collect()
+    assert sorted((r.id, r.ord) for r in found) == [(0, 0)] * 3 + [(1, 0)] * 3
+
+
 def test_columns(spark):
     v = vectors(4, 30)
     rows = spark.createDataFrame(

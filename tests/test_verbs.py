@@ -52,4 +52,4 @@ def test_prompts_are_written(spark, tmp_path):
     flawsieve.scan_files(files, prompts=str(tmp_path / "p"))
     rows = spark.read.json(str(tmp_path / "p")).collect()
     assert {r.key for r in rows} >= {"Injection_line16", "XSS_line12"}
-    assert all("RESPONSE FORMAT" in r.document for r in rows)
+    assert all("State the cause" in r.document for r in rows)
