@@ -6,6 +6,8 @@ found by Spark is the match Python's ``re`` would find.
 
 from __future__ import annotations
 
+import re
+
 # What `\w`, `\s` and `\d` stand for on Unicode text, as the inside of a character class.
 WORD = r"\p{L}\p{N}_"
 SPACE = r"\t-\r\x1C-\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
@@ -14,6 +16,8 @@ _CLASSES = {"w": WORD, "s": SPACE, "d": DIGIT}
 _BOUNDARY = f"(?:(?<=[{WORD}])(?![{WORD}])|(?<![{WORD}])(?=[{WORD}]))"
 _NO_BOUNDARY = f"(?:(?<=[{WORD}])(?=[{WORD}])|(?<![{WORD}])(?![{WORD}]))"
 
+_REPETITION = re.compile(r"\{(?=\d|,)(\d*)((?:,\d*)?)\}")
+
 
 def java_pattern(pattern: str, ignore_case: bool = False) -> str:
     """The Java form of a Python pattern used with MULTILINE (and IGNORECASE)."""
@@ -50,6 +54,14 @@ def java_pattern(pattern: str, ignore_case: bool = False) -> str:
             if pattern[i + 1:i + 2] == "]":
                 out.append("\\]")
                 i += 1
+        elif c == "{":
+            # `{,n}` counts from zero; a brace that is no repetition stands for itself.
+            count = _REPETITION.match(pattern, i)
+            if count:
+                out.append("{" + (count[1] or "0") + count[2] + "}")
+                i = count.end()
+                continue
+            out.append("\\{")
         elif pattern.startswith("(?P<", i):
             out.append("(?<")
             i += 3

@@ -12,8 +12,11 @@ and whatever the match spans, and costs one pass per matching rule.
 from __future__ import annotations
 
 import json
+import warnings
 
-from pyspark.sql import Column, DataFrame
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import IllegalArgumentException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..catalogue import DEFAULT_CATALOGUE, HEURISTIC, RULE, Rule, usable
@@ -21,6 +24,7 @@ from ..functions.regex import java_pattern
 from ..functions.text import contains_any, excerpt, let, lines_of, strip
 
 MARKER = "\x01"
+_BUILT_IN = frozenset(DEFAULT_CATALOGUE)
 EVIDENCE_LENGTH = 100
 REGEX_CONFIDENCE = 0.7
 
@@ -36,6 +40,23 @@ RAW_COLUMNS = ("lane", "ord", "k", "pattern", "finding_type", "severity", "evide
                "confidence", "needs_escalation")
 
 
+def runnable(catalogue: tuple[Rule, ...]) -> tuple[Rule, ...]:
+    """The usable rules without those that Java's regexes can't express, such as conditional
+    groups: they are skipped with a warning, and don't end the scan."""
+    spark = SparkSession.getActiveSession()
+    kept = []
+    for rule in usable(catalogue):
+        if rule not in _BUILT_IN and spark is not None:
+            try:
+                spark._jvm.java.util.regex.Pattern.compile(
+                    java_pattern(rule.pattern, rule.lane == HEURISTIC))
+            except (Py4JJavaError, IllegalArgumentException) as e:
+                warnings.warn(f"rule {rule.name} skipped: {str(e).splitlines()[0]}")
+                continue
+        kept.append(rule)
+    return tuple(kept)
+
+
 def rule_array(catalogue: tuple[Rule, ...]) -> Column:
     """The catalogue as one literal ``ARRAY<STRUCT>`` column."""
     rows = [
@@ -44,7 +65,7 @@ def rule_array(catalogue: tuple[Rule, ...]) -> Column:
          "guard": r.guard and java_pattern(r.guard, r.lane == HEURISTIC),
          "needles": list(r.needles), "finding_type": r.finding_type,
          "severity": r.severity, "needs_escalation": r.needs_escalation}
-        for i, r in enumerate(usable(catalogue), 1)
+        for i, r in enumerate(runnable(catalogue), 1)
     ]
     return F.from_json(F.lit(json.dumps(rows)), f"array<{RULE_TYPE}>")
 

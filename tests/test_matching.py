@@ -10,7 +10,7 @@ from conftest import files_frame
 import model
 from flawsieve import catalogue as cat
 from flawsieve.functions.regex import java_pattern
-from flawsieve.operators.matching import scan_matches
+from flawsieve.operators.matching import matching_rules, needles_of, scan_matches, words_in
 from pyspark.sql import functions as F
 
 # One or more texts for each pattern.
@@ -169,3 +169,28 @@ def test_catalogue_sizes():
     assert len(cat.SEMANTIC_PATTERNS) == 62
     assert sum(map(len, cat.DETECTOR_DESCRIPTIONS.values())) == 43
     assert len(cat.CLASSIFICATION) == 22
+
+
+def test_rules_of_the_users(spark):
+    """Repetitions from zero and single braces match as in Python; rules that no regex engine or
+    only Python's accepts are left out with a warning."""
+    patterns = [r"foox{,3}\(", "${", "a{b}", "x{2}y{1,}", "", "(", "(foo)(?(1)x|y)"]
+    catalogue = tuple(cat.rule_from_dict({"id": f"U{i}", "name": "", "pattern": p,
+                                          "finding_type": "Own", "severity": "Low"})
+                      for i, p in enumerate(patterns))
+    text = "foo( foox( fooxxx( fooxxxx(\na{b} and ${\nxxyyy"
+    with pytest.warns(UserWarning, match="U6 skipped"):
+        found = scan_matches(files_frame(spark, [text]), catalogue).collect()
+    want = {(f"U{i}", m.group(), text[:m.start()].count("\n") + 1)
+            for i, p in enumerate(patterns[:4]) for m in re.finditer(p, text, re.M)}
+    assert {(r.pattern, r.evidence, r.line) for r in found} == want and len(want) == 5
+
+
+def test_needles_are_looked_up_once_in_a_select(spark):
+    files = files_frame(spark, ["eval(x)"])
+    needles = words_in(F.lower("content"), needles_of(cat.DEFAULT_CATALOGUE))
+    plan = files.select(F.size(matching_rules(F.col("content"), needles, cat.DEFAULT_CATALOGUE))
+                        .alias("n"))
+    assert plan.first().n > 0
+    text = plan._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("Contains(") <= 1

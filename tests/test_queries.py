@@ -9,6 +9,7 @@ import pytest
 
 import __spark_entry__ as contract
 from checks.compare import TABLES, compare
+from checks.queries import QUERIES
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 needs_data = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no test tables")
@@ -16,7 +17,7 @@ needs_data = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no test table
 WITHOUT_SQL = {"detector_scan", "semantic_report"}
 COMPARED = ["heuristic_scan", "heuristic_dedup", "table_merge", "scan_report",
             "filtered_report", "report_summary", "json_report", "context_validate",
-            "keyword_lines", "cosine_best", "mean_pool", "prompt_window_join",
+            "keyword_lines", "cosine_best", "cosine_blocks", "mean_pool", "prompt_window_join",
             "prompt_export", "response_parse", "analysed_report", "request_batch"]
 
 
@@ -30,7 +31,8 @@ def duck():
 
 
 def test_every_query_has_its_sql():
-    assert set(contract.queries()) - set(contract.oracle_sql()) == WITHOUT_SQL
+    assert set(QUERIES) - set(contract.oracle_sql()) == WITHOUT_SQL
+    assert set(QUERIES) <= set(contract.queries())
     assert set(contract.oracle_sql()) <= set(contract.queries())
 
 

@@ -130,9 +130,9 @@ def test_similarity_lifts_regex_confidence(spark):
 
 
 @pytest.mark.parametrize("code, at_least", [
-    ('API_KEY = "abcdef1234567890abcdef1234567890"', 1), ("result = eval(user_input)", 1),
-    ("os.system(cmd)", 1), ('exec("print(1)")', 1),
-    ('\nimport os\nAPI_KEY = "secret123456789012345"\ndef unsafe():\n    eval(input())\n', 2)])
+    ('API_KEY = "zq81mmw0c7vd55xk"', 1), ("total = eval(cell)", 1),
+    ("os.system(line)", 1), ('exec(step)', 1),
+    ('x = 1\nAPI_KEY = "zq81mmw0c7vd55xk"\nfor c in cells:\n    eval(c)\n', 2)])
 def test_known_weaknesses(spark, code, at_least):
     assert scan(files_frame(spark, [code])).count() >= at_least
 

@@ -11,7 +11,6 @@ from flawsieve.operators import report
 from flawsieve.operators.training import (findings_history, known_patterns, knowledge_prompt,
                                           learning_cycle, load_examples, record_scan,
                                           save_examples, training_rows)
-from flawsieve.plans import requests as request_plan
 from flawsieve.plans.requests import answer_requests
 from flawsieve.plans.scan import scan
 from flawsieve.sources.files import (changed_files, decoded_files, extension, inline_file,
@@ -130,9 +129,7 @@ REQUESTS = [
 ]
 
 
-@pytest.mark.parametrize("named_targets", [1000, 1])
-def test_requests(spark, monkeypatch, named_targets):
-    monkeypatch.setattr(request_plan, "MAX_NAMED_TARGETS", named_targets)
+def test_requests(spark):
     rows = [(i, json.dumps(r)) for i, r in REQUESTS] + [(12, "not json")]
     files = files_frame(spark, [("src/a.py", "eval(x)\nDEBUG = True"), ("src/c/d.py", "x=1"),
                                 ("notes.md", "eval(x)"), ("top.py", "os.system(x)")])
