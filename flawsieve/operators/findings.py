@@ -5,9 +5,9 @@ rows: of other lanes, other tools, or earlier runs.  Input columns are ``file, l
 pattern, finding_type, severity, evidence, confidence, needs_escalation`` and ``seq``, the
 arrival order within a file.
 
-Every one of them combines rows before the shuffle, so a key that holds a large part of the
-table does not meet in one task, and what is collected per key is at most one row per pattern
-or type.
+Aggregations combine rows before the shuffle, and what is collected per key is at most one row per
+pattern or type.  In ``dedup`` the raw rows are dealt to ``SALTS`` parts of their key, so a key that
+holds a large part of the table does not meet in one task.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ from .merge import SOURCE_TYPE, merge_line
 
 LINE = ["file", "line"]
 TYPE = [*LINE, "finding_type"]
+# Parts of a key in the join of repetitions with the firsts.
+SALTS = 16
 
 
 def dedup(findings: DataFrame) -> DataFrame:
@@ -36,10 +38,13 @@ def dedup(findings: DataFrame) -> DataFrame:
                  F.col("seq")).alias("first"))
     order = firsts.groupBy(*TYPE).agg(F.sort_array(F.collect_list("seq")).alias("firsts"))
     # Only a type with repetitions on a line needs the second look.
+    salted = order.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     gaps = (
-        findings.select(*TYPE, "seq", "confidence").join(order, TYPE)
+        findings.select(*TYPE, "seq", "confidence", F.pmod(F.xxhash64("seq"), F.lit(SALTS))
+                        .cast("int").alias("salt")).join(salted, [*TYPE, "salt"])
         .where(~F.array_contains("firsts", F.col("seq")))
         .withColumn("gap", F.size(F.filter("firsts", lambda s: s < F.col("seq"))))
+        .groupBy(*TYPE, "gap", "salt").agg(F.max("confidence").alias("confidence"))
         .groupBy(*TYPE, "gap").agg(F.max("confidence").alias("confidence"))
         .groupBy(*TYPE).agg(F.collect_list(F.struct("gap", "confidence")).alias("gaps")))
     lift = F.array_max(F.transform(
