@@ -15,12 +15,17 @@ from ..catalogue import DEFAULT_CATALOGUE
 from ..operators import report
 from ..operators.prompts import render_prompts, write_prompts
 from ..sources.files import inline_file, read_directory, read_file
+from ..sources.staging import staged
 from .scan import escalations, scan, scan_lines
 
 
 @dataclass(frozen=True)
 class Report:
-    """The files of a scan and what finds their findings; neither runs before it is asked."""
+    """The files of a scan and what finds their findings; neither runs before it is asked.
+
+    ``findings`` is lazy.  The first question for a summary, a text or an exit code scans the
+    files once and writes the findings to the shared folder; all are answered from there.
+    """
 
     files: DataFrame
     finder: Callable[[DataFrame], DataFrame]
@@ -29,14 +34,22 @@ class Report:
     def findings(self) -> DataFrame:
         return self.finder(self.files)
 
+    @cached_property
+    def _scanned(self) -> tuple[DataFrame, int, float]:
+        """The written findings, the number of files, counted as they passed, and the seconds."""
+        started, counted = time.time(), Observation()
+        files = self.files.observe(counted, F.count(F.lit(1)).alias("files"))
+        found = staged(self.finder(files))
+        return found, counted.get["files"], time.time() - started
+
     def summary(self) -> DataFrame:
-        return report.summary(self.findings, self.files)
+        return report.summary(*self._scanned)
 
     def exit_code(self, any_finding: bool = False) -> int:
         return report.gate(self.summary(), any_finding).first().exit_code
 
     def text(self) -> str:
-        return report.console_report(self.summary(), self.findings)
+        return report.console_report(self.summary(), self._scanned[0])
 
     def save(self, path: str) -> DataFrame:
         """Writes ``findings`` (JSON, in report order) and ``summary`` under a folder, and

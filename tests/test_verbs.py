@@ -53,3 +53,12 @@ def test_prompts_are_written(spark, tmp_path):
     rows = spark.read.json(str(tmp_path / "p")).collect()
     assert {r.key for r in rows} >= {"Injection_line16", "XSS_line12"}
     assert all("State the cause" in r.document for r in rows)
+
+
+def test_a_report_scans_once(spark):
+    scans = []
+    files = flawsieve.scan_code(spark, GOLDEN).files
+    report = flawsieve.scan_files(files)
+    counted = type(report)(files, lambda f: scans.append(1) or report.finder(f))
+    assert counted.text() and counted.exit_code() and counted.exit_code(True)
+    assert counted.summary().first().files_scanned == 1 and len(scans) == 1
