@@ -17,8 +17,9 @@ shuffled once.
 
 Cases: a null or empty text is a document of its end id only; a null ``doc_id`` is a key like any
 other and comes first; rows that share a ``doc_id`` are records in a row under one key, ordered
-by text; integer keys never share a hash, and other keys that do are an error; extra columns, whatever their names, are left out; an empty table gives no documents;
-texts are encoded in shares, so a long one is bounded by its own length only.
+by text; integer keys never share a hash, and other keys that do are an error; extra columns,
+whatever their names, are left out; an empty table gives no documents; texts are encoded in
+shares, so a long one is bounded by its own length only.
 """
 
 from __future__ import annotations
