@@ -3,7 +3,8 @@
 Features are n-grams of tokens (runs of word characters, runs of other visible characters) and
 of their shapes (case, digits, punctuation, repetition of the token before), hashed into a fixed
 number of slots; a value is the logarithm of one more than the count, and a text's vector has
-a fixed length.  A score is the sparse dot product of vector and weights, through the logistic curve.
+a fixed length.  A score is the sparse dot product of vector and weights, through the logistic
+curve.
 
 Training takes a bounded sample of labelled rows: the ``sample_rows`` of them with the smallest
 hash of their id.  The sample's ids are few enough to broadcast, so texts aren't shuffled.  Its

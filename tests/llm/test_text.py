@@ -15,7 +15,8 @@ from .conftest import odd_texts, prose, table
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 either = lambda w: "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in w)
-ASSIGN = re.compile("(" + "|".join(map(either, ("password", "passwd", "secret", "token", "api_?key")))
+KEYWORDS = ("password", "passwd", "secret", "token", "api_?key")
+ASSIGN = re.compile("(" + "|".join(map(either, KEYWORDS))
                     + r""")["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS, HEX = re.compile("AKIA[A-Z0-9]+"), re.compile("[0-9a-f]+")
 

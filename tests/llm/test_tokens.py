@@ -152,7 +152,8 @@ def test_token_files(spark, odd, none):
 
 def test_token_files_with_many_buckets(spark, monkeypatch):
     monkeypatch.setattr(token_files, "BUCKET_KEYS", 20)
-    docs = spark.range(500).selectExpr("id AS doc_id", "repeat('word ', CAST(id % 7 AS INT)) AS text")
+    docs = spark.range(500).selectExpr("id AS doc_id",
+                                       "repeat('word ', CAST(id % 7 AS INT)) AS text")
     files = token_files.TokenFiles.write(docs, PATH, shards=5)
     assert files.buckets == 25
     rows = files.read(docs.select("doc_id")).collect()
