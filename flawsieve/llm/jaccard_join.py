@@ -41,7 +41,7 @@ from .exact_dedup import located, on_files
 
 SHINGLE, SIMILARITY = 5, 0.8
 TREES, LONGEST_PREFIX, TARGET_RECALL = 32, 12, 0.99
-SMALL, BLOCK = 64, 256
+SMALL, BLOCK = 32, 256
 # Columns of an incidence matrix that are multiplied at a time.
 WIDTH = 4096
 
@@ -313,25 +313,35 @@ class Join:
 
 
 def components(edges: DataFrame, folder: str) -> DataFrame:
-    """``(key, label)``: for each key of an edge the smallest key of its component."""
-    both = staged(edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-                  .distinct(), f"{folder}/edges")
-    labels = staged(both.groupBy(F.col("a").alias("key")).agg(F.min("b").alias("b")).select(
-        "key", F.least("key", "b").alias("label")), f"{folder}/round-0")
-    number = 0
-    while True:
+    """``(key, label)``: for each key of an edge one key that its whole component shares.
+
+    In each round every key goes to the smallest key among itself and its neighbours, and the
+    edges are drawn anew between these, without those that have become loops, so only the first
+    round has all edges.  Keys are digests, so their order is random, and a round shrinks chains
+    as well."""
+    edges = staged(edges.filter("a <> b").select(
+        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(),
+        f"{folder}/edges")
+    labels, number = None, 0
+    while labels is None or not edges.isEmpty():
         number += 1
-        near = both.join(labels.select(F.col("key").alias("b"), "label"), "b").groupBy(
-            F.col("a").alias("key")).agg(F.min("label").alias("near"))
-        best = labels.join(near, "key").select("key", F.col("label").alias("before"),
-                                               F.least("label", "near").alias("best"))
-        jump = labels.select(F.col("key").alias("best"), F.col("label").alias("jump"))
-        after = staged(best.join(jump, "best", "left").select(
-            "key", F.least("best", F.coalesce("jump", "best")).alias("label"), "before"),
-            f"{folder}/round-{number}")
-        labels = after.drop("before")
-        if after.filter("label <> before").isEmpty():
-            return labels
+        ends = edges.select(F.col("a").alias("key"), F.col("b").alias("other")).unionAll(
+            edges.select(F.col("b").alias("key"), F.col("a").alias("other")))
+        step = staged(ends.groupBy("key").agg(F.min("other").alias("other")).select(
+            "key", F.least("key", "other").alias("label")), f"{folder}/step-{number}")
+        edges = staged(
+            edges.join(step.select(F.col("key").alias("a"), F.col("label").alias("x")), "a")
+            .join(step.select(F.col("key").alias("b"), F.col("label").alias("y")), "b")
+            .filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+            .distinct(), f"{folder}/edges-{number}")
+        if labels is None:
+            labels = step
+        else:
+            labels = staged(labels.join(
+                step.select(F.col("key").alias("label"), F.col("label").alias("next")),
+                "label", "left").select("key", F.coalesce("next", "label").alias("label")),
+                f"{folder}/labels-{number}")
+    return labels
 
 
 def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:

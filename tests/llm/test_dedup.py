@@ -257,3 +257,22 @@ def test_a_head_that_all_share_is_spread(spark):
     found = suffix_dedup.repeated_passages(docs).collect()
     assert all(spans_of(r.spans) == set(range(61)) for r in found)
     assert sorted(r.doc_id for r in found if not r.later) == [0]
+
+
+def test_components(spark):
+    r = random.Random(2)
+    names = [hashlib.md5(str(i).encode()).digest() for i in range(300)]
+    pairs = [(i, i + 1) for i in range(100)] + [(r.randrange(100, 300), r.randrange(100, 300))
+                                                for _ in range(120)] + [(5, 5), (7, 6)]
+    edges = spark.createDataFrame([(bytearray(names[a]), bytearray(names[b])) for a, b in pairs],
+                                  "a binary, b binary")
+    got = {bytes(x.key): bytes(x.label) for x in jaccard_join.components(
+        edges, shared_folder(spark)).collect()}
+    root = list(range(300))
+    for _ in range(300):
+        for a, b in pairs:
+            root[a] = root[b] = min(root[a], root[b])
+    linked = sorted({x for a, b in pairs if a != b for x in (a, b)})
+    assert set(got) == {names[i] for i in linked}
+    assert all((got[names[i]] == got[names[j]]) == (root[i] == root[j])
+               for i in linked for j in linked)
