@@ -69,12 +69,29 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def shingles(plain: str) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the shingles."""
-    from xxhash import xxh64_intdigest
+class _Hashes(dict):
+    """Hashes of words, of which a worker remembers a bounded number."""
+
+    def __missing__(self, word: str) -> int:
+        from xxhash import xxh64_intdigest
+
+        if len(self) > 400_000:
+            self.clear()
+        found = self[word] = xxh64_intdigest(word)
+        return found
+
+
+_HASHES = _Hashes()
 
+
+def word_hashes(plain: str) -> np.ndarray:
     words = plain.split(" ") if plain else []
-    h = np.array([xxh64_intdigest(w) for w in words], dtype=np.uint64)
+    return np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
+
+
+def shingles(plain: str) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the shingles."""
+    h = word_hashes(plain)
     n = min(SHINGLE, len(h))
     out = np.zeros(len(h) - n + 1 if n else 0, dtype=np.uint64)
     for i in range(n):

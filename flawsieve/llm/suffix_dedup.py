@@ -36,22 +36,17 @@ from pyspark.sql import types as T
 
 from .common import ready_workers, shared_folder, staged
 from .exact_dedup import located, on_files
-from .jaccard_join import _mixed, plain_words
+from .jaccard_join import _mixed, plain_words, word_hashes
 
 LEAST, WINDOW, GRAM = 50, 24, 5
 HEAD = LEAST - WINDOW + 1
-# Words compared to the right of the head and to the left of the suffix.
-RIGHT, LEFT = 40, WINDOW
+# Words compared to the right of the head and to the left of the suffix: as far as the next retained
+# suffix of a passage can be.
+RIGHT, LEFT = WINDOW, WINDOW
 NEIGHBOURS = 3
 PLACE = ("doc_id", "file", "number")
 
 
-def word_hashes(plain: str) -> np.ndarray:
-    from xxhash import xxh64_intdigest
-
-    return np.array([xxh64_intdigest(w) for w in plain.split(" ")] if plain else [], np.uint64)
-
-
 def _grams(words: np.ndarray, n: int) -> np.ndarray:
     out = np.full(max(0, len(words) - n + 1), n, dtype=np.uint64)
     for i in range(n):
