@@ -1,28 +1,30 @@
-"""Passages of fifty words or more that occur again anywhere, by a sparse suffix array.
-
-Of all suffixes those are retained that begin at a minimiser: the smallest hash of five words
-within a window of such.  Which positions these are depends on the words around them only, so a
-passage of ``LEAST`` words has one, in all its copies, within its first ``WINDOW`` words, and
-``HEAD`` equal words from there on.
-
-1. The hash of the first ``HEAD`` words of each retained suffix is counted, combined before the
-   shuffle, with the earliest place of each.  Suffixes whose head occurs once go.
-2. The rest, with the words that follow the head and those before the suffix, are sorted by
-   ranges of (head, words that follow, words before, place), so that a head that very many
-   documents share is spread over tasks.  Each suffix is compared with the ``NEIGHBOURS`` before
-   it, and the match is extended to the right and to the left; matches across the borders of
-   tasks come from the first and last rows of each.
-3. Matches of ``LEAST`` words and more are united for each document.  What lies after an earlier
-   occurrence, by ``doc_id`` and position, is ``later``, and can be removed.
-
-Heads are compared by 64-bit hashes, extensions by 32-bit hashes of each word, so a border may be
-a word off once in some four billion.  Words are runs of characters other than white space, in
+"""Passages of fifty words or more that occur again anywhere: every one of them.
+
+A passage of ``LEAST`` words or more is a run of windows of ``LEAST`` words, each of which occurs
+again.  Windows are counted by their hash, with the earliest place of each.  Most windows need not
+be: each has a minimiser, the smallest hash of five words within its first ``WINDOW`` runs of such.
+Which one that is depends on the words of the window only, so if the window occurs again, so do the
+``HEAD`` words from its minimiser on.
+
+1. The hash of the ``HEAD`` words from each minimiser on is counted, combined before the shuffle.
+   The places of heads that occur once are gathered by document.
+2. The windows whose head occurs again are counted by the hash of all their words, combined before
+   the shuffle.  The places of windows that occur once, and the first places of the others, are
+   gathered by document; all other windows have an earlier occurrence.
+3. The windows that occur again are united for each document.  Those that have an earlier
+   occurrence, by ``doc_id`` and position, are ``later``, and can be removed: of each window of a
+   passage one copy stays.
+
+Heads and windows are not compared with neighbours and not looked up by hash, so a passage that
+very many documents share is no hot key: it reaches its count as one row for each task and leaves
+it as one place.
+
+Windows are compared by 64-bit hashes.  Words are runs of characters other than white space, in
 lower case; spans count words.
 
 Cases: null, empty and short texts have no passages; a null ``doc_id`` ranks after all others;
 repeated rows have all their passages from each other; extra columns, whatever their names, play
-no part; an empty table gives an empty table; a long text is taken whole, and a passage longer
-than one comparison is united from its suffixes.
+no part; an empty table gives an empty table; a long text is taken whole.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,40 +42,40 @@ from .jaccard_join import _mixed, plain_words, word_hashes
 
 LEAST, WINDOW, GRAM = 50, 24, 5
 HEAD = LEAST - WINDOW + 1
-# Words compared to the right of the head and to the left of the suffix: as far as the next retained
-# suffix of a passage can be.
-RIGHT, LEFT = WINDOW, WINDOW
-NEIGHBOURS = 3
 PLACE = ("doc_id", "file", "number")
+ODD = np.uint64(0x9E3779B97F4A7C15)
+SPANS = T.ArrayType(T.StructType().add("start", T.IntegerType()).add("stop", T.IntegerType()))
 
 
 def _grams(words: np.ndarray, n: int) -> np.ndarray:
-    out = np.full(max(0, len(words) - n + 1), n, dtype=np.uint64)
-    for i in range(n):
-        out = _mixed(out + words[i:len(out) + i])
-    return out
+    """Hashes of all runs of ``n`` words, from those of 1, 2, 4 ... words."""
 
+    def joined(a, b, step):
+        m = max(0, min(len(a), len(b) - step))
+        return _mixed(a[:m] * ODD + b[step:step + m])
 
-def suffixes(words: np.ndarray) -> np.ndarray:
-    """The positions of retained suffixes that have a whole head."""
-    grams = _grams(words, GRAM)
-    if len(words) < HEAD or len(grams) < 1:
-        return np.zeros(0, np.int64)
-    if len(grams) <= WINDOW:
-        at = np.array([int(grams.argmin())])
-    else:
-        windows = np.lib.stride_tricks.sliding_window_view(grams, WINDOW)
-        at = np.unique(windows.argmin(axis=1) + np.arange(len(windows)))
-    return at[at + HEAD <= len(words)]
+    out, done, power, width = None, 0, words, 1
+    while True:
+        if n & width:
+            out, done = (power if out is None else joined(out, power, done)), done + width
+        if done == n:
+            return out
+        power, width = joined(power, power, width), 2 * width
 
 
-def _rank() -> Column:
-    return F.struct(F.col("doc_id").isNull().alias("unnamed"), *PLACE, "at")
+def minimisers(words: np.ndarray) -> np.ndarray:
+    """The position of the minimiser of each window of ``LEAST`` words."""
+    n = len(words) - LEAST + 1
+    if n < 1:
+        return np.zeros(0, np.int64)
+    grams = _grams(words, GRAM)[:n + WINDOW - 1]
+    return np.lib.stride_tricks.sliding_window_view(grams, WINDOW).argmin(axis=1) + np.arange(n)
 
 
 def heads(texts: DataFrame) -> DataFrame:
-    """``(doc_id, file, number, head, at)`` of each retained suffix."""
-    schema = texts.drop("plain").schema.add("head", T.LongType()).add("at", T.IntegerType())
+    """``(file, number, head, at)`` of each minimiser."""
+    schema = texts.select("file", "number").schema.add("head", T.LongType()).add(
+        "at", T.IntegerType())
 
     def run(batches):
         for batch in batches:
@@ -81,7 +83,7 @@ def heads(texts: DataFrame) -> DataFrame:
             rows, found, places = [], [], []
             for i in range(batch.num_rows):
                 words = word_hashes(column[i].as_py())
-                at = suffixes(words)
+                at = np.unique(minimisers(words))
                 if len(at):
                     rows.append(np.full(len(at), i))
                     found.append(_grams(words, HEAD)[at].view(np.int64))
@@ -93,152 +95,94 @@ def heads(texts: DataFrame) -> DataFrame:
                 yield _taken(batch, rows, found, places)
 
     def _taken(batch, rows, found, places):
-        part = batch.select(list(PLACE)).take(pa.array(np.concatenate(rows)))
+        part = batch.select(["file", "number"]).take(pa.array(np.concatenate(rows)))
         return pa.RecordBatch.from_arrays(
-            [*[part.column(n) for n in PLACE], pa.array(np.concatenate(found), pa.int64()),
+            [part.column("file"), part.column("number"), pa.array(np.concatenate(found), pa.int64()),
              pa.array(np.concatenate(places), pa.int32())], schema.names)
 
     return texts.mapInArrow(run, schema)
 
 
-def _contexts(rows: DataFrame) -> DataFrame:
-    """A row ``(place, head, later, at, right, left)`` for each suffix of ``(place, plain,
-    repeated)``."""
-    schema = T.StructType([*[rows.schema[c] for c in PLACE], *T.StructType.fromDDL(
-        "head long, later boolean, at int, right binary, left binary").fields])
+def _numbered(places: DataFrame) -> DataFrame:
+    """``(file, number, base)`` of ``(doc_id, file, number, size)``: ``base + at`` is a number for
+    each place of a word, in their order."""
+    rows = places.repartitionByRange(F.col("doc_id").isNull(), *PLACE).sortWithinPartitions(
+        F.col("doc_id").isNull(), *PLACE).select("file", "number", "size")
+    schema = rows.select("file", "number").schema.add("base", T.LongType())
+
+    def run(batches):
+        at = TaskContext.get().partitionId() << 40
+        for batch in batches:
+            ends = at + np.cumsum(np.asarray(batch.column("size"), np.int64))
+            base = np.concatenate([[at], ends])
+            at = int(base[-1])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("file"), batch.column("number"), pa.array(base[:-1], pa.int64())],
+                schema.names)
+
+    return rows.mapInArrow(run, schema)
+
+
+def _windows(rows: DataFrame) -> DataFrame:
+    """``(place, base, n_words, at, key)`` of ``(place, base, plain, single)``: the windows whose
+    minimiser is not at one of the places ``single``, and their hashes."""
+    schema = rows.select(*PLACE, "base").schema.add("n_words", T.LongType()).add(
+        "at", T.ArrayType(T.IntegerType())).add("key", T.ArrayType(T.LongType()))
+    names = schema.names[:4]
 
     def run(batches):
         for batch in batches:
+            counts, starts, keys, size, begin = [], [], [], 0, 0
             for i in range(batch.num_rows):
                 words = word_hashes(batch.column("plain")[i].as_py())
-                small = (words >> np.uint64(32)).astype(">u4")
-                small[small == 0] = 1  # 0 is no word: nothing equals it
-                padded = np.concatenate([np.zeros(LEFT, ">u4"), small, np.zeros(RIGHT, ">u4")])
-                suffix = batch.column("repeated")[i].as_py()
-                at = [s["at"] for s in suffix]
-                rights = [padded[LEFT + p + HEAD:LEFT + p + HEAD + RIGHT].tobytes() for p in at]
-                lefts = [padded[p:p + LEFT][::-1].tobytes() for p in at]
-                place = batch.select(list(PLACE)).take(pa.array([i] * len(at), pa.int64()))
-                yield pa.RecordBatch.from_arrays(
-                    [*[place.column(n) for n in PLACE],
-                     pa.array([s["head"] for s in suffix], pa.int64()),
-                     pa.array([s["later"] for s in suffix], pa.bool_()), pa.array(at, pa.int32()),
-                     pa.array(rights, pa.binary()), pa.array(lefts, pa.binary())], schema.names)
+                single = batch.column("single")[i].values
+                from_ = minimisers(words)
+                at = np.arange(len(from_)) if single is None else np.flatnonzero(
+                    ~np.isin(from_, np.asarray(single)))
+                counts.append(len(words))
+                starts.append(at)
+                keys.append(_grams(words, LEAST)[at].view(np.int64) if len(at) else at)
+                size += len(at)
+                if size > 500_000 or i == batch.num_rows - 1:
+                    yield pa.RecordBatch.from_arrays(
+                        [*[batch.column(c).slice(begin, len(counts)) for c in names],
+                         pa.array(counts, pa.int64()), pa.array(starts, pa.list_(pa.int32())),
+                         pa.array(keys, pa.list_(pa.int64()))], schema.names)
+                    counts, starts, keys, size, begin = [], [], [], 0, i + 1
 
     return rows.mapInArrow(run, schema)
 
 
-def _common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """How many first words agree, row by row."""
-    differ = (a != b) | (a == 0)
-    return np.where(differ.any(axis=1), differ.argmax(axis=1), a.shape[1])
-
-
-def _extents(table: pa.RecordBatch | pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of sorted suffixes the longest match that each has with a neighbour: whether there is one,
-    and how far it goes to the left and to the right."""
-    n = table.num_rows
-    head = np.asarray(table.column("head"))
-    right = np.frombuffer(b"".join(table.column("right").to_pylist()), ">u4").reshape(n, RIGHT)
-    left = np.frombuffer(b"".join(table.column("left").to_pylist()), ">u4").reshape(n, LEFT)
-    most_left, most_right = np.zeros(n, np.int64), np.zeros(n, np.int64)
-    for step in range(1, NEIGHBOURS + 1):
-        same = np.flatnonzero(head[step:] == head[:-step])
-        if not len(same):
-            continue
-        r = HEAD + _common(right[same + step], right[same])
-        l = _common(left[same + step], left[same])  # noqa: E741
-        long = l + r >= LEAST
-        for rows in (same[long], same[long] + step):
-            np.maximum.at(most_left, rows, l[long])
-            np.maximum.at(most_right, rows, r[long])
-    return most_right > 0, most_left, most_right
-
-
-SPAN = "start int, stop int"
-
-
-def _compared(sorted_rows: DataFrame) -> DataFrame:
-    """Spans of the suffixes of each task, with null ``edge``; and the first and last rows of
-    each task, which have its number in ``edge``."""
-    place = [sorted_rows.schema[c] for c in (*PLACE, "later")]
-    rest = T.StructType.fromDDL(f"{SPAN}, edge int, last boolean, head long, at int, "
-                                "right binary, left binary").fields
-    schema = T.StructType([*place, *rest])
-    names = [f.name for f in place]
-
-    def spans(table):
-        found, left, right = _extents(table)
-        part = table.filter(pa.array(found))
-        at, n = np.asarray(part.column("at")), part.num_rows
-        return pa.RecordBatch.from_arrays(
-            [*[part.column(c) for c in names], pa.array(at - left[found], pa.int32()),
-             pa.array(at + right[found], pa.int32()), pa.nulls(n, pa.int32()),
-             pa.nulls(n, pa.bool_()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()),
-             pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())], schema.names)
+def _united(at: np.ndarray) -> list[dict]:
+    """Spans of the windows that start at the sorted places ``at``; they don't touch."""
+    if not len(at):
+        return []
+    cuts = np.flatnonzero(np.diff(at) > LEAST)
+    return [{"start": int(a), "stop": int(b) + LEAST}
+            for a, b in zip(at[np.concatenate([[0], cuts + 1])], at[np.append(cuts, -1)])]
 
-    def edge(rows, last):
-        n, task = rows.num_rows, TaskContext.get().partitionId()
-        return pa.RecordBatch.from_arrays(
-            [*[rows.column(c) for c in names], pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()),
-             pa.array([task] * n, pa.int32()), pa.array([last] * n, pa.bool_()),
-             *[rows.column(c) for c in ("head", "at", "right", "left")]], schema.names)
+
+def _spans(rows: DataFrame) -> DataFrame:
+    """``(place, n_words, spans, later)`` of ``(place, n_words, at, found)``; ``found`` has twice
+    the places of windows that occur once, and of first ones of others, these with 1 added."""
+    schema = rows.select(*PLACE, "n_words").schema.add("spans", SPANS).add("later", SPANS)
+    names = schema.names[:4]
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
 
     def run(batches):
-        before = None
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            if before is None:
-                yield edge(batch.slice(0, NEIGHBOURS), False)
-            else:  # matches with the rows before are found again, and united later
-                batch = pa.Table.from_batches([before, batch]).combine_chunks().to_batches()[0]
-            yield spans(batch)
-            before = batch.slice(max(0, batch.num_rows - NEIGHBOURS))
-        if before is not None:
-            yield edge(before, True)
-
-    return sorted_rows.mapInArrow(run, schema)
-
-
-def _across(edges: DataFrame) -> DataFrame:
-    """Spans from suffixes on both sides of a border between tasks: a few rows for each task."""
-    fields = [edges.schema[c] for c in (*PLACE, "later")]
-    schema = T.StructType([*fields, *T.StructType.fromDDL(SPAN).fields])
-
-    def run(group: pa.Table) -> pa.Table:
-        group = group.combine_chunks()
-        found, left, right = _extents(group)
-        part, at = group.filter(pa.array(found)), np.asarray(group.column("at"))[found]
-        return pa.table([*[part.column(f.name) for f in fields],
-                         pa.array(at - left[found], pa.int32()),
-                         pa.array(at + right[found], pa.int32())], schema.names)
-
-    # The end of one task and the beginning of the next that has rows form a group.
-    tasks = edges.select("edge").distinct().withColumn(
-        "following", F.lead("edge").over(Window.orderBy("edge")))
-    ends = edges.filter("last").join(tasks, "edge").withColumn("border", F.col("edge"))
-    begins = edges.filter("not last").join(
-        tasks.select(F.col("edge").alias("border"), F.col("following").alias("edge")), "edge")
-    both = ends.drop("following").unionByName(begins)
-    order = ["head", "right", "left", F.col("doc_id").isNull(), *PLACE, "at"]
-    return both.repartition("border").sortWithinPartitions("border", *order).groupBy(
-        "border").applyInArrow(run, schema)
-
-
-def _united(spans: Column) -> Column:
-    """Sorted spans that don't touch."""
-    empty = F.array().cast("array<struct<start:int,stop:int>>")
-
-    def add(all_: Column, s: Column) -> Column:
-        last = F.try_element_at(all_, F.lit(-1))
-        joined = F.struct(last["start"].alias("start"),
-                          F.greatest(last["stop"], s["stop"]).alias("stop"))
-        return F.when(s["start"] <= F.coalesce(last["stop"], F.lit(-1)), F.concat(
-            F.slice(all_, 1, F.size(all_) - 1), F.array(joined))).otherwise(
-            F.concat(all_, F.array(s)))
-
-    return F.aggregate(F.array_sort(spans), empty, add)
+            spans, later = [], []
+            for i in range(batch.num_rows):
+                at, found = (np.zeros(0, np.int64) if v is None else np.asarray(v, np.int64)
+                             for v in (batch.column(c)[i].values for c in ("at", "found")))
+                again = at[~np.isin(at, found[found % 2 == 0] >> 1)]
+                spans.append(_united(again))
+                later.append(_united(again[~np.isin(again, found[found % 2 == 1] >> 1)]))
+            yield pa.RecordBatch.from_arrays(
+                [*[batch.column(c) for c in names], pa.array(spans, kind), pa.array(later, kind)],
+                schema.names)
+
+    return rows.mapInArrow(run, schema)
 
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
@@ -246,32 +190,27 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     elsewhere too, and of those that have an earlier occurrence."""
     ready_workers(docs.sparkSession)
     folder = shared_folder(docs.sparkSession)
-    texts = located(docs).select("held.doc_id", F.xxhash64("file").alias("file"), "number",
-                                 plain_words(F.col("held.text")).alias("plain"))
-    found = staged(heads(texts), f"{folder}/heads")
-    shared = found.groupBy("head").agg(F.count(F.lit(1)).alias("n"),
-                                       F.min(_rank()).alias("first")).filter("n > 1").drop("n")
-    repeated = found.join(shared, "head").withColumn("later", F.col("first") != _rank()).groupBy(
-        *PLACE).agg(F.collect_list(F.struct("at", "head", "later")).alias("repeated"))
-    same = [F.col(f"t.{c}").eqNullSafe(F.col(f"r.{c}")) for c in PLACE]
-    joined = texts.alias("t").join(repeated.alias("r"), same).select("t.*", "repeated")
-    order = ["head", "right", "left", F.col("doc_id").isNull(), *PLACE, "at"]
-    compared = staged(_compared(_contexts(joined).repartitionByRange(*order).sortWithinPartitions(
-        *order)), f"{folder}/compared")
-    inside = compared.filter("edge is null").select(*PLACE, "later", "start", "stop")
-    spans = inside.unionByName(_across(compared.filter("edge is not null").drop("start", "stop")))
-    span = F.struct("start", "stop")
-    of_row = spans.groupBy(*PLACE).agg(
-        F.collect_set(span).alias("spans"),
-        F.collect_set(F.when(F.col("later"), span)).alias("later"))
-    words = F.when(F.col("plain") == "", 0).otherwise(F.size(F.split("plain", " ")))
-    rows = texts.select(*PLACE, words.cast("long").alias("n_words")).alias("t")
-    none = F.array().cast("array<struct<start:int,stop:int>>")
-    return rows.join(of_row.alias("r"), [F.col(f"t.{c}").eqNullSafe(F.col(f"r.{c}"))
-                                         for c in PLACE], "left").select(
-        *[f"t.{c}" for c in PLACE], "n_words",
-        *[F.when(F.col(f"r.{c}").isNull(), none).otherwise(_united(F.col(f"r.{c}"))).alias(c)
-          for c in ("spans", "later")])
+    place = ["held.doc_id", F.xxhash64("file").alias("file"), "number"]
+    docs = on_files(docs)
+    texts = located(docs).select(*place, plain_words(F.col("held.text")).alias("plain"))
+    size = F.length(F.coalesce(F.col("held.text").cast("string"), F.lit(""))) + 1
+    numbered = staged(_numbered(located(docs).select(*place, size.alias("size"))),
+                      f"{folder}/numbered")
+    # Of a head that occurs once these are its place; the others are not asked for.
+    single = heads(texts).groupBy("head").agg(
+        F.count(F.lit(1)).alias("n"), *[F.min(c).alias(c) for c in ("file", "number", "at")]
+        ).filter("n = 1").groupBy("file", "number").agg(F.collect_list("at").alias("single"))
+    joined = texts.join(numbered, ["file", "number"]).join(single, ["file", "number"], "left")
+    windows = staged(_windows(joined.select(*PLACE, "base", "plain", "single")),
+                     f"{folder}/windows")
+    place_of = F.col("base") + F.col("w.at")
+    found = windows.select("base", F.explode(F.arrays_zip("at", "key")).alias("w")).groupBy(
+        "w.key").agg((F.count(F.lit(1)) > 1).cast("int").alias("again"),
+                     F.min(place_of).alias("first"), F.min_by("base", place_of).alias("base"))
+    found = found.groupBy("base").agg(F.collect_list(
+        ((F.col("first") - F.col("base")) * 2 + F.col("again")).cast("int")).alias("found"))
+    return _spans(windows.drop("key").join(found, "base", "left").select(
+        *PLACE, "n_words", "at", "found"))
 
 
 def without_later(docs: DataFrame) -> DataFrame:

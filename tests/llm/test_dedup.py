@@ -259,6 +259,24 @@ def test_a_head_that_all_share_is_spread(spark):
     assert sorted(r.doc_id for r in found if not r.later) == [0]
 
 
+def skewed_rows(common, further, n=300, copies=50):
+    """Documents that share a text that is too short for a passage; some share words around it."""
+    r = random.Random(common)
+    shared, before = prose(1, common)[:-1], prose(2, further)[:-1]
+    return [(i, " ".join([prose(1000 + i, 30), before if r.randrange(n) < copies else "",
+                          shared, prose(5000 + i, 30)])) for i in range(n)]
+
+
+@pytest.mark.parametrize("common,further", [(40, 12), (45, 10), (45, 30)])
+def test_passages_around_a_head_that_many_share(spark, common, further):
+    rows = skewed_rows(common, further)
+    found = suffix_dedup.repeated_passages(table(spark, rows)).collect()
+    covered = brute_passages(rows)[1]
+    assert sum(map(len, covered.values())) > 1000
+    assert {r.doc_id: spans_of(r.spans) for r in found} == {
+        i: covered[i] for i in range(len(rows))}
+
+
 def test_components(spark):
     r = random.Random(2)
     names = [hashlib.md5(str(i).encode()).digest() for i in range(300)]
