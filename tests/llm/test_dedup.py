@@ -277,6 +277,21 @@ def test_passages_around_a_head_that_many_share(spark, common, further):
         i: covered[i] for i in range(len(rows))}
 
 
+def test_each_part_of_a_passage_stays_once(spark):
+    """Document 1 has the first words of a passage that 2 and 3 share, 4 a part of 60 words."""
+    passage = prose(2, 90).split(" ")
+    rows = [(1, " ".join(["a", *passage[:45], "b"])), (3, " ".join(["c", *passage, "d"])),
+            (2, " ".join(["e", *passage, "f"])), (4, " ".join(["g", *passage[:60], "h"])),
+            (0, " ".join(["i", *passage[35:], "j"]))]
+    found = {r.doc_id: (spans_of(r.spans), spans_of(r.later)) for r in
+             suffix_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id int, text string"))
+             .collect()}
+    # 0 has the windows from 35 on; 2 has all others before 3 and 4.
+    assert found == {0: (set(range(1, 56)), set()), 1: (set(), set()),
+                     2: (set(range(1, 91)), set(range(36, 91))),
+                     3: (set(range(1, 91)),) * 2, 4: (set(range(1, 61)),) * 2}
+
+
 def test_components(spark):
     r = random.Random(2)
     names = [hashlib.md5(str(i).encode()).digest() for i in range(300)]
