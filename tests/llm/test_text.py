@@ -81,6 +81,25 @@ def test_models_tell_random_strings_from_identifiers(spark, none):
     assert secret_scan.redacted(none).count() == 0
 
 
+def judged(spark, ratios, strings):
+    docs = spark.createDataFrame([(i, f"see {s} here") for i, s in enumerate(strings)],
+                                 "doc_id long, text string")
+    found = secret_scan.scan(docs, ratios).select("doc_id", F.size("secret_spans").alias("n"))
+    return [r.n for r in found.orderBy("doc_id").collect()]
+
+
+def test_random_strings_without_digits_are_found(spark):
+    r = random.Random(8)
+    letters = secret_scan.LETTERS
+    names = ["get", "user", "name", "index", "of", "default", "handler", "request", "value"]
+    samples = [("".join(r.choices(letters[:62], k=30)), True) for _ in range(300)] + [
+        ("_".join(r.choices(names, k=4)), False) for _ in range(300)]
+    ratios = secret_scan.train(spark.createDataFrame(samples, "sample string, random boolean"))
+    strings = ["".join(r.choices(letters[:52], k=r.randrange(20, 41))) for _ in range(100)]
+    assert sum(judged(spark, ratios, strings)) >= 97
+    assert sum(judged(spark, ratios, ["_".join(names[i:] + names[:i]) for i in range(9)])) == 0
+
+
 def test_running_sums_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(secret_scan, "BLOCK", 4)
     rows = [(list(range(n)),) for n in (0, 1, 4, 5, 37)]
