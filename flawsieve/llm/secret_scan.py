@@ -4,8 +4,9 @@ Two Markov models of characters give the chance of each character after the one
 of random strings, one of ordinary identifiers.  A long string is a secret if the sum of the
 logarithms of their ratios exceeds what the rarity of secrets asks for.  The models are trained
 from labelled samples, counted over all documents: values that a fixed pattern finds are random
-strings, other strings without a digit are ordinary.  A character that never followed another is
-judged by how often it occurs at all; without samples nothing is found but by the fixed patterns.
+strings, all other strings are ordinary, those with digits too.  A character that never followed
+another is judged by how often it occurs at all, and gets a fixed share of the chances, so that
+evidence does not grow with the corpus; without samples nothing is found but by the fixed patterns.
 
 Everything is array and string functions within the row.  Training counts pairs of characters,
 combined before the shuffle; what reaches the driver is at most one count for each pair of 67
@@ -41,7 +42,10 @@ STRING = "[A-Za-z0-9+/_=-]"
 SIZE = len(LETTERS) + 1  # class 0 stands before the first character
 SAMPLE_LENGTH = 8  # least characters of an ordinary sample
 LEAST_LENGTH = 20  # least characters of a string that is judged
-BACK_OFF = 20.0
+# Of the chances after a character this share is dealt by how often characters occur at all, and of
+# that one half evenly.  Samples of random strings are of a few kinds, others differ in their pairs.
+BACK_OFF = {True: 0.5, False: 0.05}
+EVEN = 0.5
 PRIOR = 1e-6  # share of secrets among long strings
 BLOCK = 256
 PLACEHOLDER = "[secret]"
@@ -165,8 +169,7 @@ def samples(docs: DataFrame) -> DataFrame:
     random = F.concat(*[F.when(text.rlike(p), values(p, g, n)).otherwise(
         F.array().cast("array<string>")) for _, p, g, n in KINDS])
     rest = let(base_spans(text), lambda s: masked(text, s))
-    ordinary = F.filter(F.regexp_extract_all(rest, F.lit(f"({STRING}{{{SAMPLE_LENGTH},}})"),
-                                             F.lit(1)), lambda w: ~w.rlike("[0-9]"))
+    ordinary = F.regexp_extract_all(rest, F.lit(f"({STRING}{{{SAMPLE_LENGTH},}})"), F.lit(1))
     both = F.array(F.struct(F.array_join(random, "\n").alias("sample"), F.lit(True)
                             .alias("random")),
                    F.struct(F.array_join(ordinary, "\n").alias("sample"), F.lit(False)
@@ -191,19 +194,16 @@ def train(labelled: DataFrame) -> list[float]:
 
 
 def _chances(pairs: list[int], random: bool) -> list[float]:
-    """The chance of each character after each other: counts of the pair, with ``BACK_OFF`` more
-    dealt by how often a character occurs at all.  That starts from one for each character; for
-    random strings half of it is uniform, as samples of one kind of secret lack characters that
-    others have."""
-    total = [1 + sum(pairs[b::SIZE]) for b in range(1, SIZE)]
-    each = [n / sum(total) for n in total]
-    if random:
-        each = [(p + 1 / len(each)) / 2 for p in each]
+    """The chance of each character after each other: by counts of the pair, and for the share
+    ``BACK_OFF``, or for all after a character that none follows, by counts of the character."""
+    total = [sum(pairs[b::SIZE]) for b in range(1, SIZE)]
+    even = 1 / len(total)
+    each = [EVEN * even + (1 - EVEN) * (n / sum(total) if any(total) else even) for n in total]
     out = []
     for a in range(SIZE):
-        row = pairs[a * SIZE:(a + 1) * SIZE]
-        out += [1.0] + [(n + BACK_OFF * p) / (sum(row[1:]) + BACK_OFF)
-                        for n, p in zip(row[1:], each)]
+        row = pairs[a * SIZE + 1:(a + 1) * SIZE]
+        share = BACK_OFF[random] if any(row) else 1.0
+        out += [1.0] + [(1 - share) * n / max(1, sum(row)) + share * p for n, p in zip(row, each)]
     return out
 
 

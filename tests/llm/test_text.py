@@ -100,6 +100,32 @@ def test_random_strings_without_digits_are_found(spark):
     assert sum(judged(spark, ratios, ["_".join(names[i:] + names[:i]) for i in range(9)])) == 0
 
 
+@pytest.mark.parametrize("copies", [1, 50])
+def test_ordinary_strings_with_digits_stay(spark, copies):
+    """However many samples there are."""
+    r = random.Random(4)
+    names = ["get", "user", "name", "image", "photo", "chapter", "section", "backup", "gallery"]
+
+    def ordinary():
+        number = f"{r.randrange(1990, 2031)}-{r.randrange(1, 13):02}-{r.randrange(1, 29):02}"
+        a, b = r.choice("-_/"), r.choices(names, k=3)
+        return r.choice([f"/{b[0]}s/{number.replace('-', '/')}/{b[1]}-{b[2]}",
+                         a.join([*b, number[:4]]), f"{number}T{number[5:]}-00Z-{b[0]}-{b[1]}",
+                         a.join([b[0], number[5:7], b[1], number[8:], b[2]])])
+
+    keys = ["%040x" % r.getrandbits(160) for _ in range(40)]
+    texts = [f"token = {k} {' '.join(r.choices(names, k=30))}" for k in keys] + [
+        " ".join([ordinary(), *("_".join(r.choices(names, k=3)) for _ in range(20))])
+        for _ in range(400)]
+    docs = spark.createDataFrame([(t,) for t in texts * copies], "text string")
+    ratios = secret_scan.train(secret_scan.samples(docs))
+    strings = [s for s in (ordinary() for _ in range(150)) if len(s) >= 20]
+    assert len(strings) > 80 and sum(judged(spark, ratios, strings)) == 0
+    letters = secret_scan.LETTERS[:62]
+    assert sum(judged(spark, ratios, ["".join(r.choices(letters, k=r.randrange(24, 41)))
+                                      for _ in range(100)])) >= 97
+
+
 def test_running_sums_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(secret_scan, "BLOCK", 4)
     rows = [(list(range(n)),) for n in (0, 1, 4, 5, 37)]
