@@ -1,8 +1,8 @@
 """Removes lines or paragraphs that occurred before, anywhere in the corpus.
 
 Units are what stands between line ends (or blank lines).  They are compared by the digest of
-their normalised form: lower case, white space as one space.  Units of fewer than five words
-stay, since short ones agree by chance.  Of equal units the one with the earliest rank stays, by
+their normalised form: lower case, white space as one space.  Units of fewer than ``least_words``
+words stay; with 1 all units with a word are compared.  Of equal units the one with the earliest rank stays, by
 ``doc_id`` and then by position; the others are removed, and their places in the original text,
 in code points, are kept.
 
@@ -40,20 +40,21 @@ def units(text: Column, unit: str) -> Column:
     return F.split(text, re.escape(unit).replace("\\\n", "\n"), -1)
 
 
-def compared(units_: Column) -> Column:
-    """``(at, form)`` of the units that are long enough."""
+def compared(units_: Column, least_words: int) -> Column:
+    """``(at, form)`` of the units that have a word and are long enough."""
     forms = F.transform(units_, lambda u, i: F.struct(i.alias("at"), normalised(u).alias("form")))
-    return F.filter(forms, lambda u: F.size(F.split(u.form, " ")) >= LEAST_WORDS)
+    return F.filter(forms, lambda u: (u.form != "") & (
+        F.size(F.split(u.form, " ")) >= least_words))
 
 
 def _text(held: str = "held.text") -> Column:
     return F.coalesce(F.col(held).cast("string"), F.lit(""))
 
 
-def kept_places(rows: DataFrame, unit: str) -> DataFrame:
+def kept_places(rows: DataFrame, unit: str, least_words: int) -> DataFrame:
     """``(file, number, places)``: the units of each document that are the first of their form."""
     places = rows.select("held.doc_id", "file", "number", F.explode(F.transform(
-        compared(units(_text(), unit)), lambda u: F.struct(
+        compared(units(_text(), unit), least_words), lambda u: F.struct(
             u["at"].alias("at"), F.unhex(F.md5(u["form"])).alias("digest")))).alias("u"))
     firsts = places.groupBy("u.digest").agg(F.min(F.struct(
         F.col("doc_id").isNull().alias("unnamed"), "doc_id", "file", "number",
@@ -62,16 +63,17 @@ def kept_places(rows: DataFrame, unit: str) -> DataFrame:
         F.collect_list("first.at").alias("places"))
 
 
-def deduplicated(docs: DataFrame, unit: str = LINE) -> DataFrame:
+def deduplicated(docs: DataFrame, unit: str = LINE,
+                 least_words: int = LEAST_WORDS) -> DataFrame:
     """``(doc_id, text, cleaned, n_units, removed)``: ``removed`` has ``(start, stop)`` of each
     removed unit in ``text``, without its line end."""
     rows = located(docs)
-    kept = kept_places(rows, unit)
+    kept = kept_places(rows, unit, least_words)
     none = F.array().cast("array<int>")
     joined = rows.select("held.doc_id", _text().alias("text"), "file", "number").join(
         kept, ["file", "number"], "left")
-    gone = F.array_except(F.transform(compared(units(F.col("text"), unit)), lambda u: u["at"]),
-                          F.coalesce("places", none))
+    gone = F.array_except(F.transform(compared(units(F.col("text"), unit), least_words),
+                                      lambda u: u["at"]), F.coalesce("places", none))
 
     def result(x: Column) -> Column:
         last = F.size(x["units"]) - 1

@@ -196,6 +196,17 @@ def test_lines(odd, none, unit):
     assert unit_dedup.deduplicated(none, unit).count() == 0
 
 
+def test_short_lines_and_long_words(spark):
+    """With one word as the least size all repeats but the earliest go; blank lines stay."""
+    long = "文" * 300
+    rows = [(1, f"all rights reserved.\nend\n\n{long}"), (0, f"End\n\n\n{long}\nend"),
+            (None, "ALL  rights reserved.\nnew")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = unit_dedup.deduplicated(docs, least_words=1).collect()
+    assert {r.doc_id: r.cleaned for r in found} == {
+        0: f"End\n\n\n{long}", 1: "all rights reserved.\n", None: "new"}
+
+
 # ---------------------------------------------------------------- passages
 
 def brute_passages(rows):
