@@ -1,14 +1,16 @@
 """Links between documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or
-more, by a MinHash LSH forest.
+more, by MinHash banding.
 
 Words are runs of characters other than white space, in lower case; a text of fewer than five
 words has one shingle.  Documents with the same words are copies: they share one key, and the
 join works on keys.
 
-The forest has a number of trees; a key's label in a tree is a sequence of MinHashes, so the
-keys below a node of the trie share a prefix of it.  The longest prefixes are tried first and
-shortened until the expected recall of a pair at the threshold reaches the target; keys that
-share such a node in any tree are compared exactly.
+There is a number of trees; a key has a sequence of MinHashes in each, and a node of a tree is the
+keys that agree in all of it.  How long it is follows from the parameters, not from the data: the
+longest with which the expected recall of a pair at the threshold reaches the target.  That is
+ordinary banding, not an adaptive forest.  Keys that share a node in any tree are compared exactly; a
+pair that shares none is missed, at the threshold once in ten thousand pairs or less and more
+rarely above it.
 
 * Small nodes (up to ``SMALL`` keys) are written out as pairs, so a key gets a bounded number of
   pairs from each tree.  A pair from several trees is compared once.
@@ -40,7 +42,7 @@ from .common import SPACES, ready_workers, shared_folder, staged
 from .exact_dedup import located, on_files
 
 SHINGLE, SIMILARITY = 5, 0.8
-TREES, LONGEST_PREFIX, TARGET_RECALL = 32, 12, 0.99
+TREES, LONGEST_PREFIX, TARGET_RECALL = 32, 12, 0.9999
 SMALL, BLOCK = 32, 256
 # Columns of an incidence matrix that are multiplied at a time.
 WIDTH = 4096

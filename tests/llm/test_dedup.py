@@ -147,6 +147,14 @@ def test_every_link_counts_once(spark, monkeypatch):
         (rows[i][0], len(links[i])) for i in range(len(rows)))
 
 
+def test_no_link_of_a_group_of_near_copies_is_missed(spark):
+    rows = near_rows()
+    found = jaccard_join.classes(table(spark, rows)).collect()
+    links = brute_links(rows)
+    assert Counter((r.doc_id, r.n_links) for r in found) == Counter(
+        (rows[i][0], len(links[i])) for i in range(len(rows)))
+
+
 @pytest.mark.parametrize("from_files", [True, False])
 def test_one_of_each_class(spark, odd, none, from_files):
     odd = odd if from_files else table(spark, odd_texts())
