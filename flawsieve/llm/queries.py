@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import (bpe, exact_dedup, jaccard_join, packing, quality_model, quality_rules,
+from . import (bpe, conversation_trie, exact_dedup, jaccard_join, packing, quality_model, quality_rules,
                secret_scan, suffix_dedup, token_files, unit_dedup)
 from .common import documents
 
@@ -87,10 +87,18 @@ def op10_bpe(spark, sf_dir):
         F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op11_conversation_trie(spark, sf_dir):
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return conversation_trie.trie(
+        conversation_trie.rebuilt(conversation_trie.conversations_of(turns)))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_secret_scan, op2_packing, op3_exact_dedup, op4_jaccard_join, op5_unit_dedup,
-    op6_quality_model, op7_token_files, op8_quality_rules, op9_suffix_dedup, op10_bpe)}
+    op6_quality_model, op7_token_files, op8_quality_rules, op9_suffix_dedup, op10_bpe,
+    op11_conversation_trie)}
 # The others are beyond SQL; tests hold them to brute force, the library or held-out accuracy.
 ORACLES: dict[str, str] = {
     "op3_exact_dedup": exact_dedup.ORACLE_SQL, "op5_unit_dedup": unit_dedup.ORACLE_SQL,
-    "op8_quality_rules": quality_rules.ORACLE_SQL}
+    "op8_quality_rules": quality_rules.ORACLE_SQL,
+    "op11_conversation_trie": conversation_trie.ORACLE_SQL}
