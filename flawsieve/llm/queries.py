@@ -5,7 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import (bpe, conversation_trie, exact_dedup, jaccard_join, packing, quality_model, quality_rules,
+from . import (bpe, conversation_trie, exact_dedup, jaccard_join,
+               language_id, lexical_search, packing, quality_model, quality_rules,
                secret_scan, suffix_dedup, token_files, unit_dedup)
 from .common import documents
 
@@ -93,12 +94,25 @@ def op11_conversation_trie(spark, sf_dir):
         conversation_trie.rebuilt(conversation_trie.conversations_of(turns)))
 
 
+def op12_language_id(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    trees = language_id.train(docs.filter(~language_id.held_out(F.col("doc_id"))))
+    return language_id.predicted(docs, trees).select(
+        "doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def op13_lexical_search(spark, sf_dir):
+    return lexical_search.search(documents(spark, sf_dir),
+                                 spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_secret_scan, op2_packing, op3_exact_dedup, op4_jaccard_join, op5_unit_dedup,
     op6_quality_model, op7_token_files, op8_quality_rules, op9_suffix_dedup, op10_bpe,
-    op11_conversation_trie)}
+    op11_conversation_trie, op12_language_id, op13_lexical_search)}
 # The others are beyond SQL; tests hold them to brute force, the library or held-out accuracy.
 ORACLES: dict[str, str] = {
     "op3_exact_dedup": exact_dedup.ORACLE_SQL, "op5_unit_dedup": unit_dedup.ORACLE_SQL,
     "op8_quality_rules": quality_rules.ORACLE_SQL,
-    "op11_conversation_trie": conversation_trie.ORACLE_SQL}
+    "op11_conversation_trie": conversation_trie.ORACLE_SQL,
+    "op13_lexical_search": lexical_search.ORACLE_SQL}
