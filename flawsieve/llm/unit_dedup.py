@@ -1,10 +1,10 @@
 """Removes lines or paragraphs that occurred before, anywhere in the corpus.
 
 Units are what stands between line ends (or blank lines).  They are compared by the digest of
-their normalised form: lower case, white space as one space.  Units of fewer than ``least_words``
-words stay; with 1 all units with a word are compared.  Of equal units the one with the earliest rank stays, by
-``doc_id`` and then by position; the others are removed, and their places in the original text,
-in code points, are kept.
+their normalised form: lower case, white space as one space.  All units with a word are compared,
+or with ``least_words`` those with at least so many.  Of equal units the one with the earliest rank
+stays, by ``doc_id`` and then by position; the others are removed, and their places in the original
+text, in code points, are kept.
 
 Only digests and places are grouped, combined before the shuffle, so a line that a third of all
 documents have reaches its group as one row for each task.  The places that stay are then
@@ -29,7 +29,6 @@ from .quality_rules import let
 from .secret_scan import scanned
 
 LINE, PARAGRAPH = "\n", "\n\n"
-LEAST_WORDS = 5
 
 
 def normalised(unit: Column) -> Column:
@@ -63,8 +62,7 @@ def kept_places(rows: DataFrame, unit: str, least_words: int) -> DataFrame:
         F.collect_list("first.at").alias("places"))
 
 
-def deduplicated(docs: DataFrame, unit: str = LINE,
-                 least_words: int = LEAST_WORDS) -> DataFrame:
+def deduplicated(docs: DataFrame, unit: str = LINE, least_words: int = 1) -> DataFrame:
     """``(doc_id, text, cleaned, n_units, removed)``: ``removed`` has ``(start, stop)`` of each
     removed unit in ``text``, without its line end."""
     rows = located(docs)
@@ -106,7 +104,7 @@ u AS (
   FROM (SELECT r, doc_id, unnest(string_split(text, chr(10))) AS line,
                unnest(range(len(string_split(text, chr(10))))) AS p FROM d)),
 k AS (
-  SELECT *, len(string_split(form, ' ')) >= {LEAST_WORDS} AND row_number() OVER (
+  SELECT *, form <> '' AND row_number() OVER (
               PARTITION BY form ORDER BY doc_id NULLS LAST, r, p) > 1 AS gone FROM u)
 SELECT min(doc_id) AS doc_id, count(*) AS n_units, count(*) FILTER (gone) AS n_removed,
        coalesce(string_agg(CAST(start AS BIGINT) || ':' || CAST(start + length(line) AS BIGINT),

@@ -193,7 +193,7 @@ def test_lines(odd, none, unit):
         at, stay, gone = 0, [], []
         for u in (text or "").split(unit):
             form = WHITE.sub(" ", u.lower()).strip(" ")
-            if len(form.split(" ")) >= 5 and form in seen:
+            if form and form in seen:
                 gone.append((at, at + len(u)))
             else:
                 stay.append(u)
@@ -205,14 +205,16 @@ def test_lines(odd, none, unit):
 
 
 def test_short_lines_and_long_words(spark):
-    """With one word as the least size all repeats but the earliest go; blank lines stay."""
+    """All repeats but the earliest go, however short; blank lines stay."""
     long = "文" * 300
     rows = [(1, f"all rights reserved.\nend\n\n{long}"), (0, f"End\n\n\n{long}\nend"),
             (None, "ALL  rights reserved.\nnew")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    found = unit_dedup.deduplicated(docs, least_words=1).collect()
+    found = unit_dedup.deduplicated(docs).collect()
     assert {r.doc_id: r.cleaned for r in found} == {
         0: f"End\n\n\n{long}", 1: "all rights reserved.\n", None: "new"}
+    found = unit_dedup.deduplicated(docs, least_words=2).collect()
+    assert {r.doc_id: r.cleaned for r in found}[0] == f"End\n\n\n{long}\nend"
 
 
 # ---------------------------------------------------------------- passages
