@@ -183,9 +183,10 @@ def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS,
         number = F.row_number().over(Window.partitionBy("lang").orderBy("at"))
         return rows.withColumn("n", number).filter(F.col("n") <= sample_rows)
 
-    # The last hash that is wanted of each language: texts are read with it, and never sorted.
+    # The last hash that is wanted of each language: texts are read with it, and never sorted or
+    # shuffled.  It is one row for each tree that the workers will hold.
     last = first(rows.select("lang", "at")).groupBy("lang").agg(F.max("at").alias("last"))
-    sample = first(rows.join(last, "lang").filter(F.col("at") <= F.col("last"))).select(
+    sample = first(rows.join(F.broadcast(last), "lang").filter(F.col("at") <= F.col("last"))).select(
         "lang", "text")
     schema = arrow_schema("lang string, key long, n long")
 
