@@ -7,6 +7,8 @@ sums of CASE terms.
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from flawsieve import catalogue as cat
 from flawsieve.functions.context import (MAX_REASONS, NEUTRAL, NOT_A_LITERAL, SIGNALS,
                                          STRONG_ALGORITHMS, TRUSTED_MARKERS)
@@ -15,7 +17,12 @@ from flawsieve.operators import linewise
 from flawsieve.sources.files import EXTENSIONS, IGNORED_NAMES, MAX_FILE_SIZE
 
 from .corpus import corpus_sql, path_sql, quoted
-from .queries import EDITED_CATALOGUE
+from .queries import CONDITIONAL_CATALOGUE, EDITED_CATALOGUE
+
+# The conditional rules without conditions, for RE2.
+_PLAIN_FORMS = {"F001": r'secret = "s\d+|"k\d+', "keyed_call": r"\.load\(|exec\("}
+PLAIN_CATALOGUE = tuple(replace(r, pattern=_PLAIN_FORMS.get(r.name, r.pattern))
+                        for r in CONDITIONAL_CATALOGUE)
 
 # White space and word characters of Unicode text, for RE2.
 _SPACE = (r"\t-\r\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}"
@@ -137,8 +144,9 @@ CASE WHEN m.seq = 0 THEN s.line_score ELSE CAST(0 AS DOUBLE) END AS risk_score,
 m.needs_escalation, m.sources"""
 
 
-def report(files: str | None = None, extra: str = "", tail: str = "") -> str:
-    return (f"WITH {raw(files=files)}, {kept()}, {merged()}\nSELECT {REPORT}{extra} "
+def report(files: str | None = None, extra: str = "", tail: str = "",
+           catalogue=cat.DEFAULT_CATALOGUE) -> str:
+    return (f"WITH {raw(catalogue, files)}, {kept()}, {merged()}\nSELECT {REPORT}{extra} "
             f"FROM merged m JOIN scored s ON m.file = s.file AND m.line = s.line{tail}")
 
 
@@ -392,6 +400,9 @@ SELECT file, ord, k, pattern, finding_type, severity, evidence, line, confidence
         "custom_rule_scan": f"""WITH {raw(tuple(r for r in EDITED_CATALOGUE
                                                 if r.lane == cat.RULE))}
 SELECT file, k, pattern AS rule_id, finding_type, evidence, line FROM raw""",
+        "fallback_rule_scan": report(catalogue=PLAIN_CATALOGUE),
+        "fallback_matches": f"""WITH {raw(PLAIN_CATALOGUE)}
+SELECT file, ord, k, lane, pattern, evidence, line, needs_escalation FROM raw""",
         "web_page_scan": f"""WITH {raw(files=pages)}
 SELECT file, pattern, count(*) AS matches, min(line) AS first_line FROM raw
 GROUP BY file, pattern""",

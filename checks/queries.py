@@ -35,6 +35,15 @@ EDITED_CATALOGUE = cat.remove_rule(
         "id": "X001", "name": "Assignment", "pattern": r"^\w+\s*=\s*\w+\.\w+\(",
         "finding_type": "Call", "severity": "Low"}), "R001")[0]
 
+# Rules that Java's regexes can't express: a group that is asked for if another one took part.
+CONDITIONAL_CATALOGUE = (
+    cat.with_needles(cat.Rule("F001", r'(secret = )?"(?(1)s\d+|k\d+)', "Named Secret", "High",
+                              needs_escalation=True), '"k', '"s'),
+    *cat.DETERMINISTIC_RULES,
+    cat.with_needles(cat.Rule("keyed_call", r"(\.)?(?(1)load|exec)\(", "Call", "Low",
+                              lane=cat.HEURISTIC), "load(", "exec("),
+    *cat.HEURISTIC_RULES)
+
 REPORT_COLUMNS = ("file", "line", "seq", "finding_type", "severity", "evidence", "risk_score",
                   "needs_escalation", "sources")
 
@@ -67,6 +76,17 @@ def custom_rule_scan(spark, sf_dir):
         "file", "k", F.col("pattern").alias("rule_id"), "finding_type", "evidence", "line")
 
 
+def fallback_rule_scan(spark, sf_dir):
+    """Rules for two regex engines in one scan, merged by line."""
+    return _sources(scan(corpus(spark, sf_dir), CONDITIONAL_CATALOGUE)).select(*REPORT_COLUMNS)
+
+
+def fallback_matches(spark, sf_dir):
+    """The single matches of the same catalogue."""
+    return scan_matches(corpus(spark, sf_dir), CONDITIONAL_CATALOGUE).select(
+        "file", "ord", "k", "lane", "pattern", "evidence", "line", "needs_escalation")
+
+
 def web_page_scan(spark, sf_dir):
     pages = table(spark, sf_dir, "pages", "page_id")
     return scan_matches(pages, path="url", content="html").groupBy("file", "pattern").agg(
@@ -421,7 +441,8 @@ def request_batch(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    rule_scan, heuristic_scan, custom_rule_scan, web_page_scan, document_scan, path_filter,
+    rule_scan, heuristic_scan, custom_rule_scan, fallback_rule_scan, fallback_matches,
+    web_page_scan, document_scan, path_filter,
     lenient_decode, eligible_lines, heuristic_dedup, detector_merge, table_merge, risk_scores,
     score_rows, escalation, escalation_lookup, merged_findings, scan_report, filtered_report,
     code_report, report_summary, gate, top_findings, json_report, context_validate,

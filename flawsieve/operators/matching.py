@@ -12,7 +12,6 @@ and whatever the match spans, and costs one pass per matching rule.
 from __future__ import annotations
 
 import json
-import warnings
 
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import IllegalArgumentException
@@ -22,6 +21,7 @@ from pyspark.sql import functions as F
 from ..catalogue import DEFAULT_CATALOGUE, HEURISTIC, RULE, Rule, usable
 from ..functions.regex import java_pattern
 from ..functions.text import contains_any, excerpt, let, lines_of, strip
+from .fallback import PLACE_TYPE, python_matches
 
 MARKER = "\x01"
 _BUILT_IN = frozenset(DEFAULT_CATALOGUE)
@@ -40,32 +40,40 @@ RAW_COLUMNS = ("lane", "ord", "k", "pattern", "finding_type", "severity", "evide
                "confidence", "needs_escalation")
 
 
-def runnable(catalogue: tuple[Rule, ...]) -> tuple[Rule, ...]:
-    """The usable rules without those that Java's regexes can't express, such as conditional
-    groups: they are skipped with a warning, and don't end the scan."""
+_JAVA_RUNS: dict[tuple[str, bool], bool] = {}
+
+
+def java_runs(rule: Rule) -> bool:
+    """Whether Java's regexes can express a rule; conditional groups, for one, they can't."""
     spark = SparkSession.getActiveSession()
-    kept = []
-    for rule in usable(catalogue):
-        if rule not in _BUILT_IN and spark is not None:
-            try:
-                spark._jvm.java.util.regex.Pattern.compile(
-                    java_pattern(rule.pattern, rule.lane == HEURISTIC))
-            except (Py4JJavaError, IllegalArgumentException) as e:
-                warnings.warn(f"rule {rule.name} skipped: {str(e).splitlines()[0]}")
-                continue
-        kept.append(rule)
-    return tuple(kept)
+    if rule in _BUILT_IN or spark is None:
+        return True
+    key = (rule.pattern, rule.lane == HEURISTIC)
+    if key not in _JAVA_RUNS:
+        try:
+            spark._jvm.java.util.regex.Pattern.compile(java_pattern(*key))
+            _JAVA_RUNS[key] = True
+        except (Py4JJavaError, IllegalArgumentException):
+            _JAVA_RUNS[key] = False
+    return _JAVA_RUNS[key]
+
+
+def fallback_rules(catalogue: tuple[Rule, ...]) -> dict[int, Rule]:
+    """The usable rules that Python has to match, by their number."""
+    return {i: r for i, r in enumerate(usable(catalogue), 1) if not java_runs(r)}
 
 
 def rule_array(catalogue: tuple[Rule, ...]) -> Column:
-    """The catalogue as one literal ``ARRAY<STRUCT>`` column."""
+    """The catalogue as one literal ``ARRAY<STRUCT>`` column; a rule that Python has to match has
+    no regex in it."""
     rows = [
         {"ord": i, "lane": r.lane, "name": r.name,
-         "regex": java_pattern(r.linear_pattern or r.pattern, r.lane == HEURISTIC),
+         "regex": java_pattern(r.linear_pattern or r.pattern, r.lane == HEURISTIC)
+         if java_runs(r) else None,
          "guard": r.guard and java_pattern(r.guard, r.lane == HEURISTIC),
          "needles": list(r.needles), "finding_type": r.finding_type,
          "severity": r.severity, "needs_escalation": r.needs_escalation}
-        for i, r in enumerate(runnable(catalogue), 1)
+        for i, r in enumerate(usable(catalogue), 1)
     ]
     return F.from_json(F.lit(json.dumps(rows)), f"array<{RULE_TYPE}>")
 
@@ -92,7 +100,7 @@ def words_in(text: Column, words: list[str]) -> Column:
 
 
 def matching_rules(content: Column, needles: Column, catalogue: tuple[Rule, ...]) -> Column:
-    """The rules that match the text, in catalogue order.
+    """The rules that match the text, in catalogue order, but for those that Python has to match.
 
     ``needles`` are those of the catalogue's needles that occur in the folded text.  They are
     bound to a variable, so they are looked up once wherever the expression stands.
@@ -125,11 +133,12 @@ def line_evidence(line_text: Column) -> Column:
     return excerpt(strip(line_text), EVIDENCE_LENGTH)
 
 
-HIT_TYPE = "struct<line:int,ord:int,k:int,text:string>"
+HIT_TYPE = PLACE_TYPE
 
 
-def line_hits(content: Column, lines: Column, rules: Column) -> Column:
-    """``ARRAY<STRUCT<line, hits>>``: the lines of one file that have hits, top to bottom.
+def line_hits(content: Column, lines: Column, rules: Column, more: Column | None = None) -> Column:
+    """``ARRAY<STRUCT<line, hits>>``: the lines of one file that have hits, top to bottom; ``more``
+    are hits that were found elsewhere.
 
     ``hits`` is ordered by arrival.  A heuristic adds one hit to a line however often it
     matches there, since its evidence is the line itself; a deterministic rule adds each
@@ -150,8 +159,8 @@ def line_hits(content: Column, lines: Column, rules: Column) -> Column:
         return F.when(rule.lane == RULE, texts.cast(array_type)).otherwise(
             counts.cast(array_type))
 
-    ordered = F.sort_array(F.flatten(F.transform(rules, hits_of)))
-    return let(ordered, group_by_line)
+    found = F.flatten(F.transform(rules, hits_of))
+    return let(F.sort_array(found if more is None else F.concat(found, more)), group_by_line)
 
 
 def group_by_line(hits: Column) -> Column:
@@ -177,20 +186,37 @@ def scan_matches(files: DataFrame, catalogue: tuple[Rule, ...] = DEFAULT_CATALOG
     ``k`` numbers the matches of one rule in one file.  The evidence of a deterministic rule
     is the matched text; that of a heuristic is the stripped line the match starts on.
     """
-    hits = (
-        files.where(F.col(content).isNotNull())
-        .select(F.col(path).alias("file"), F.col(content).alias("content"),
-                let(folded(F.col(content)), lambda t: words_in(t, needles_of(catalogue)))
-                .alias("needles"))
-        .select("file", "content",
-                F.explode(matching_rules(F.col("content"), F.col("needles"), catalogue))
-                .alias("rule"))
-    )
+    python = fallback_rules(catalogue)
+    found = "array<struct<line:int,text:string>>"
+    hits = files.where(F.col(content).isNotNull()).select(
+        F.col(path).alias("file"), F.col(content).alias("content"),
+        let(folded(F.col(content)), lambda t: words_in(t, needles_of(catalogue))).alias("needles"))
+    matching = matching_rules(F.col("content"), F.col("needles"), catalogue)
+    if python:
+        hits = hits.withColumn("places", python_matches(F.col("content"), F.col("needles"), python))
+        matching = F.concat(
+            F.transform(matching, lambda r: F.struct(
+                r.alias("rule"), F.lit(None).cast(found).alias("found"))),
+            F.transform(
+                F.array_distinct(F.transform("places", lambda p: p.ord)),
+                lambda o: F.struct(
+                    F.get(rule_array(catalogue), o - 1).alias("rule"),
+                    F.transform(F.filter("places", lambda p: p.ord == o), lambda p: F.struct(
+                        p.line.alias("line"), p.text.alias("text"))).alias("found"))))
+        hits = hits.select("file", "content", F.explode(matching).alias("m")).select(
+            "file", "content", "m.rule", "m.found")
+    else:
+        hits = hits.select("file", "content", F.explode(matching).alias("rule"))
     rule, text = F.col("rule"), F.col("content")
 
+    def matches(lines):
+        if not python:
+            return all_matches(text, lines, rule)
+        return F.coalesce("found", all_matches(text, lines, rule).cast(found))
+
     def finding(lines):
         return F.transform(
-            all_matches(text, lines, rule),
+            matches(lines),
             lambda m, k: F.struct(
                 m.line.alias("line"), (k + 1).alias("k"),
                 F.when(rule.lane == RULE, m.text)

@@ -22,10 +22,11 @@ from ..functions.scoring import (PIPELINE_CONFIDENCE, risk_score, score_terms_in
                                  should_escalate)
 from ..functions.text import let, lines_of, strip
 from ..operators.analysis import standard_analysis
+from ..operators.fallback import as_line_hits, python_matches
 from ..operators.linewise import pattern_lane_eligible
-from ..operators.matching import (HIT_TYPE, REGEX_CONFIDENCE, folded, group_by_line,
-                                  has_case_extras, line_evidence, line_hits, matching_rules,
-                                  needles_of, rule_array, words_in)
+from ..operators.matching import (HIT_TYPE, REGEX_CONFIDENCE, fallback_rules, folded,
+                                  group_by_line, has_case_extras, line_evidence, line_hits,
+                                  matching_rules, needles_of, rule_array, words_in)
 from ..operators.merge import SOURCE_TYPE, dedup_heuristics, merge_line
 from ..operators.similarity import PATTERN_THRESHOLD, semantic_patterns, text_hits
 
@@ -43,15 +44,19 @@ def _scan_rows(files, catalogue, path, content, keep, every_line: bool,
         *keep, F.col(path).alias("file"), F.col(content).alias("_content"),
         let(folded(F.col(content)), lambda t: words_in(t, needles)).alias("needles"))
     rules = matching_rules(text, F.col("needles"), catalogue)
+    python, more, some = fallback_rules(catalogue), None, F.lit(False)
+    if python:
+        rows = rows.withColumn("places", python_matches(text, F.col("needles"), python))
+        more, some = as_line_hits(F.col("places"), python), F.size("places") > 0
     if every_line:
         rows = rows.withColumn("rules", rules)
     else:
         # A file with no matching rule ends here: the explode gives no row for an empty list.
         rows = rows.select("*", F.explode(F.filter(
-            F.array(rules), lambda rules: F.size(rules) > 0)).alias("rules"))
+            F.array(rules), lambda rules: (F.size(rules) > 0) | some)).alias("rules"))
 
     def with_lines(lines):
-        groups = line_hits(text, lines, F.col("rules"))
+        groups = line_hits(text, lines, F.col("rules"), more)
         if every_line:
             wanted = F.filter(
                 F.transform(lines, lambda raw, i: F.when(
@@ -74,7 +79,7 @@ def _scan_rows(files, catalogue, path, content, keep, every_line: bool,
     terms = F.when(has_case_extras(text), let(F.lower(text), score_terms_in)).otherwise(
         F.concat(F.col("needles"), let(F.lower(text), lambda t: words_in(t, others))))
     return rows.select(
-        *keep, "file", "_content", "rules", terms.alias("terms")
+        *keep, "file", "_content", "rules", *(["places"] if python else []), terms.alias("terms")
     ).select(*keep, "file", "terms", F.inline(let(lines_of(text), with_lines)))
 
 

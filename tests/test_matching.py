@@ -10,7 +10,11 @@ from conftest import files_frame
 import model
 from flawsieve import catalogue as cat
 from flawsieve.functions.regex import java_pattern
+from flawsieve.functions.regex import java_pattern
+from flawsieve.operators.fallback import has_needle
 from flawsieve.operators.matching import matching_rules, needles_of, scan_matches, words_in
+from flawsieve.operators.similarity import hashed_ngrams
+from flawsieve.plans.scan import scan, scan_lines
 from pyspark.sql import functions as F
 
 # One or more texts for each pattern.
@@ -172,18 +176,83 @@ def test_catalogue_sizes():
 
 
 def test_rules_of_the_users(spark):
-    """Repetitions from zero and single braces match as in Python; rules that no regex engine or
-    only Python's accepts are left out with a warning."""
+    """Repetitions from zero and single braces match as in Python, and rules that only Python's
+    regexes accept are matched there; those that none accepts are left out with a warning."""
     patterns = [r"foox{,3}\(", "${", "a{b}", "x{2}y{1,}", "", "(", "(foo)(?(1)x|y)"]
     catalogue = tuple(cat.rule_from_dict({"id": f"U{i}", "name": "", "pattern": p,
                                           "finding_type": "Own", "severity": "Low"})
                       for i, p in enumerate(patterns))
     text = "foo( foox( fooxxx( fooxxxx(\na{b} and ${\nxxyyy"
-    with pytest.warns(UserWarning, match="U6 skipped"):
+    with pytest.warns(UserWarning, match="U5 skipped"):
         found = scan_matches(files_frame(spark, [text]), catalogue).collect()
     want = {(f"U{i}", m.group(), text[:m.start()].count("\n") + 1)
-            for i, p in enumerate(patterns[:4]) for m in re.finditer(p, text, re.M)}
-    assert {(r.pattern, r.evidence, r.line) for r in found} == want and len(want) == 5
+            for i, p in enumerate(patterns) if i not in (4, 5) for m in re.finditer(p, text, re.M)}
+    assert {(r.pattern, r.evidence, r.line) for r in found} == want and len(want) == 6
+
+
+CONDITIONAL = (
+    cat.Rule("C1", r"(<)?\w+@\w+(?(1)>)$", "Address", "High", needs_escalation=True),
+    cat.Rule("J1", r"eval\(\w*\)", "Injection", "Low"),
+    cat.Rule("C2", r"(a)?\n?(?(1)B|C)+", "Spread", "Critical", lane=cat.HEURISTIC),
+    cat.Rule("J2", r"eval", "Injection", "Medium", lane=cat.HEURISTIC),
+    cat.with_needles(cat.Rule("C3", r"(x)?(?(1)y|xz)", "Guarded", "Low", lane=cat.HEURISTIC),
+                     "xy", "xz"))
+ODD = ["", "\n\n", "<u@h>\nu@h\n<u@h x\neval(u) <b@c>", "ab ac c c\na\nB a\n\nCCC\n c",
+       "eval(a) eval(b)\r\n<a@b>\u2028\ncC", "xy z xy\nz xz", "z only", "Z\nXY é xy",
+       "\U0001F600 <é@日>\n" * 40]
+
+
+def expected_matches(texts, catalogue):
+    out = []
+    for file, text in texts.items():
+        for ord_, r in enumerate(catalogue, 1):
+            flags = re.M | (re.I if r.lane == cat.HEURISTIC else 0)
+            for k, m in enumerate(re.finditer(r.pattern, text, flags), 1):
+                line = text.count("\n", 0, m.start()) + 1
+                evidence = m.group() if r.lane == cat.RULE else \
+                    text.split("\n")[line - 1].strip()[:100]
+                out.append((file, ord_, k, r.name, evidence, line))
+    return sorted(out)
+
+
+def test_fallback_lane(spark):
+    """All matches of rules for both engines, in one numbering."""
+    files = files_frame(spark, ODD)
+    texts = {r.path: r.content for r in files.collect()}
+    got = sorted((r.file, r.ord, r.k, r.pattern, r.evidence, r.line)
+                 for r in scan_matches(files, CONDITIONAL).collect())
+    want = expected_matches(texts, CONDITIONAL)
+    assert got == want and {w[3] for w in want} == {r.name for r in CONDITIONAL}
+
+
+def test_fallback_lane_in_the_scan(spark):
+    """Lines of both engines are merged; a heuristic counts once on a line."""
+    files = files_frame(spark, ODD)
+    texts = {r.path: r.content for r in files.collect()}
+    got = {(r.file, r.line, f.pattern, f.evidence)
+           for r in scan_lines(files, CONDITIONAL).collect() for f in r.findings}
+    assert got == {(f, line, name, e) for f, _, _, name, e, line
+                   in expected_matches(texts, CONDITIONAL)}
+    merged = scan(files, CONDITIONAL).collect()
+    assert {(r.file, r.line, r.finding_type) for r in merged} == {
+        (f, line, {c.name: c for c in CONDITIONAL}[n].finding_type)
+        for f, _, _, n, _, line in expected_matches(texts, CONDITIONAL)}
+    embedded = scan_lines(files, CONDITIONAL, embed=hashed_ngrams(), threshold=2.0).collect()
+    assert {(r.file, r.line, f.pattern, f.evidence)
+            for r in embedded for f in r.findings} == got
+
+
+def test_only_such_rules_need_python(spark):
+    files = files_frame(spark, ["eval(x)"])
+
+    def plan(catalogue):
+        return scan(files, catalogue)._jdf.queryExecution().executedPlan().toString()
+
+    assert "Python" not in plan(cat.DEFAULT_CATALOGUE) and "Python" in plan(CONDITIONAL)
+    # A text without a needle of such a rule stays where it is.
+    sent = files.select(F.when(has_needle(F.array(F.lit("q")), CONDITIONAL[4:]), F.col("content"))
+                        .alias("c")).collect()
+    assert [r.c for r in sent] == [None]
 
 
 def test_needles_are_looked_up_once_in_a_select(spark):
