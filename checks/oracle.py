@@ -515,14 +515,18 @@ SELECT vec_id, ord, round(similarity, 6) AS similarity FROM sims WHERE similarit
         "cosine_best": f"""WITH {CENTROIDS}
 SELECT vec_id, min_by(ord, (-similarity, ord)) AS ord, round(max(similarity), 6) AS similarity
 FROM sims GROUP BY vec_id HAVING max(similarity) > 0""",
-        "cosine_blocks": """WITH v AS (SELECT CAST(vec_id AS INTEGER) AS id,
+        "cosine_blocks": """WITH v AS (SELECT vec_id,
+       list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings)
+SELECT i.vec_id, p.vec_id AS ord, round(list_cosine_similarity(i.e, p.e), 6) AS similarity
+FROM v i, v p WHERE i.vec_id % 100 = 0 AND list_cosine_similarity(i.e, p.e) > 0.25""",
+        "cosine_nearest": """WITH v AS (SELECT vec_id,
        list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
-sims AS (SELECT i.id, p.id AS ord, list_cosine_similarity(i.e, p.e) AS similarity
-         FROM v i, v p WHERE p.id % 50 = 7),
-best AS (SELECT id, min_by(ord, (-similarity, ord)) AS ord, max(similarity) AS similarity
-         FROM sims GROUP BY id HAVING max(similarity) > 0)
-SELECT id - id % 2 AS item, count(*) AS matches, min(ord) AS first_ord, max(ord) AS last_ord,
-       round(max(similarity), 6) AS similarity FROM best GROUP BY item""",
+i AS (SELECT a.vec_id, list_transform(list_zip(a.e, b.e), lambda z: z[1] + 2 * z[2]) AS e
+      FROM v a JOIN v b ON b.vec_id = a.vec_id + 1 WHERE a.vec_id % 100 = 0),
+sims AS (SELECT i.vec_id, p.vec_id AS ord, list_cosine_similarity(i.e, p.e) AS similarity
+         FROM i, v p)
+SELECT vec_id, min_by(ord, (-similarity, ord)) AS ord, round(max(similarity), 6) AS similarity
+FROM sims GROUP BY vec_id HAVING max(similarity) > 0""",
         "cosine_to_label": f"""WITH {CENTROIDS}
 SELECT vec_id, own AS label, round(similarity, 6) AS similarity FROM sims WHERE ord = own""",
         "mean_pool": """SELECT label, CAST(i - 1 AS INTEGER) AS dim,

@@ -18,6 +18,7 @@ from flawsieve.operators.classify import classify_findings, with_alternatives
 from flawsieve.operators.linewise import (detector_eligible, file_lines, keyword_scan,
                                           merge_detector, pattern_lane_eligible)
 from flawsieve.operators.matching import scan_matches
+from flawsieve.operators.nearest import similar_among_many
 from flawsieve.operators.prompts import collapse_prompts, render_prompts, with_window
 from flawsieve.operators.scoring import score_findings
 from flawsieve.operators.similarity import hashed_ngrams, similar_patterns
@@ -275,16 +276,26 @@ def cosine_best(spark, sf_dir):
 
 
 def cosine_blocks(spark, sf_dir):
-    """The best match of each vector among several blocks of patterns; every id comes twice."""
-    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("int"), "embedding")
-    patterns = vectors.where("vec_id % 50 = 7").select(
-        F.col("vec_id").alias("ord"), F.col("embedding").alias("vector"))
-    items = vectors.select((F.col("vec_id") - F.col("vec_id") % 2).alias("item"),
-                           F.col("embedding").alias("vector"))
-    return similar_patterns(items, patterns, ["item"], threshold=0.0, best_only=True,
-                            blocks=5, shares=7).groupBy("item").agg(
-        F.count("*").alias("matches"), F.min("ord").alias("first_ord"),
-        F.max("ord").alias("last_ord"), F.round(F.max("similarity"), 6).alias("similarity"))
+    """The vectors whose id is divisible by 100 against all vectors."""
+    vectors = table(spark, sf_dir, "embeddings")
+    items = vectors.where("vec_id % 100 = 0").select("vec_id", F.col("embedding").alias("vector"))
+    patterns = vectors.select(F.col("vec_id").alias("ord"), F.col("embedding").alias("vector"))
+    return similar_among_many(items, patterns, ["vec_id"], threshold=0.25, blocks=32,
+                              patterns_a_task=64, items_a_task=2).withColumn(
+        "similarity", F.round("similarity", 6))
+
+
+def cosine_nearest(spark, sf_dir):
+    """For the same ids the best of all vectors for the sum of their and the next one's vector."""
+    vectors = table(spark, sf_dir, "embeddings")
+    following = vectors.select((F.col("vec_id") - 1).alias("vec_id"),
+                               F.col("embedding").alias("other"))
+    items = vectors.where("vec_id % 100 = 0").join(following, "vec_id").select(
+        "vec_id", F.zip_with("embedding", "other", lambda a, b: a.cast("double") + 2 * b)
+        .alias("vector"))
+    patterns = vectors.select(F.col("vec_id").alias("ord"), F.col("embedding").alias("vector"))
+    return similar_among_many(items, patterns, ["vec_id"], threshold=0.0, best_only=True,
+                              blocks=32).withColumn("similarity", F.round("similarity", 6))
 
 
 def cosine_to_label(spark, sf_dir):
@@ -447,7 +458,7 @@ QUERIES = {f.__name__: f for f in (
     score_rows, escalation, escalation_lookup, merged_findings, scan_report, filtered_report,
     code_report, report_summary, gate, top_findings, json_report, context_validate,
     classified_findings, safe_alternatives, keyword_lines, cosine_threshold, cosine_best,
-    cosine_blocks,
+    cosine_blocks, cosine_nearest,
     cosine_to_label, mean_pool, detector_scan, semantic_report, prompt_window,
     prompt_window_join, prompt_render, prompt_export, stub_analysis, response_parse,
     analysis_routing, analysed_report, training_set, known_pattern_summary, findings_history,

@@ -6,6 +6,7 @@ from conftest import files_frame
 
 from flawsieve import catalogue as cat
 from flawsieve.functions.vectors import array_cosine, masked_mean, mean_vectors
+from flawsieve.operators.nearest import indexed, similar_among_many, visited_blocks
 from flawsieve.operators.similarity import hashed_ngrams, similar_patterns, unit_rows
 from flawsieve.plans.detect import detect
 from pyspark.sql import functions as F
@@ -63,6 +64,61 @@ def test_equal_keys_have_a_match_each(spark, blocks):
     assert sorted((r.id, r.ord) for r in found) == [(0, 0)] * 3 + [(1, 0)] * 3
 
 
+def crowded(n, seed=5):
+    """Vectors around a few centres, a third of them copies of one."""
+    r = np.random.default_rng(seed)
+    centres = r.normal(size=(12, 24))
+    v = centres[r.integers(0, 12, n)] + 0.05 * r.normal(size=(n, 24))
+    v[: n // 3] = centres[0]
+    return v
+
+
+@pytest.mark.parametrize("threshold", [-1.5, 0.3, 0.97])
+def test_search_with_pruning(spark, threshold):
+    """All matches and best ones, with blocks cut into slices and shares, equal those of all
+    pairs; vectors without a direction match nothing."""
+    items, patterns = crowded(90, 5), crowded(240, 5)
+    items[4] = patterns[7] = 0
+    rows = table(spark, items, "id").unionByName(
+        spark.createDataFrame([(90, None)], "id int, vector array<float>"))
+    many = table(spark, patterns, "ord").unionByName(
+        spark.createDataFrame([(240, None)], "ord int, vector array<float>"))
+    f32 = [v.astype(np.float32).astype(float) for v in (items, patterns)]
+    sims = unit_rows(f32[0]) @ unit_rows(f32[1]).T
+    bounds = dict(blocks=16, patterns_a_task=20, items_a_task=15)
+    found = similar_among_many(rows, many, ["id"], threshold=threshold, **bounds).collect()
+    with np.errstate(invalid="ignore"):
+        assert {(r.id, r.ord) for r in found} == set(zip(*np.nonzero(sims > threshold)))
+    assert all(abs(r.similarity - sims[r.id, r.ord]) < 1e-9 for r in found)
+    best = similar_among_many(rows, many, ["id"], threshold=threshold, best_only=True,
+                              **bounds).collect()
+    want = {i: int(np.flatnonzero(row >= np.nanmax(row) - 1e-12)[0])
+            for i, row in enumerate(sims) if i != 4 and np.nanmax(row) > max(threshold, 0)}
+    assert {r.id: r.ord for r in best} == want and len(best) == len(want)
+
+
+def test_pruning_leaves_pairs_out(spark):
+    """Items visit few blocks, and a crowded block meets no task as a whole."""
+    items, patterns = table(spark, crowded(200, 5), "id"), table(spark, crowded(3000, 5), "ord")
+    placed, pivots = indexed(patterns, 64)
+    assert pivots.count.sum() == 3000 and pivots.count.max() >= 1000
+    visits = items.select(visited_blocks("vector", pivots, 0.9, None).alias("b")).collect()
+    compared = sum(int(pivots.count[r.b].sum()) for r in visits)
+    # A third of the patterns and of the items are one vector, so a ninth of all pairs match.
+    assert 200 * 3000 / 9 < compared < 200 * 3000 / 4
+    nearest = items.select(visited_blocks("vector", pivots, 0.0, None, True).alias("b")).collect()
+    assert all(len(r.b) == 1 for r in nearest)
+
+
+def test_search_in_empty_tables(spark):
+    none = table(spark, vectors(3, 2), "id").limit(0)
+    some = table(spark, vectors(3, 5), "ord")
+    for best in (False, True):
+        assert similar_among_many(none, some, ["id"], best_only=best).count() == 0
+        assert similar_among_many(some.withColumnRenamed("ord", "id"),
+                                  some.limit(0), ["id"], best_only=best).count() == 0
+
+
 def test_columns(spark):
     v = vectors(4, 30)
     rows = spark.createDataFrame(
