@@ -350,6 +350,13 @@ LEFT JOIN per_file p ON p.file = CASE WHEN kind <= 1 THEN 'r' || request_id
 LEFT JOIN folders d ON kind = 4 AND d.folder = r.folder"""
 
 
+TREE = f"""SELECT CASE WHEN doc_id % 3 = 0 THEN 'wide/mod_' || doc_id || '.py'
+            ELSE 'deep/' || repeat('d/', (doc_id // 3) % 12)
+                 || CASE WHEN doc_id % 30 = 1 THEN 'node_modules/' ELSE '' END || 'mod_' || doc_id
+                 || CASE WHEN doc_id % 3 = 1 THEN '.js' ELSE '.txt' END END AS path, content
+FROM ({corpus_sql()}) c"""
+
+
 def oracles() -> dict[str, str]:
     all_raw = raw()
     src = source_corpus()
@@ -400,6 +407,15 @@ SELECT file, ord, k, pattern, finding_type, severity, evidence, line, confidence
         "custom_rule_scan": f"""WITH {raw(tuple(r for r in EDITED_CATALOGUE
                                                 if r.lane == cat.RULE))}
 SELECT file, k, pattern AS rule_id, finding_type, evidence, line FROM raw""",
+        "directory_scan": report(
+            f"SELECT * FROM ({TREE}) t WHERE path NOT LIKE '%node_modules%' AND path NOT LIKE "
+            f"'%.txt' AND strlen(content) <= {MAX_FILE_SIZE}"),
+        "directory_entries": f"""SELECT status, count(*) AS entries FROM (
+  SELECT CASE WHEN path LIKE '%node_modules/%' THEN 'excluded' WHEN path LIKE '%.txt'
+              THEN 'extension' WHEN strlen(content) > {MAX_FILE_SIZE} THEN 'size' ELSE 'file' END
+         AS status, CASE WHEN path LIKE '%node_modules/%' THEN
+         regexp_replace(path, '/mod_.*', '') ELSE path END AS entry FROM ({TREE}) t
+  GROUP BY ALL) e GROUP BY status""",
         "fallback_rule_scan": report(catalogue=PLAIN_CATALOGUE),
         "fallback_matches": f"""WITH {raw(PLAIN_CATALOGUE)}
 SELECT file, ord, k, lane, pattern, evidence, line, needs_escalation FROM raw""",

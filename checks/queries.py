@@ -26,8 +26,9 @@ from flawsieve.operators.training import known_patterns, learning_cycle, trainin
 from flawsieve.plans.detect import detect
 from flawsieve.plans.requests import answer_requests
 from flawsieve.plans.scan import escalations, scan, scan_lines
-from flawsieve.sources.files import changed_files, decoded_files, source_files
-from flawsieve.sources.staging import staged
+from flawsieve.sources.files import (changed_files, decoded_files, list_directory, read_listed,
+                                     skipped, source_files)
+from flawsieve.sources.staging import staged, staging_folder
 
 from .corpus import corpus, path_of, table
 
@@ -106,6 +107,44 @@ def path_filter(spark, sf_dir):
         "path", "extension", F.octet_length("content").alias("bytes"))
 
 
+def _tree(spark, sf_dir) -> str:
+    """The corpus written as a tree of files with a wide and a deep branch; its root."""
+    root = staging_folder(spark)
+    key = F.col("doc_id")
+    path = F.when(key % 3 == 0, F.concat(F.lit("wide/mod_"), key, F.lit(".py"))).otherwise(
+        F.concat(F.lit("deep/"), F.repeat(F.lit("d/"), ((key / 3).cast("int") % 12)),
+                 F.when(key % 30 == 1, "node_modules/").otherwise(""), F.lit("mod_"), key,
+                 F.when(key % 3 == 1, ".js").otherwise(".txt")))
+    files = corpus(spark, sf_dir).select(path.alias("path"), "content")
+
+    def write(batches):
+        import pandas as pd
+        from pyarrow import fs
+
+        system, base = fs.FileSystem.from_uri(root) if ":/" in root \
+            else (fs.LocalFileSystem(), root)
+        for batch in batches:
+            for path, content in zip(batch["path"], batch["content"]):
+                full = f"{base}/{path}"
+                system.create_dir(full.rsplit("/", 1)[0], recursive=True)
+                with system.open_output_stream(full) as f:
+                    f.write(content.encode())
+            yield pd.DataFrame({"files": [len(batch)]})
+
+    files.mapInPandas(write, "files long").agg(F.sum("files")).collect()
+    return root
+
+
+def directory_scan(spark, sf_dir):
+    root = _tree(spark, sf_dir)
+    files = read_listed(list_directory(spark, root, budget=100), root)
+    return _sources(scan(files)).select(*REPORT_COLUMNS)
+
+
+def directory_entries(spark, sf_dir):
+    return skipped(list_directory(spark, _tree(spark, sf_dir), budget=50))
+
+
 def lenient_decode(spark, sf_dir):
     raw = table(spark, sf_dir, "documents").select("doc_id", F.concat(
         F.lit("a\r\nb\rc").cast("binary"), F.unhex(F.lit("ff")),
@@ -454,7 +493,7 @@ def request_batch(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (
     rule_scan, heuristic_scan, custom_rule_scan, fallback_rule_scan, fallback_matches,
     web_page_scan, document_scan, path_filter,
-    lenient_decode, eligible_lines, heuristic_dedup, detector_merge, table_merge, risk_scores,
+    directory_scan, directory_entries, lenient_decode, eligible_lines, heuristic_dedup, detector_merge, table_merge, risk_scores,
     score_rows, escalation, escalation_lookup, merged_findings, scan_report, filtered_report,
     code_report, report_summary, gate, top_findings, json_report, context_validate,
     classified_findings, safe_alternatives, keyword_lines, cosine_threshold, cosine_best,

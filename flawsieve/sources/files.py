@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import lenient_utf8
+from .staging import staged
+from .walk import FILE, contents, listing
 
 # Names that exclude a path, extensions that are read, size limit in bytes.
 IGNORED_NAMES = (
@@ -33,8 +33,6 @@ MAX_FILE_SIZE = 1_000_000
 # Files differ in size, so work is cut finer than there are cores.
 PIECES_PER_CORE = 4
 
-FILE_SCHEMA = "path string, absolute_path string, content string, extension string"
-
 
 def extension(path: Column) -> Column:
     """The last suffix of the file name; names that only start with a dot have none."""
@@ -78,60 +76,45 @@ def inline_file(spark: SparkSession, code: str, filename: str = "code.py") -> Da
     return spark.createDataFrame([(filename, code)], "path string, content string")
 
 
-def read_directory(spark: SparkSession, root: str, *, ignored=IGNORED_NAMES,
+def list_directory(spark: SparkSession, root: str, *, ignored=IGNORED_NAMES,
                    extensions=EXTENSIONS, max_size: int = MAX_FILE_SIZE,
-                   partitions: int | None = None) -> DataFrame:
-    """All source files under a directory that the executors can reach.
-
-    The driver lists the top level only; the tasks walk the trees below it, then the paths
-    are spread evenly and read.  Names are filtered before anything is read.  (Spark's own
-    file listing leaves out names that start with ``_`` or ``.``.)
-    """
-    if not os.path.exists(root):
-        raise ValueError(f"no such directory: {root}")
-    top = [(e,) for e in sorted(os.listdir(root))]
+                   partitions: int | None = None, budget: int | None = None) -> DataFrame:
+    """``(path, size, status)`` of the entries under a directory: ``file`` for those that a scan
+    reads; ``excluded``, ``extension``, ``size`` and ``unreadable`` for the others."""
     n = partitions or PIECES_PER_CORE * spark.sparkContext.defaultParallelism
+    path, status = F.col("path"), F.col("status")
+    return staged(listing(spark, root, ignored, n, budget).withColumn(
+        "status", F.when(status != FILE, status).when(
+            ~extension(path).isin(*extensions), "extension").when(
+            F.col("size") > max_size, "size").otherwise(FILE)))
 
-    def walk(batches):
-        import pandas as pd
 
-        def found(entry):
-            start = os.path.join(root, entry)
-            if os.path.isfile(start):
-                yield entry, start
-            for folder, _, names in os.walk(start):
-                for name in names:
-                    full = os.path.join(folder, name)
-                    if os.path.isfile(full):
-                        yield os.path.relpath(full, root), full
-
-        def sized(rows):
-            for path, full in rows:
-                try:
-                    yield path, full, os.path.getsize(full)
-                except OSError:
-                    continue
+def skipped(listed: DataFrame) -> DataFrame:
+    """``(status, entries)``: how many entries of a listing are read, and how many are not."""
+    return listed.groupBy("status").agg(F.count("*").alias("entries"))
 
-        for batch in batches:
-            for entry in batch["entry"]:
-                chunk = []
-                for row in sized(found(entry)):
-                    chunk.append(row)
-                    if len(chunk) == 10_000:
-                        yield pd.DataFrame(chunk, columns=["path", "absolute_path", "size"])
-                        chunk = []
-                if chunk:
-                    yield pd.DataFrame(chunk, columns=["path", "absolute_path", "size"])
-
-    if not top:
-        return spark.createDataFrame([], FILE_SCHEMA)
-    entries = spark.createDataFrame(top, "entry string").repartition(min(n, len(top)))
-    listed = entries.mapInPandas(walk, "path string, absolute_path string, size long")
-    wanted = listed.where(is_source_file(
-        F.col("path"), F.col("size"), ignored=ignored, extensions=extensions,
-        max_size=max_size)).select("path", "absolute_path")
-    return _read(wanted.repartition(n)).withColumn("extension", extension(F.col("path"))) \
-        .select("path", "absolute_path", "content", "extension")
+
+def read_listed(listed: DataFrame, root: str, partitions: int | None = None) -> DataFrame:
+    """``(path, absolute_path, content, extension, error)`` of a listing's files, spread evenly.
+    A file that could not be read has an ``error`` and no content."""
+    n = partitions or PIECES_PER_CORE * listed.sparkSession.sparkContext.defaultParallelism
+    path = F.col("path")
+    loaded = contents(listed.where(F.col("status") == FILE).repartition(n), root)
+    return decoded_files(loaded).select(
+        "path", F.concat(F.lit(root.rstrip("/") + "/"), path).alias("absolute_path"), "content",
+        extension(path).alias("extension"), "error")
+
+
+def read_directory(spark: SparkSession, root: str, *, ignored=IGNORED_NAMES,
+                   extensions=EXTENSIONS, max_size: int = MAX_FILE_SIZE,
+                   partitions: int | None = None) -> DataFrame:
+    """All source files under a directory that the executors can reach, by a path or a URI.  Names
+    are filtered before anything is read; ``list_directory`` says what is left out.  (Spark's own
+    file listing leaves out names that start with ``_`` or ``.``.)
+    """
+    listed = list_directory(spark, root, ignored=ignored, extensions=extensions,
+                            max_size=max_size, partitions=partitions)
+    return read_listed(listed, root, partitions).where("error is null").drop("error")
 
 
 def read_file(spark: SparkSession, path: str) -> DataFrame:

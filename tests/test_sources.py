@@ -14,7 +14,8 @@ from flawsieve.operators.training import (findings_history, known_patterns, know
 from flawsieve.plans.requests import answer_requests
 from flawsieve.plans.scan import scan
 from flawsieve.sources.files import (changed_files, decoded_files, extension, inline_file,
-                                     read_directory, read_file, source_files)
+                                     list_directory, read_directory, read_file, read_listed,
+                                     skipped, source_files)
 from flawsieve.sources.rules import read_rules
 from flawsieve.sources.staging import staged
 from pyspark.sql import functions as F
@@ -59,6 +60,41 @@ def test_directory(spark, tmp_path):
     assert read_file(spark, os.path.join(root, "missing")).count() == 0
 
 
+@pytest.mark.parametrize("budget", [1, 3, 10_000])
+def test_walk(spark, tmp_path, budget):
+    """Every entry is listed once and accounted for, however often a task hands folders back."""
+    root = str(tmp_path / "tree")
+    deep = "/".join(f"d{i}" for i in range(9))
+    for i in range(7):
+        write(root, f"wide/f{i}.py", b"eval(x)")
+        write(root, f"{'/'.join(deep.split('/')[:i + 1])}/g{i}.py", b"a")
+    write(root, f"{deep}/node_modules/lib/x.py", b"no")
+    write(root, f"{deep}/notes.txt", b"no")
+    write(root, f"{deep}/large.py", b"a" * 30)
+    os.symlink(root, f"{root}/wide/loop")
+    os.symlink(f"{root}/nowhere", f"{root}/wide/gone.py")
+    os.symlink(f"{root}/wide/f1.py", f"{root}/linked.py")
+    listed = list_directory(spark, root, max_size=20, budget=budget)
+    rows = [(r.path, r.status) for r in listed.collect()]
+    assert len(rows) == len(set(rows))
+    other = {p: s for p, s in rows if s != "file"}
+    assert other == {f"{deep}/node_modules": "excluded", f"{deep}/notes.txt": "extension",
+                     f"{deep}/large.py": "size", "wide/loop": "excluded",
+                     "wide/gone.py": "unreadable"}
+    assert {p for p, s in rows if s == "file"} == {
+        *(f"wide/f{i}.py" for i in range(7)), "linked.py",
+        *(f"{'/'.join(deep.split('/')[:i + 1])}/g{i}.py" for i in range(7))}
+    assert {r.status: r.entries for r in skipped(listed).collect()} == {
+        "file": 15, "excluded": 2, "extension": 1, "size": 1, "unreadable": 1}
+    by_uri = read_listed(list_directory(spark, f"file://{root}", max_size=20), f"file://{root}")
+    assert {r.path for r in by_uri.collect()} == {p for p, s in rows if s == "file"}
+    os.remove(f"{root}/wide/f3.py")  # since it was listed
+    read = {r.path: r for r in read_listed(listed, root).collect()}
+    assert read["wide/f3.py"].error and read["wide/f3.py"].content is None
+    assert read["linked.py"].content == "eval(x)" and read["linked.py"].error is None
+    assert scan(read_directory(spark, root)).count() == 7
+
+
 def test_decode(spark):
     data = [b"", b"\xff\xfe", b"a\xf0\x9f\x98\x80b\xf0\x9f", b"\xed\xa0\x80x", b"\r\r\n\n",
             "�".encode() + b"\x80" + "".encode(), b"\xc0\xafz"]
