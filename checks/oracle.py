@@ -452,8 +452,8 @@ SELECT {REPORT} FROM merged m JOIN last_score s ON m.file = s.file AND m.line =
         "risk_scores": f"""WITH {all_raw}, {kept()}
 SELECT file, line, line_score, scored_type FROM scored""",
         "score_rows": f"""WITH {all_raw},
-scores AS (SELECT *, {score_sql('finding_type', "lower(evidence || ' ' || pattern)")} AS score
-           FROM raw)
+scores AS (SELECT *, {score_sql('finding_type', "lower(evidence || ' ' || content)")} AS score
+           FROM raw JOIN files ON path = file)
 SELECT file, ord, k, finding_type,
        CASE WHEN score >= 0.8 THEN 'Critical' WHEN score >= 0.65 THEN 'High'
             WHEN score >= 0.5 THEN 'Medium' ELSE severity END AS severity,
@@ -551,8 +551,7 @@ FROM embeddings, range(1, 65) r(i) WHERE embedding[1] > 0 GROUP BY label, i""",
         "prompt_window": f"{windows}\nSELECT file, line, k, win AS \"window\" FROM windowed",
         "prompt_window_join": f"""WITH {all_raw}, {kept()}, {escalated()}
 SELECT e.file, e.line, e.ek AS k,
-       md5({window_sql("CASE WHEN starts_with(e.file, 'web/') THEN '' ELSE f.content END",
-                       'e.line')}) AS digest
+       md5({window_sql('f.content', 'e.line')}) AS digest
 FROM escalated e JOIN files f ON f.path = e.file""",
         "prompt_render": f"""{windows}
 SELECT file, line, k, {KEY} AS key, md5({document_sql('win')}) AS digest FROM windowed""",

@@ -20,12 +20,13 @@ from flawsieve.operators.linewise import (detector_eligible, file_lines, keyword
 from flawsieve.operators.matching import scan_matches
 from flawsieve.operators.nearest import similar_among_many
 from flawsieve.operators.prompts import collapse_prompts, render_prompts, with_window
-from flawsieve.operators.scoring import score_findings
+from flawsieve.operators.scoring import score_findings, scored_terms
 from flawsieve.operators.similarity import hashed_ngrams, similar_patterns
 from flawsieve.operators.training import known_patterns, learning_cycle, training_rows
 from flawsieve.plans.detect import detect
 from flawsieve.plans.requests import answer_requests
 from flawsieve.plans.scan import escalations, scan, scan_lines
+from flawsieve.plans.scan import merged_findings as findings_of
 from flawsieve.sources.files import (changed_files, decoded_files, list_directory, read_listed,
                                      skipped, source_files)
 from flawsieve.sources.staging import staged, staging_folder
@@ -199,11 +200,11 @@ def risk_scores(spark, sf_dir):
 
 
 def score_rows(spark, sf_dir):
-    """The stand-alone scorer on texts that need not contain the evidence."""
-    raw = scan_matches(corpus(spark, sf_dir))
-    findings = raw.select("file", "ord", "k", "finding_type", "severity", "evidence", "line",
-                          F.col("pattern").alias("content"))
-    return score_findings(findings, fallback_model=True)
+    """The stand-alone scorer on each match and its file's text."""
+    files = corpus(spark, sf_dir).withColumn("terms", scored_terms(F.col("content")))
+    findings = scan_matches(files, keep=("terms",)).select(
+        "file", "ord", "k", "finding_type", "severity", "evidence", "line", "terms")
+    return score_findings(findings, "terms", fallback_model=True)
 
 
 def escalation(spark, sf_dir):
@@ -375,10 +376,10 @@ def prompt_window(spark, sf_dir):
 
 
 def prompt_window_join(spark, sf_dir):
-    """The same window for findings of another table, the web folder's files missing."""
+    """The same window for findings that come as a table."""
     files = corpus(spark, sf_dir)
-    found = escalations(scan_lines(files)).select("file", "line", "k")
-    return with_window(found, files.where(~F.startswith("path", F.lit("web/")))).select(
+    found = staged(escalations(scan_lines(files)).select("file", "line", "k"))
+    return with_window(found, files).select(
         "file", "line", "k", F.md5("window").alias("digest"))
 
 
@@ -421,12 +422,11 @@ def analysis_routing(spark, sf_dir):
 
 
 def analysed_report(spark, sf_dir):
-    files = _source_corpus(spark, sf_dir)
-    lines = scan_lines(files)
+    lines = staged(scan_lines(_source_corpus(spark, sf_dir)))
     routed = route_analysis(
         escalations(lines).select("file", "line", "k", "finding_type"),
         _answers(spark, sf_dir), ["file"])
-    findings = scan(files).select("file", "line", "seq", "finding_type", "severity")
+    findings = findings_of(lines).select("file", "line", "seq", "finding_type", "severity")
     return attach_analyses(findings, routed, order="k")
 
 
@@ -439,7 +439,7 @@ def training_set(spark, sf_dir):
 
 def known_pattern_summary(spark, sf_dir):
     findings = scan(corpus(spark, sf_dir), keep=("content",))
-    return known_patterns(training_rows(findings), ["file", "line", "seq"])
+    return known_patterns(staged(training_rows(findings).drop("code")), ["file", "line", "seq"])
 
 
 def findings_history(spark, sf_dir):
@@ -449,7 +449,9 @@ def findings_history(spark, sf_dir):
 
 
 def learning_rounds(spark, sf_dir):
-    findings = scan(corpus(spark, sf_dir), keep=("content",))
+    findings = staged(scan(corpus(spark, sf_dir), keep=("content",)).select(
+        "file", "line", "seq", "finding_type", "severity", "evidence",
+        F.md5("content").alias("content")))
     history, examples = learning_cycle(findings, 3)
     learned = examples.groupBy("iteration").agg(F.count("*").alias("examples"),
                                                 F.sum("label").alias("label_sum"))

@@ -180,8 +180,9 @@ def group_by_line(hits: Column) -> Column:
 
 
 def scan_matches(files: DataFrame, catalogue: tuple[Rule, ...] = DEFAULT_CATALOGUE,
-                 path: str = "path", content: str = "content") -> DataFrame:
-    """Raw findings: one row per match.
+                 path: str = "path", content: str = "content",
+                 keep: tuple[str, ...] = ()) -> DataFrame:
+    """Raw findings: one row per match, with the ``keep`` columns of its file behind.
 
     ``k`` numbers the matches of one rule in one file.  The evidence of a deterministic rule
     is the matched text; that of a heuristic is the stripped line the match starts on.
@@ -190,8 +191,10 @@ def scan_matches(files: DataFrame, catalogue: tuple[Rule, ...] = DEFAULT_CATALOG
     found = "array<struct<line:int,text:string>>"
     hits = files.where(F.col(content).isNotNull()).select(
         F.col(path).alias("file"), F.col(content).alias("content"),
+        *[F.col(c).alias(f"_{c}") for c in keep],
         let(folded(F.col(content)), lambda t: words_in(t, needles_of(catalogue))).alias("needles"))
     matching = matching_rules(F.col("content"), F.col("needles"), catalogue)
+    kept = [f"_{c}" for c in keep]
     if python:
         hits = hits.withColumn("places", python_matches(F.col("content"), F.col("needles"), python))
         matching = F.concat(
@@ -203,10 +206,10 @@ def scan_matches(files: DataFrame, catalogue: tuple[Rule, ...] = DEFAULT_CATALOG
                     F.get(rule_array(catalogue), o - 1).alias("rule"),
                     F.transform(F.filter("places", lambda p: p.ord == o), lambda p: F.struct(
                         p.line.alias("line"), p.text.alias("text"))).alias("found"))))
-        hits = hits.select("file", "content", F.explode(matching).alias("m")).select(
-            "file", "content", "m.rule", "m.found")
+        hits = hits.select("file", "content", *kept, F.explode(matching).alias("m")).select(
+            "file", "content", *kept, "m.rule", "m.found")
     else:
-        hits = hits.select("file", "content", F.explode(matching).alias("rule"))
+        hits = hits.select("file", "content", *kept, F.explode(matching).alias("rule"))
     rule, text = F.col("rule"), F.col("content")
 
     def matches(lines):
@@ -223,10 +226,11 @@ def scan_matches(files: DataFrame, catalogue: tuple[Rule, ...] = DEFAULT_CATALOG
                 .otherwise(line_evidence(F.get(lines, m.line - 1))).alias("evidence")))
 
     return (
-        hits.select("file", "rule", F.explode(let(lines_of(text), finding)).alias("m"))
+        hits.select("file", "rule", *kept, F.explode(let(lines_of(text), finding)).alias("m"))
         .select(
             "file", "rule.lane", "rule.ord", "m.k", F.col("rule.name").alias("pattern"),
             "rule.finding_type", "rule.severity", "m.evidence", "m.line",
             F.when(rule.lane == HEURISTIC, F.lit(REGEX_CONFIDENCE)).alias("confidence"),
-            (rule.needs_escalation & (rule.lane == RULE)).alias("needs_escalation"))
+            (rule.needs_escalation & (rule.lane == RULE)).alias("needs_escalation"),
+            *[F.col(f"_{c}").alias(c) for c in keep])
     )

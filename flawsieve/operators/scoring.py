@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scoring import (risk_score, score_confidence, score_terms_in,
@@ -14,6 +14,12 @@ DEFAULTS = {"finding_type": "Unknown", "evidence": "", "severity": "Medium"}
 EVIDENCE_LENGTH = 100
 
 
+def scored_terms(content: Column) -> Column:
+    """What a score takes from a text, as a short text: findings carry it instead of the whole
+    text of their file, however many there are."""
+    return F.array_join(let(F.lower(content), score_terms_in), " ")
+
+
 def score_findings(findings: DataFrame, content: str = "content",
                    fallback_model: bool = False) -> DataFrame:
     """One score row per finding, from its type, its evidence and the text it was found in.
