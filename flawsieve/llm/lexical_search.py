@@ -43,15 +43,28 @@ TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _PLAIN = bytes(b if b >= 0x80 or chr(b).isalnum() else 0x20 for b in range(256)).lower()
 # Cells of a shard; pairs of item and term in a block; states that descend at once.
-CELLS, BLOCK_TERMS, AT_ONCE = 3_000_000, 200_000, 128
+CELLS, BLOCK_TERMS, AT_ONCE = 400_000, 200_000, 128
 MOST = 50
 _ONES = np.array([bin(i).count("1") for i in range(16)], np.int8)
+# For a mask and a quadrant: how many of the cell's children come before it, -1 if it is empty.
+_BEFORE = np.array([[bin(m & ((1 << q) - 1)).count("1") if m >> q & 1 else -1 for q in range(4)]
+                    for m in range(16)], np.int32).ravel()
 
 
 def terms_of(text: bytes) -> list[bytes]:
     return text.translate(_PLAIN).split()
 
 
+def packed(data: np.ndarray) -> bytes:
+    """Compressed, behind the size: most drops are small or none."""
+    raw = data.tobytes()
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def unpacked(data: bytes) -> bytes:
+    return pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
+
+
 def _spread(x: np.ndarray) -> np.ndarray:
     """Bits of 32-bit numbers at the even places of 64."""
     x = x.astype(np.uint64)
@@ -66,8 +79,14 @@ class Treap:
     first child, ``top`` the largest impact in each cell."""
 
     def __init__(self, height: int, masks: np.ndarray, top: np.ndarray):
-        self.height, self.masks, self.top = height, masks, top
-        self.first = (1 + np.cumsum(_ONES[masks], dtype=np.int64) - _ONES[masks]).astype(np.int32)
+        # One more cell, without children or impact, stands for all empty ones.
+        self.height, self.empty = height, len(top)
+        self.top = np.append(top, np.int32(0))
+        ones = np.cumsum(_ONES[masks], dtype=np.int32)
+        self.first = np.zeros(len(top) + 1, np.int32)
+        self.first[:len(masks)] = 1 + ones - _ONES[masks]
+        self.masks = np.zeros(len(top) + 1, np.uint8)
+        self.masks[:len(masks)] = masks
 
     @staticmethod
     def packed(rows: np.ndarray, columns: np.ndarray, impacts: np.ndarray) -> dict:
@@ -86,13 +105,13 @@ class Treap:
             drops.append(best[np.cumsum(starts) - 1] - top)
             code, top = above[at], best
         return {"height": height, "root": int(top[0]),
-                "masks": np.concatenate(masks[::-1]).tobytes(),
-                "drops": np.concatenate(drops[::-1]).astype("<i4").tobytes()}
+                "masks": packed(np.concatenate(masks[::-1])),
+                "drops": packed(np.concatenate(drops[::-1]).astype("<i4"))}
 
     @classmethod
     def of(cls, row: dict) -> Treap:
-        masks = np.frombuffer(row["masks"], np.uint8)
-        drops = np.frombuffer(row["drops"], "<i4")
+        masks = np.frombuffer(unpacked(row["masks"]), np.uint8)
+        drops = np.frombuffer(unpacked(row["drops"]), "<i4")
         top, level, begin, at = [np.array([row["root"]], np.int32)], 1, 0, 0
         for _ in range(row["height"]):
             ones = _ONES[masks[begin:begin + level]]
@@ -103,32 +122,35 @@ class Treap:
 
     def search(self, rows: np.ndarray, weights: np.ndarray, found: Best) -> None:
         """Offers documents by their number, until no other can be among the best."""
-        bits = (rows[None, :] >> np.arange(self.height - 1, -1, -1)[:, None]) & 1
+        right = 2 * ((rows[None, :] >> np.arange(self.height - 1, -1, -1)[:, None]) & 1)
+        right = right.astype(np.uint8)
         level, at = np.zeros(1, np.int64), np.zeros(1, np.int64)
         cells = np.zeros((1, len(rows)), np.int32)
-        bound = np.array([int(self.top[0]) * int(weights.sum())])
+        weights = weights.astype(np.float64)  # sums are whole numbers far below 2 ** 53
+        bound = np.array([self.top[0] * weights.sum()])
         while len(bound):
             best = np.arange(len(bound)) if len(bound) <= AT_ONCE else np.argpartition(
                 bound, -AT_ONCE)[-AT_ONCE:]
             rest = np.ones(len(bound), bool)
             rest[best] = False
-            here, inner = cells[best], cells[best] >= 0
-            mask = np.where(inner, self.masks[here], 0)
-            first = self.first[here]
+            here, of = cells[best], level[best]
+            first, quadrant = self.first[here], self.masks[here] * 4 + right[of]
             parts = []
             for half in (0, 1):
-                quadrant = 2 * bits[level[best]] + half
-                there = (mask >> quadrant) & 1
-                child = np.where(there, first + _ONES[mask & ((1 << quadrant) - 1)], -1)
-                parts.append((level[best] + 1, 2 * at[best] + half, child,
-                              np.where(there, self.top[child], 0).astype(np.int64) @ weights))
+                before = _BEFORE[quadrant + half]
+                child = first + before
+                child[before < 0] = self.empty
+                parts.append((of + 1, 2 * at[best] + half, child,
+                              self.top[child].astype(np.float64) @ weights))
             new = [np.concatenate(x) for x in zip(*parts)]
-            done = new[0] == self.height
-            found.offer(new[1][done], new[3][done])
-            new = [np.concatenate([old[rest], x[~done]])
-                   for old, x in zip((level, at, cells, bound), new)]
-            open_ = new[3] >= found.least
-            level, at, cells, bound = (x[open_] for x in new)
+            good = new[3] >= found.least
+            done = good & (new[0] == self.height)
+            if done.any():
+                found.offer(new[1][done], new[3][done])
+                good &= ~done
+            rest &= bound >= found.least
+            level, at, cells, bound = (np.concatenate([old[rest], x[good]]) for old, x in zip(
+                (level, at, cells, bound), new))
 
 
 class Best:
@@ -189,7 +211,7 @@ def index(docs: DataFrame, n: int, terms: int) -> DataFrame:
             place = np.empty(len(order), np.int64)
             place[np.asarray(order)] = np.arange(len(order))
             columns = np.repeat(place, [len(c) for c in cells])
-            row_of, tf = np.concatenate(cells), np.concatenate(times)
+            row_of, tf = np.concatenate(cells), np.concatenate(times).astype(np.int64)
             m = 50 + 50 * np.concatenate(numbers) * n // max(terms, 1)
             m = np.repeat(m, [len(c) for c in cells])
             grid = Treap.packed(row_of, columns, 1_000_000_000 * tf // (1000 * tf + 20 * m))
@@ -204,12 +226,12 @@ def index(docs: DataFrame, n: int, terms: int) -> DataFrame:
                 found = terms_of(text.as_py())
                 if not found:
                     continue
-                which, count = np.unique(np.array([known[t] for t in found], np.int64),
+                which, count = np.unique(np.array([*map(known.__getitem__, found)], np.int32),
                                          return_counts=True)
                 held.append(i)
                 lengths.append(len(found))
                 cells.append(which)
-                times.append(count)
+                times.append(count.astype(np.int32))
                 size += len(which)
                 if size >= CELLS:
                     names.append(batch.column("doc_id").take(pa.array(held)))
