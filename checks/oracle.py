@@ -472,6 +472,8 @@ SELECT r.file, r.line, r.seq, r.pattern, r.needs_escalation,
 FROM raw r LEFT JOIN last_score s ON s.file = r.file AND s.line = r.line""",
         "merged_findings": report(),
         "scan_report": scan_report,
+        "ordered_report": report(src, f", row_number() OVER (ORDER BY m.file, "
+                                      f"{rank('m.severity')} DESC, m.line DESC, m.seq) AS rank"),
         "filtered_report": (
             f"WITH {raw(files=src)}, {real}, {kept('real')}, {escalated()}, {LAST_ESCALATED}, "
             f"all_kept AS (SELECT * FROM raw), {merged()}, "
@@ -580,6 +582,10 @@ FROM merged m LEFT JOIN last_answer a ON a.file = m.file AND a.line = m.line""",
 SELECT m.file, m.line, m.seq, m.finding_type, m.severity, m.evidence,
        md5(f.content) AS code_digest, 1 AS label
 FROM merged m JOIN files f ON f.path = m.file""",
+        "training_roundtrip": f"""WITH {all_raw}, {kept()}, {merged()}
+SELECT f.lang AS scan_id, m.finding_type, m.severity, m.evidence,
+       f.lang || ':' || md5(f.content) AS code, count(*) AS copies, count(*) AS labels
+FROM merged m JOIN files f ON f.path = m.file WHERE f.lang IN ('en', 'fr') GROUP BY ALL""",
         "known_pattern_summary": f"""WITH {all_raw}, {kept()}, {merged()}
 SELECT string_agg('- ' || finding_type || ': ' || substring(evidence, 1, 50) || chr(10), ''
                   ORDER BY file, line, seq) AS known_patterns,

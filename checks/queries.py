@@ -12,6 +12,7 @@ from flawsieve.functions.scoring import (PIPELINE_CONFIDENCE, severity_level,
                                          should_escalate)
 from flawsieve.functions.vectors import array_cosine, mean_vectors
 from flawsieve.operators import findings as tables
+from flawsieve.operators import embedding_store as store
 from flawsieve.operators import report, training
 from flawsieve.operators.analysis import attach_analyses, route_analysis, standard_analysis
 from flawsieve.operators.classify import classify_findings, with_alternatives
@@ -234,6 +235,12 @@ def scan_report(spark, sf_dir):
         *REPORT_COLUMNS, "explanation", "fix_suggestion")
 
 
+def ordered_report(spark, sf_dir):
+    """The whole report in one order."""
+    return report.ranked_report(_sources(scan(_source_corpus(spark, sf_dir))).select(
+        *REPORT_COLUMNS))
+
+
 def filtered_report(spark, sf_dir):
     findings = scan(_source_corpus(spark, sf_dir), strict=True, analyse=True)
     return _sources(findings).select(*REPORT_COLUMNS, "explanation")
@@ -367,6 +374,16 @@ def semantic_report(spark, sf_dir):
     return _sources(findings).select(*REPORT_COLUMNS)
 
 
+def embedding_store(spark, sf_dir):
+    """The similarity lane by stored vectors: half of the files fill the store, then all are
+    scanned, and what was still missing is added before."""
+    path, files = staging_folder(spark), corpus(spark, sf_dir)
+    store.add_vectors(store.eligible_texts(files.where("doc_id % 2 = 0")), path,
+                        hashed_ngrams(), "half")
+    store.add_vectors(store.eligible_texts(files), path, hashed_ngrams(), "all")
+    return _sources(scan(files, embed=hashed_ngrams(), store=path)).select(*REPORT_COLUMNS)
+
+
 def _escalated_windows(spark, sf_dir):
     return escalations(scan_lines(_source_corpus(spark, sf_dir), window=True))
 
@@ -437,6 +454,19 @@ def training_set(spark, sf_dir):
         F.md5("code").alias("code_digest"), "label")
 
 
+def training_roundtrip(spark, sf_dir):
+    """The examples of two scans, put into a set, one of them twice, and read again."""
+    path = staging_folder(spark)
+    rows = staged(training_rows(scan(corpus(spark, sf_dir), keep=("content", "lang"))
+                                .filter("lang in ('en', 'fr')").withColumn(
+        "content", F.concat("lang", F.lit(":"), F.md5("content")))))
+    for scan_id in ("en", "fr", "en"):
+        training.save_examples(rows.filter(F.startswith("code", F.lit(scan_id))), path, scan_id)
+    return training.load_examples(spark, path).groupBy(
+        "scan_id", "finding_type", "severity", "evidence", "code").agg(
+        F.count("*").alias("copies"), F.sum("label").alias("labels"))
+
+
 def known_pattern_summary(spark, sf_dir):
     findings = scan(corpus(spark, sf_dir), keep=("content",))
     return known_patterns(staged(training_rows(findings).drop("code")), ["file", "line", "seq"])
@@ -496,12 +526,14 @@ QUERIES = {f.__name__: f for f in (
     rule_scan, heuristic_scan, custom_rule_scan, fallback_rule_scan, fallback_matches,
     web_page_scan, document_scan, path_filter,
     directory_scan, directory_entries, lenient_decode, eligible_lines, heuristic_dedup, detector_merge, table_merge, risk_scores,
-    score_rows, escalation, escalation_lookup, merged_findings, scan_report, filtered_report,
+    score_rows, escalation, escalation_lookup, merged_findings, scan_report, ordered_report,
+    filtered_report,
     code_report, report_summary, gate, top_findings, json_report, context_validate,
     classified_findings, safe_alternatives, keyword_lines, cosine_threshold, cosine_best,
     cosine_blocks, cosine_nearest,
-    cosine_to_label, mean_pool, detector_scan, semantic_report, prompt_window,
+    cosine_to_label, mean_pool, detector_scan, semantic_report, embedding_store,
+    prompt_window,
     prompt_window_join, prompt_render, prompt_export, stub_analysis, response_parse,
-    analysis_routing, analysed_report, training_set, known_pattern_summary, findings_history,
+    analysis_routing, analysed_report, training_set, training_roundtrip, known_pattern_summary, findings_history,
     learning_rounds, changed_file_scan, request_batch,
 )}

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scoring import severity_rank
+from ..sources.staging import staged
 
 # Fixed values of the report.
 SHOWN_FINDINGS = 20
@@ -31,6 +32,25 @@ def report_order(findings: DataFrame, by_file: bool = False) -> DataFrame:
     return rows.sortWithinPartitions(*order_columns())
 
 
+def ranked_report(findings: DataFrame) -> DataFrame:
+    """The findings with their ``rank``, from 1, in the order of the whole report.
+
+    The findings, small beside the texts that were scanned, are staged once.  They are dealt to
+    ranges of the order and numbered within each; a range's numbers go on from the sum of the
+    counts of those before it, one row for each range.  So no task sees them all.
+    """
+    placed = staged(findings).repartitionByRange(*order_columns()).sortWithinPartitions(
+        *order_columns()).withColumn("_at", F.monotonically_increasing_id())
+    placed = staged(placed)
+    # The upper bits number the range, the lower ones the row in it.
+    part, row = F.shiftright("_at", 33), F.col("_at").bitwiseAND((1 << 33) - 1)
+    counts = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_start"))
+    return placed.withColumn("_part", part).join(F.broadcast(starts), "_part").select(
+        (F.col("_start") + row + 1).alias("rank"), *findings.columns)
+
+
 def severity_counts() -> list[Column]:
     return [F.count_if(F.col("severity") == s).alias(f"{s.lower()}_count") for s in COUNTED]
 

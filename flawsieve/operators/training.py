@@ -23,18 +23,29 @@ def training_rows(findings: DataFrame, code: str = "content",
                            F.col(code).alias("code"), F.lit(label).alias("label"))
 
 
-def save_examples(examples: DataFrame, path: str) -> None:
-    """Adds examples to a set.  Repetitions are kept, as examples may be weighted by them."""
+def save_examples(examples: DataFrame, path: str, scan_id: str) -> None:
+    """Puts the examples of a scan into a set.  They replace those that the set has of this scan, so
+    a retry changes nothing; a repetition within the scan is one row with its number of ``copies``,
+    known by the digest of all its columns."""
     names = [f.split()[0] for f in EXAMPLE_SCHEMA.split(", ")]
-    examples.select(*names).write.mode("append").json(path)
+    digest = F.sha2(F.to_json(F.struct(*names), {"ignoreNullFields": "false"}), 256)
+    rows = examples.groupBy(digest.alias("digest")).agg(
+        *[F.first(n).alias(n) for n in names], F.count("*").alias("copies"))
+    # Spark writes the new files aside and moves the scan's folder into place when all are there.
+    rows.withColumn("scan_id", F.lit(scan_id)).write.mode("overwrite").option(
+        "partitionOverwriteMode", "dynamic").partitionBy("scan_id").json(path)
 
 
 def load_examples(spark: SparkSession, path: str) -> DataFrame:
-    """The examples of a set; none if there is no such set."""
+    """The examples of a set, repetitions included as they may be weighted by them, and the scan
+    of each; none if there is no such set."""
+    names = [f.split()[0] for f in EXAMPLE_SCHEMA.split(", ")]
     try:
-        return spark.read.schema(EXAMPLE_SCHEMA).json(path)
+        rows = spark.read.schema(f"{EXAMPLE_SCHEMA}, copies long, scan_id string").json(path)
     except AnalysisException:
-        return spark.createDataFrame([], EXAMPLE_SCHEMA)
+        return spark.createDataFrame([], f"{EXAMPLE_SCHEMA}, scan_id string")
+    copies = F.sequence(F.lit(1).cast("long"), F.coalesce("copies", F.lit(1).cast("long")))
+    return rows.withColumn("copy", F.explode(copies)).select(*names, "scan_id")
 
 
 def known_patterns(examples: DataFrame, order: list[Column | str]) -> DataFrame:

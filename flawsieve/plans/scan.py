@@ -22,13 +22,15 @@ from ..functions.scoring import (PIPELINE_CONFIDENCE, risk_score, score_terms_in
                                  should_escalate)
 from ..functions.text import let, lines_of, strip
 from ..operators.analysis import standard_analysis
+from ..operators.embedding_store import line_digest, stored_hits
 from ..operators.fallback import as_line_hits, python_matches
 from ..operators.linewise import pattern_lane_eligible
 from ..operators.matching import (HIT_TYPE, REGEX_CONFIDENCE, fallback_rules, folded,
                                   group_by_line, has_case_extras, line_evidence, line_hits,
                                   matching_rules, needles_of, rule_array, words_in)
 from ..operators.merge import SOURCE_TYPE, dedup_heuristics, merge_line
-from ..operators.similarity import PATTERN_THRESHOLD, semantic_patterns, text_hits
+from ..operators.similarity import (HITS_TYPE, PATTERN_THRESHOLD, semantic_patterns,
+                                    text_hits)
 
 # Sorts behind every rule; marks a line that the similarity lane wants although no rule hit it.
 _NO_RULE = 2**31 - 1
@@ -120,12 +122,13 @@ def _semantic_sources(similar: Column, text: Column, line: Column) -> Column:
 def scan_lines(files: DataFrame, catalogue: tuple[Rule, ...] = DEFAULT_CATALOGUE, *,
                embed=None, threshold: float = PATTERN_THRESHOLD, path: str = "path",
                content: str = "content", keep: tuple[str, ...] = (),
-               window: bool = False) -> DataFrame:
+               window: bool = False, store: str | None = None) -> DataFrame:
     """One row per line with findings, in front of them the ``keep`` columns of its file.
 
     ``findings`` are the deduplicated findings of the line in arrival order, ``line_score``
     is the score of the last of them, and ``window`` the numbered lines around (on request).
-    Without ``embed`` the scan is regex-only.
+    Without ``embed`` the scan is regex-only.  With ``store``, a folder of vectors that
+    ``operators.embedding_store`` fills, lines are looked up there, and only patterns are embedded.
     """
     rows = _scan_rows(files, catalogue, path, content, keep, embed is not None, window)
     rules, hits = rule_array(catalogue), F.col("hits")
@@ -133,9 +136,15 @@ def scan_lines(files: DataFrame, catalogue: tuple[Rule, ...] = DEFAULT_CATALOGUE
     heuristic = _sources(rules, hits, text, line, HEURISTIC)
     if embed is not None:
         stripped = strip(text)
-        rows = rows.withColumn("similar", text_hits(
-            F.when(pattern_lane_eligible(stripped), stripped), semantic_patterns(embed),
-            embed, threshold))
+        wanted = F.when(pattern_lane_eligible(stripped), stripped)
+        if store is None:
+            rows = rows.withColumn("similar", text_hits(
+                wanted, semantic_patterns(embed), embed, threshold))
+        else:
+            hits_of = stored_hits(files.sparkSession, store, semantic_patterns(embed), threshold)
+            rows = rows.withColumn("digest", line_digest(wanted)).join(
+                hits_of, "digest", "left").withColumn(
+                "similar", F.coalesce("similar", F.array().cast(HITS_TYPE)))
         # Only here can a finding repeat another one, or lift its confidence.
         heuristic = let(F.concat(heuristic, _semantic_sources(F.col("similar"), text, line)),
                         dedup_heuristics)
@@ -196,10 +205,11 @@ def merged_findings(lines: DataFrame, *, strict: bool = False, analyse: bool = F
 def scan(files: DataFrame, catalogue: tuple[Rule, ...] = DEFAULT_CATALOGUE, *, embed=None,
          strict: bool = False, analyse: bool = False, context_filter: bool = False,
          path: str = "path", content: str = "content",
-         keep: tuple[str, ...] = ()) -> DataFrame:
+         keep: tuple[str, ...] = (), store: str | None = None) -> DataFrame:
     """Findings of a table of files.  Order it with ``operators.report.report_order``."""
     return merged_findings(
-        scan_lines(files, catalogue, embed=embed, path=path, content=content, keep=keep),
+        scan_lines(files, catalogue, embed=embed, path=path, content=content, keep=keep,
+                   store=store),
         strict=strict, analyse=analyse, context_filter=context_filter)
 
 

@@ -186,10 +186,17 @@ def test_training(spark, tmp_path):
     assert load_examples(spark, path).count() == 0
     findings = scan(files_frame(spark, ["eval(x)\nDEBUG = True"]), keep=("content",))
     rows = training_rows(findings)
-    save_examples(rows, path)
-    save_examples(rows, path)
+    save_examples(rows, path, "a")
+    save_examples(rows.unionByName(rows), path, "b")
+    save_examples(rows.unionByName(rows), path, "b")  # again, as after a lost driver
+    saved = load_examples(spark, path)
+    assert sorted(r.scan_id for r in saved.collect()) == ["a"] * 2 + ["b"] * 4
+    save_examples(rows.limit(0), path, "c")
+    save_examples(rows.limit(1), path, "b")
+    assert sorted(r.scan_id for r in load_examples(spark, path).collect()) == ["a", "a", "b"]
+    save_examples(rows.withColumn("evidence", F.lit(None).cast("string")), path, "n")
+    assert load_examples(spark, path).filter("evidence is null").count() == 2
     saved = load_examples(spark, path)
-    assert saved.count() == 4
     assert {(r.finding_type, r.code, r.label) for r in saved.collect()} == {
         ("Injection", "eval(x)\nDEBUG = True", 1),
         ("Misconfiguration", "eval(x)\nDEBUG = True", 1)}

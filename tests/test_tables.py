@@ -4,13 +4,18 @@ import random
 from collections import Counter
 
 import pytest
+from conftest import files_frame
 
 import model
+from flawsieve.operators import embedding_store as store
 from flawsieve.operators import findings as tables
+from flawsieve.operators import report
 from flawsieve.operators.analysis import attach_analyses, route_analysis
 from flawsieve.operators.classify import classify_findings, with_alternatives
 from flawsieve.operators.linewise import merge_detector
 from flawsieve.operators.scoring import score_findings
+from flawsieve.operators.similarity import hashed_ngrams
+from flawsieve.plans.scan import scan
 
 SCHEMA = ("file string, line int, lane string, pattern string, finding_type string, "
           "severity string, evidence string, confidence double, needs_escalation boolean, "
@@ -165,3 +170,46 @@ def test_routing(spark):
         "bad", "the FIX is\nthis", 0.7)
     assert (got["h"].explanation, got["h"].fix_suggestion) == ("only words", None)
     assert got["g"].confidence == 0.4 and got["g"].fix_suggestion
+
+
+def test_ranked_report(spark):
+    """One order over all ranges, numbered without gaps."""
+    texts = [(f"f{i % 23}.py", "eval(x)\nDEBUG = True\nos.system(c)\nmd5(x) eval(y)" * (i % 3))
+             for i in range(23)]
+    findings = scan(files_frame(spark, texts))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    try:
+        ranked = report.ranked_report(findings).orderBy("rank").collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    want = [tuple(r) for r in findings.orderBy(*report.order_columns()).drop("source_details")
+            .collect()]
+    assert [r["rank"] for r in ranked] == list(range(1, len(want) + 1)) and len(want) > 50
+    columns = [c for c in findings.columns if c != "source_details"]
+    assert [tuple(r[c] for c in columns) for r in ranked] == want
+    assert report.ranked_report(findings.limit(0)).count() == 0
+
+
+def test_embedding_store(spark, tmp_path):
+    """A line is embedded once; findings are those of a scan that embeds all lines."""
+    path, embed = str(tmp_path / "vectors"), hashed_ngrams()
+    # A store holds what was embedded when it was filled.
+    some = files_frame(spark, ["literal api key assigned in the code = 1\n  x = 1 + 22222\n# no"])
+    more = files_frame(spark, [
+        "literal api key assigned in the code = 1\nother line here\nother line here\neval(x)",
+        "other line here\nliteral password assigned in the code = 2", "", "a"])
+    store.add_vectors(store.eligible_texts(some), path, embed, "first")
+    known = store.stored_vectors(spark, path).count()
+    assert known == 2 and store.missing_texts(store.eligible_texts(some), path).count() == 0
+    missing = [r.text for r in store.missing_texts(store.eligible_texts(more), path).collect()]
+    assert len(missing) == len(set(missing)) and "other line here" in missing \
+        and "literal api key assigned in the code = 1" not in missing
+    for _ in range(2):  # the second time nothing is missing
+        store.add_vectors(store.eligible_texts(more), path, embed, "second")
+    assert store.stored_vectors(spark, path).count() == known + len(missing)
+
+    found = sorted(str(r) for r in scan(more, embed=embed, store=path).collect())
+    assert found == sorted(str(r) for r in scan(more, embed=embed).collect())
+    assert any("semantic" in r for r in found)
+    assert store.stored_vectors(spark, str(tmp_path / "none")).count() == 0
