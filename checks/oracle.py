@@ -597,6 +597,9 @@ GROUP BY f.lang""",
         "learning_rounds": f"""WITH {all_raw}, {kept()}, {merged()}
 SELECT CAST(i AS INTEGER) AS iteration, count(*) AS findings, count(*) AS examples,
        count(*) AS label_sum FROM merged, range(1, 4) r(i) GROUP BY i""",
+        "incremental_findings": report(
+            f"SELECT doc_id, lang, path, CASE WHEN doc_id % 3 = 0 THEN 'eval(new)' || chr(10) "
+            f"ELSE '' END || content AS content FROM ({corpus_sql()}) c"),
         "changed_file_scan": report(
             f"SELECT * FROM ({corpus_sql()}) c WHERE path IN "
             f"(SELECT {path_sql('(doc_id + 1)')} FROM documents)"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +33,7 @@ from flawsieve.plans.scan import merged_findings as findings_of
 from flawsieve.sources.files import (changed_files, decoded_files, list_directory, read_listed,
                                      skipped, source_files)
 from flawsieve.sources.staging import staged, staging_folder
+from flawsieve.streaming.incremental import current_findings, incremental_scan
 
 from .corpus import corpus, path_of, table
 
@@ -497,6 +500,25 @@ def changed_file_scan(spark, sf_dir):
     return _sources(scan(files)).select(*REPORT_COLUMNS)
 
 
+def incremental_findings(spark, sf_dir):
+    """Versions of files in two micro-batches: the second one changes a third of the files, and
+    repeats another third; the findings are those of the last versions."""
+    folder = staging_folder(spark)
+    files = corpus(spark, sf_dir)
+    first = files.select("path", "content", F.lit(1).cast("long").alias("version"))
+    second = files.where("doc_id % 3 < 2").select("path", F.when(
+        F.col("doc_id") % 3 == 0, F.concat(F.lit("eval(new)\n"), "content")).otherwise(
+        F.col("content")).alias("content"), F.lit(2).cast("long").alias("version"))
+    stream = spark.readStream.schema(first.schema).parquet(f"{folder}/arriving/*")
+    for number, rows in enumerate((first, second)):
+        rows.write.parquet(f"{folder}/arriving/{number}")
+        query = incremental_scan(stream, f"{folder}/out", checkpoint=f"{folder}/state",
+                                 name=f"incremental_{os.path.basename(folder)}_{number}",
+                                 available_now=True)
+        query.awaitTermination()
+    return _sources(current_findings(spark, f"{folder}/out")).select(*REPORT_COLUMNS)
+
+
 def request_batch(spark, sf_dir):
     """One request per document, of each kind in turn."""
     documents = table(spark, sf_dir, "documents")
@@ -535,5 +557,5 @@ QUERIES = {f.__name__: f for f in (
     prompt_window,
     prompt_window_join, prompt_render, prompt_export, stub_analysis, response_parse,
     analysis_routing, analysed_report, training_set, training_roundtrip, known_pattern_summary, findings_history,
-    learning_rounds, changed_file_scan, request_batch,
+    learning_rounds, changed_file_scan, incremental_findings, request_batch,
 )}
