@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..catalogue import DEFAULT_CATALOGUE
 from ..operators.report import COUNTED, severity_counts
 from ..sources.files import is_source_file
+from ..sources.staging import staged
 from .scan import scan
 
 REQUEST_SCHEMA = ("method string, params struct<file_path:string,file_content:string,"
@@ -76,37 +77,40 @@ def _targets(path: Column, source: Column) -> Column:
 
 def answer_requests(requests: DataFrame, files: DataFrame, catalogue=DEFAULT_CATALOGUE,
                     request: str = "request") -> DataFrame:
-    """One row per request: its error, or the counts of its report."""
-    parsed = parse_requests(requests, request)
-    valid = parsed.where("error IS NULL")
-
-    inline = valid.where("content IS NOT NULL").select(
-        F.col("request_id"), F.col("file").alias("path"), "content")
-    inline_counts = (
-        scan(inline, catalogue, keep=("request_id",))
-        .groupBy("request_id")
-        .agg(F.count("*").alias("total_findings"), *severity_counts()))
-    inline_answers = inline.select("request_id").join(inline_counts, "request_id", "left") \
-        .withColumn("files_scanned", F.lit(1).cast("long"))
+    """One row per request: its error, or the counts of its report.
 
+    Requests are parsed once, and each text that is asked for, in a request or a file, is scanned
+    once, in one scan.  All the rest is done on the small tables of requests, paths and counts; a
+    directory, also the one of all files, is summed up in each task before anything is shuffled.
+    """
+    parsed = staged(parse_requests(requests, request))
+    valid = parsed.where("error IS NULL")
+    inline = valid.where("content IS NOT NULL")
     lookups = valid.where("content IS NULL").select("request_id", "kind", "target")
     asked = lookups.select("kind", "target").distinct()
     size = F.col("size") if "size" in files.columns else F.octet_length("content")
-    offered = files.withColumn("_targets", _targets(
-        F.col("path"), is_source_file(F.col("path"), size)))
+    source = is_source_file(F.col("path"), size)
     # Which files are asked for is settled on paths; texts only pass the semi join, and Spark
     # picks that join by the measured number of paths.
-    met = offered.select("path", F.inline("_targets")).join(asked, ["kind", "target"])
-    per_target = met.groupBy("kind", "target").agg(F.count("*").alias("files_scanned"))
-    wanted = offered.join(met.select("path"), "path", "left_semi")
-    # The scan counts per target; single findings are neither joined nor shuffled.
-    found = (
-        scan(wanted, catalogue, keep=("_targets",))
-        .select("severity", F.inline("_targets"))
-        .groupBy("kind", "target")
-        .agg(F.count("*").alias("total_findings"), *severity_counts()))
-    looked_up = (lookups.join(per_target, ["kind", "target"], "left")
-                 .join(found, ["kind", "target"], "left"))
+    met = staged(files.select("path", F.inline(_targets(F.col("path"), source))).join(
+        asked, ["kind", "target"]))
+    request_id = parsed.schema["request_id"].dataType
+    texts = files.select(
+        F.lit(None).cast(request_id).alias("request_id"), F.col("path").alias("key"), "path",
+        "content").join(met.select("path"), "path", "left_semi").unionByName(inline.select(
+            "request_id", F.lit(None).cast("string").alias("key"), F.col("file").alias("path"),
+            "content"))
+    counts = staged(scan(texts, catalogue, keep=("request_id", "key")).groupBy(
+        "request_id", "key").agg(F.count("*").alias("total_findings"), *severity_counts()))
+    inline_answers = inline.select("request_id").join(
+        counts.where("key IS NULL").drop("key"), "request_id", "left").withColumn(
+        "files_scanned", F.lit(1).cast("long"))
+    # A path that several files have is one key of the counts.
+    paths = met.groupBy("kind", "target", "path").agg(F.count("*").alias("n"))
+    found = paths.join(counts.where("key IS NOT NULL").select(
+        F.col("key").alias("path"), *_COUNTS), "path", "left").groupBy("kind", "target").agg(
+        *[F.sum(c).alias(c) for c in _COUNTS], F.sum("n").alias("files_scanned"))
+    looked_up = lookups.join(found, ["kind", "target"], "left")
 
     answers = inline_answers.select("request_id", *_COUNTS, "files_scanned").unionByName(
         looked_up.select("request_id", *_COUNTS, "files_scanned"))
