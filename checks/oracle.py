@@ -14,6 +14,7 @@ from flawsieve.functions.context import (MAX_REASONS, NEUTRAL, NOT_A_LITERAL, SI
                                          STRONG_ALGORITHMS, TRUSTED_MARKERS)
 from flawsieve.functions.prompts import ANSWER_FORMAT
 from flawsieve.operators import linewise
+from flawsieve.operators.similarity import DETECTOR_THRESHOLD, PATTERN_THRESHOLD
 from flawsieve.sources.files import EXTENSIONS, IGNORED_NAMES, MAX_FILE_SIZE
 
 from .corpus import corpus_sql, path_sql, quoted
@@ -112,7 +113,7 @@ def kept(source: str = "raw") -> str:
     return f"""
 kept AS (SELECT *, CASE lane WHEN 'rule' THEN 0 ELSE 1 END AS lane_rank FROM {source}
          QUALIFY lane = 'rule' OR row_number() OVER (
-             PARTITION BY file, line, finding_type, pattern, lane ORDER BY seq) = 1),
+             PARTITION BY file, line, finding_type, pattern, lane = 'rule' ORDER BY seq) = 1),
 last_type AS (SELECT file, line, max_by(finding_type, (lane_rank, seq)) AS scored_type
               FROM kept GROUP BY file, line),
 scored AS (SELECT l.file, l.line, l.scored_type, {score_sql('l.scored_type', 'f.low')}
@@ -350,6 +351,64 @@ LEFT JOIN per_file p ON p.file = CASE WHEN kind <= 1 THEN 'r' || request_id
 LEFT JOIN folders d ON kind = 4 AND d.folder = r.folder"""
 
 
+def similar_lines(eligible: str, patterns: list[tuple]) -> str:
+    """CTEs to ``alike (text, ord, name, finding_type, severity, similarity)``: the cosine of
+    each different line with each pattern ``(name, type, severity, text)``, by the counts of hashed
+    trigrams of letters and digits."""
+    def counts(texts):
+        return f"""(SELECT id, h, count(*) AS n FROM (
+  SELECT id, (961 * ascii(w[i]) + 31 * ascii(w[i + 1]) + ascii(w[i + 2])) % 256 AS h
+  FROM (SELECT id, w, unnest(range(1, length(w) - 1)) AS i FROM (
+    SELECT id, regexp_replace(' ' || lower(text) || ' ', '[^a-z0-9]+', ' ', 'g') AS w
+    FROM {texts}) a) b) c GROUP BY id, h)"""
+
+    rows = ", ".join(f"({i}, {quoted(n)}, {quoted(t)}, {quoted(s)}, {quoted(d)})"
+                     for i, (n, t, s, d) in enumerate(patterns, 1))
+    return f"""{file_lines_sql()},
+described AS (SELECT * FROM (VALUES {rows}) d(id, name, finding_type, severity, text)),
+texts AS (SELECT row_number() OVER () AS id, text FROM (
+  SELECT DISTINCT text FROM lines WHERE {eligible}) t),
+lc AS {counts('texts')}, pc AS {counts('described')},
+ln AS (SELECT id, sqrt(sum(n * n)) AS norm FROM lc GROUP BY id),
+pn AS (SELECT id, sqrt(sum(n * n)) AS norm FROM pc GROUP BY id),
+products AS (SELECT lc.id, pc.id AS ord, sum(lc.n * pc.n) AS dot
+             FROM lc JOIN pc USING (h) GROUP BY lc.id, pc.id),
+alike AS (SELECT t.text, ord, name, finding_type, severity,
+                   CAST(dot AS DOUBLE) / (ln.norm * pn.norm) AS similarity
+            FROM products p JOIN ln ON ln.id = p.id JOIN pn ON pn.id = ord
+            JOIN texts t ON t.id = p.id JOIN described d ON d.id = ord)"""
+
+
+def semantic_sql() -> str:
+    patterns = [(p.name, p.finding_type, p.severity, p.text) for p in cat.SEMANTIC_PATTERNS]
+    eligible = ("length(text) >= 10 AND NOT starts_with(text, '#') "
+                "AND NOT starts_with(text, '\"\"\"')")
+    return f"""WITH {raw()}, {similar_lines(eligible, patterns).replace('files AS', 'files2 AS')},
+both_lanes AS (SELECT * FROM raw UNION ALL
+  SELECT file, 'semantic', ord, 1, name, finding_type, severity, substring(text, 1, 100), line,
+         similarity, FALSE, 1000000000000000000 + ord
+  FROM lines JOIN alike USING (text) WHERE similarity > {PATTERN_THRESHOLD}),
+{kept('both_lanes')}, {merged()}
+SELECT {REPORT} FROM merged m JOIN scored s ON m.file = s.file AND m.line = s.line"""
+
+
+def detector_sql() -> str:
+    patterns = [("", t, "", d) for t, ds in cat.DETECTOR_DESCRIPTIONS.items() for d in ds]
+    eligible = "length(text) >= 5 AND NOT starts_with(text, '#') AND NOT starts_with(text, '//')"
+    critical = "'Secrets Leak', 'SQL Injection', 'Injection', 'Insecure Deserialization'"
+    high = "'Command Injection', 'Path Traversal', 'SSRF', 'XSS'"
+    return f"""WITH {similar_lines(eligible, patterns)},
+best AS (SELECT text, min_by(finding_type, (-similarity, ord)) AS finding_type,
+                max(similarity) AS similarity FROM alike GROUP BY text
+         HAVING max(similarity) > {DETECTOR_THRESHOLD})
+SELECT file, line, substring(text, 1, 80) AS evidence, finding_type,
+       CASE WHEN finding_type IN ({critical}) THEN 'Critical' WHEN finding_type IN ({high})
+            THEN 'High' ELSE 'Medium' END AS severity,
+       round(similarity, 6) AS confidence, 'semantic' AS method
+FROM lines JOIN best USING (text)
+UNION ALL BY NAME SELECT * FROM ({keyword_sql()}) k"""
+
+
 TREE = f"""SELECT CASE WHEN doc_id % 3 = 0 THEN 'wide/mod_' || doc_id || '.py'
             ELSE 'deep/' || repeat('d/', (doc_id // 3) % 12)
                  || CASE WHEN doc_id % 30 = 1 THEN 'node_modules/' ELSE '' END || 'mod_' || doc_id
@@ -528,6 +587,8 @@ FROM merged m LEFT JOIN (VALUES {classify})
 SELECT file, line, finding_type, CASE finding_type {alternatives} ELSE '' END
        AS safe_alternatives FROM merged""",
         "keyword_lines": keyword_sql(),
+        "semantic_report": semantic_sql(), "embedding_store": semantic_sql(),
+        "detector_scan": detector_sql(),
         "cosine_threshold": f"""WITH {CENTROIDS}
 SELECT vec_id, ord, round(similarity, 6) AS similarity FROM sims WHERE similarity > 0.2""",
         "cosine_best": f"""WITH {CENTROIDS}
