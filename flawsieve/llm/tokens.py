@@ -1,9 +1,10 @@
-"""Token ids of whole texts inside Python workers, with the tokenizers library.
+"""Token ids of whole texts inside Python workers.
 
-A text is cut before each single space that stands between two other characters.  The
-byte-level split pattern never joins a visible character to a space after it, and looks ahead
-only within white space, so the pieces can be encoded one by one: the ids of the text are the
-ids of its pieces in a row.  Most pieces repeat, and a worker remembers those that it has seen.
+A text is cut where the byte-level split pattern always cuts: a text of Latin-1 characters into the
+pattern's own words, any other before each single space that stands between two visible
+characters, as the pattern never joins a visible character to a space after it and looks ahead only
+within white space.  So the ids of the text are the ids of its pieces in a row.  Most pieces repeat,
+and a worker remembers those that it has seen.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ import json
 import os
 import re
 from collections.abc import Callable, Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 
@@ -21,87 +23,95 @@ REMEMBERED, LONGEST = 500_000, 48
 SHARE = 2_000_000
 # Pieces that are encoded as one text.
 JOINED = 256
+# The format's split pattern, with its classes of letters, numbers and white space
+# written out for Latin-1.
+_L, _N, _S = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼½¾", "\\t-\\r \\x85\\xa0"
+LATIN_SPLIT = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|"
+                         f"[{_S}]+(?![^{_S}])|[{_S}]+")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
+_ONE_WORD = re.compile(r" ?\S+")
 
 
-class _Known(dict):
-    """Ids of pieces.  One that is new is noted, and has None; one of the generation before is
-    taken over."""
+def is_latin(text: str) -> bool:
+    if text.isascii():
+        return True
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
 
-    def __init__(self, before: dict[str, bytes]):
-        self.before, self.new = before, set()
 
-    def __missing__(self, piece: str) -> bytes | None:
-        ids = self.before.get(piece)
-        if ids is None:
-            self.new.add(piece)
-        else:
-            self[piece] = ids
-        return ids
+class _Known(dict):
+    """Numbers pieces as they come.  ``ids`` has those of all numbered pieces in a row, but for the
+    ``new`` ones at the end."""
+
+    def __init__(self):
+        self.new: list[str] = []
+        self.count = 0
+        self.ids, self.sizes, self.starts = (np.zeros(0, t) for t in ("<u4", np.int64, np.int64))
+
+    def __missing__(self, piece: str) -> int:
+        number = self[piece] = self.count
+        self.count += 1
+        self.new.append(piece)
+        return number
+
+    def learn(self, ids: list[bytes]) -> None:
+        """The ids of the new pieces; long ones are forgotten again."""
+        self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(ids), "<u4")])
+        self.sizes = np.concatenate([self.sizes, [len(i) // 4 for i in ids]]).astype(np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        for piece in self.new:
+            if len(piece) > LONGEST:
+                del self[piece]
+        self.new = []
+
+    def of(self, piece: str) -> bytes | None:
+        number = self.get(piece)
+        if number is None:
+            return None
+        return self.ids[self.starts[number]:self.starts[number] + self.sizes[number]].tobytes()
 
 
 class PieceEncoder:
     """Ids of texts as little-endian unsigned 32-bit bytes.  ``encode`` gives those of a list of
-    pieces."""
+    pieces; ``added`` are strings that are tokens wherever they stand."""
 
-    def __init__(self, encode: Callable[[list[str]], Iterable[bytes]]):
-        self.encode = encode
-        self.known = _Known({})
+    def __init__(self, encode: Callable[[list[str]], Iterable[bytes]], added: Iterable[str] = ()):
+        self.encode, self.added = encode, tuple(added)
+        self.known, self.before = _Known(), _Known()
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > REMEMBERED:
-            self.known.before = {}
-            self.known = _Known(self.known)
-        look, pieces, ids, found = self.known.__getitem__, [], [], []
-        for text in texts:
-            pieces.append(text.replace(" ", "\0 ").split("\0") if "\0" not in text else ["\0"])
-            ids.append(list(map(look, pieces[-1])))
-        learned = self._learn()
-        for text, parts, known in zip(texts, pieces, ids):
-            try:
-                found.append(b"".join(known))
-            except TypeError:
-                known = [learned.get(p) if i is None else i for p, i in zip(parts, known)]
-                if None in known:
-                    # Other white space than single spaces: cut with care, remember nothing.
-                    known = self.encode([p if i == 0 else " " + p
-                                         for i, p in enumerate(_CUT.split(text))])
-                found.append(b"".join(known))
-        return found
+    def pieces(self, text: str) -> list[str]:
+        if any(a in text for a in self.added):
+            if any(" " in a for a in self.added):
+                return [text]
+        elif is_latin(text):
+            return LATIN_SPLIT.findall(text)
+        first, *others = _CUT.split(text)
+        return [first, *[" " + p for p in others]]
 
-    def _learn(self) -> dict[str, bytes]:
-        """The ids of the new pieces that can stand alone; remembers those that aren't long."""
-        alone = [p for p in self.known.new if _stands_alone(p)]
-        self.known.new.clear()
-        parts = {p: _cut_mark(p) for p in alone}
-        look = self.known.__getitem__
-        ids = {q: i for q in {q for both in parts.values() for q in both}
-               if (i := look(q)) is not None}
-        new = [*self.known.new]
-        self.known.new.clear()
-        ids.update(zip(new, self.encode(new)))
-        ids.update((p, ids[both[0]] + ids[both[1]]) for p, both in parts.items() if len(both) > 1)
-        self.known.update((p, i) for p, i in ids.items() if len(p) <= LONGEST)
-        return ids
-
-
-def _cut_mark(piece: str) -> tuple[str, ...]:
-    """A piece without the marks at its end, and these: the split pattern always cuts between a
-    letter and such a mark.  Other pieces stay whole."""
-    word = piece.rstrip(",.!?;:")
-    if len(word) < len(piece) and word[-1:] < "\u0100" and word[-1:].isalpha():
-        return word, piece[len(word):]
-    return (piece,)
-
-
-def _stands_alone(piece: str) -> bool:
-    """A first piece, or a space and visible characters at both ends."""
-    body = piece[1:] if piece[:1] == " " else piece
-    return piece == "" or bool(body) and not body[0].isspace() \
-        and not body[-1].isspace() and "\0" not in body
-
-
-def _library(path: str) -> Callable[[list[str]], Iterable[bytes]]:
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        if self.known.count > REMEMBERED:
+            self.known, self.before = _Known(), self.known
+        known = self.known
+        pieces = [self.pieces(t) for t in texts]
+        counts = np.array([len(p) for p in pieces], np.int64)
+        at = np.fromiter(map(known.__getitem__, chain.from_iterable(pieces)), np.int64,
+                         count=int(counts.sum()))
+        if known.new:
+            ids = [self.before.of(p) for p in known.new]
+            learned = iter(self.encode([p for p, i in zip(known.new, ids) if i is None]))
+            known.learn([next(learned) if i is None else i for i in ids])
+        # The ids of all pieces in a row, taken from those of the different ones.
+        size = known.sizes[at]
+        ends = np.concatenate([[0], np.cumsum(size)])
+        out = known.ids[np.repeat(known.starts[at] - ends[:-1], size) + np.arange(ends[-1])]
+        stops = ends[np.cumsum(counts)].tolist()
+        return [out[a:b].tobytes() for a, b in zip([0, *stops[:-1]], stops)]
+
+
+def _library(path: str) -> tuple[Callable[[list[str]], Iterable[bytes]], Iterable[str]]:
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
 
@@ -121,27 +131,31 @@ def _library(path: str) -> Callable[[list[str]], Iterable[bytes]]:
         return [np.array(e.ids, dtype="<u4")
                 for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
 
-    def joined(group: list[str]) -> list[bytes]:
-        """Pieces that begin with a space, in a row: their ids follow from the tokens' lengths."""
-        ids = alone(["".join(group)])[0]
-        ends = np.cumsum([len(p.encode()) for p in group])
-        cuts = np.searchsorted(np.cumsum(length[ids]), ends) + 1
+    def joined(group: list[str]) -> Iterator[bytes]:
+        """Words with a line end behind each, which is a piece of its own: their ids follow from
+        the tokens' lengths."""
+        ids = alone(["\n".join(group)])[0]
+        ends = np.cumsum([len(p.encode()) + 1 for p in group])
+        places = np.cumsum(length[ids])
+        stops = np.searchsorted(places, ends - 1) + 1
+        starts = np.searchsorted(places, np.concatenate([[0], ends[:-1]]), side="right")
+        starts[0] = 0
         raw = ids.tobytes()
-        return [raw[4 * a:4 * b] for a, b in zip([0, *cuts[:-1].tolist()], cuts.tolist())]
+        return (raw[4 * a:4 * b] for a, b in zip(starts.tolist(), stops.tolist()))
 
     def encode(pieces: list[str]) -> list[bytes]:
         found: list[bytes] = [b""] * len(pieces)
-        spaced = [i for i, p in enumerate(pieces) if p[:1] == " " and _stands_alone(p)]
-        for at in range(0, len(spaced), JOINED):
-            group = spaced[at:at + JOINED]
+        words = [i for i, p in enumerate(pieces) if _ONE_WORD.fullmatch(p)]
+        for at in range(0, len(words), JOINED):
+            group = words[at:at + JOINED]
             for i, ids in zip(group, joined([pieces[i] for i in group])):
                 found[i] = ids
-        others = sorted(set(range(len(pieces))).difference(spaced))
+        others = sorted(set(range(len(pieces))).difference(words))
         for i, ids in zip(others, alone([pieces[i] for i in others])):
             found[i] = ids.tobytes()
         return found
 
-    return encode
+    return encode, added
 
 
 _ENCODERS: dict[str, PieceEncoder] = {}
@@ -150,7 +164,7 @@ _ENCODERS: dict[str, PieceEncoder] = {}
 def library_encoder(path: str) -> PieceEncoder:
     """The tokenizers library's ids, special strings in a text included; one for each worker."""
     if path not in _ENCODERS:
-        _ENCODERS[path] = PieceEncoder(_library(path))
+        _ENCODERS[path] = PieceEncoder(*_library(path))
     return _ENCODERS[path]
 
 
