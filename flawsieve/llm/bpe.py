@@ -27,15 +27,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .common import id_and_text, ready_workers
-from .tokens import PieceEncoder, shares
+from .tokens import LATIN_SPLIT, PieceEncoder, is_latin, shares
 
-# The format's split pattern, with its classes of letters, numbers and white space
-# written out for Latin-1.
-_L, _N, _S = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼½¾", "\\t-\\r \\x85\\xa0"
-LATIN_SPLIT = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|"
-                         f"[{_S}]+(?![^{_S}])|[{_S}]+")
-# A worker remembers at most so many pairs of tokens, and a quarter as many words.
-MEMO = 1_000_000
+# A worker remembers at most so many pairs of tokens.
+MEMO = 300_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -88,13 +83,12 @@ class Vocabulary:
         self.finder.make_automaton()
         self.compatible_memo: dict[tuple[int, int], bool] = {}
         self.border_memo: tuple[dict, dict] = ({}, {})
-        self.word_memo: dict[str, bytes] = {}
 
     def split(self, text: str) -> list[str]:
         """Words of the split pattern, with one letter for each byte, as the tokens of the file
         have.  Beyond Latin-1 the library splits, so that character classes are those of its
         Unicode version."""
-        if text.isascii() or max(text) < "\u0100":
+        if is_latin(text):
             return [w.translate(self.letters) for w in LATIN_SPLIT.findall(text)]
         return [w for w, _ in self.library_split(text)]
 
@@ -179,15 +173,7 @@ class Vocabulary:
                 if n % 2:
                     ids.append(np.array([self.added[part]], "<u4").tobytes())
                     continue
-                for word in self.split(part):
-                    known = self.word_memo.get(word)
-                    if known is None:
-                        known = np.array(self.encode_word(word), "<u4").tobytes()
-                        if len(word) <= 32:
-                            if len(self.word_memo) >= MEMO // 4:
-                                self.word_memo.clear()
-                            self.word_memo[word] = known
-                    ids.append(known)
+                ids += [np.array(self.encode_word(w), "<u4").tobytes() for w in self.split(part)]
             yield b"".join(ids)
 
     def decode(self, ids: bytes) -> bytes:
@@ -215,7 +201,8 @@ def encoder(path: str) -> PieceEncoder:
     if path not in _ENCODERS:
         with open(path, encoding="utf-8") as f:
             vocabulary(path).prepare(json.load(f)["model"]["merges"])
-        _ENCODERS[path] = PieceEncoder(vocabulary(path).encode)
+        _ENCODERS[path] = PieceEncoder(vocabulary(path).encode,
+                                       vocabulary(path).added)
     return _ENCODERS[path]
 
 
