@@ -95,8 +95,17 @@ def needles_of(catalogue: tuple[Rule, ...]) -> list[str]:
 
 
 def words_in(text: Column, words: list[str]) -> Column:
-    """Which of a fixed list of words occur in a text."""
-    return F.filter(F.lit(words).cast("array<string>"), lambda w: F.contains(text, w))
+    """Which of a fixed list of words occur in a text.  A word with another one of them in it is
+    only looked up if that one occurs."""
+    if not words:
+        return F.array().cast("array<string>")
+    plain = [w for w in words if not any(o != w and o in w for o in words)]
+    longer = [(w, next(o for o in plain if o in w)) for w in words if w not in plain]
+    ordered = F.array(*[F.struct(F.lit(w).alias("word"), F.lit(o).cast("string").alias("part"))
+                        for w, o in [*((w, None) for w in plain), *longer]])
+    return F.aggregate(ordered, F.array().cast("array<string>"), lambda found, w: F.when(
+        (w.part.isNull() | F.array_contains(found, w.part)) & F.contains(text, w.word),
+        F.concat(found, F.array(w.word))).otherwise(found))
 
 
 def matching_rules(content: Column, needles: Column, catalogue: tuple[Rule, ...]) -> Column:
