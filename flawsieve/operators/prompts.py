@@ -14,19 +14,19 @@ def with_window(findings: DataFrame, files: DataFrame) -> DataFrame:
 
     A scan that keeps windows (``scan_lines(window=True)``) needs no such join.  Here the
     wanted lines are gathered per file first, so each file is read once and only the windows,
-    never whole texts, meet the findings.  Spark broadcasts the wanted lines if it measures
-    them to be small.  A file that is not there counts as an empty text.
+    never whole texts, meet the findings.  Wanted lines grow with the findings, so they are merged
+    with the texts and not broadcast.  A file that is not there counts as an empty text.
     """
     wanted = (findings.where(F.col("file").isNotNull()).groupBy("file")
               .agg(F.collect_set("line").alias("wanted")))
     texts = files.select(F.col("path").alias("file"), F.col("content"))
     windows = (
-        texts.join(wanted, "file")
+        texts.join(wanted.hint("merge"), "file")
         .select("file", "wanted", lines_of("content").alias("lines"))
         .select("file", F.inline(F.transform("wanted", lambda line: F.struct(
             line.alias("line"), context_window(F.col("lines"), line).alias("_window"))))))
     nothing = context_window(F.array(F.lit("")), F.col("line"))
-    return findings.join(windows, ["file", "line"], "left").select(
+    return findings.join(windows.hint("merge"), ["file", "line"], "left").select(
         *findings.columns, F.coalesce("_window", nothing).alias("window"))
 
 

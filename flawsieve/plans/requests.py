@@ -90,32 +90,32 @@ def answer_requests(requests: DataFrame, files: DataFrame, catalogue=DEFAULT_CAT
     asked = lookups.select("kind", "target").distinct()
     size = F.col("size") if "size" in files.columns else F.octet_length("content")
     source = is_source_file(F.col("path"), size)
-    # Which files are asked for is settled on paths; texts only pass the semi join, and Spark
-    # picks that join by the measured number of paths.
+    # Which files are asked for is settled on paths; texts only pass the semi join.  Paths
+    # and answers may be as many as the files, so they are merged and not broadcast.
     met = staged(files.select("path", F.inline(_targets(F.col("path"), source))).join(
         asked, ["kind", "target"]))
     request_id = parsed.schema["request_id"].dataType
     texts = files.select(
         F.lit(None).cast(request_id).alias("request_id"), F.col("path").alias("key"), "path",
-        "content").join(met.select("path"), "path", "left_semi").unionByName(inline.select(
+        "content").join(met.select("path").hint("merge"), "path", "left_semi").unionByName(inline.select(
             "request_id", F.lit(None).cast("string").alias("key"), F.col("file").alias("path"),
             "content"))
     counts = staged(scan(texts, catalogue, keep=("request_id", "key")).groupBy(
         "request_id", "key").agg(F.count("*").alias("total_findings"), *severity_counts()))
     inline_answers = inline.select("request_id").join(
-        counts.where("key IS NULL").drop("key"), "request_id", "left").withColumn(
+        counts.where("key IS NULL").drop("key").hint("merge"), "request_id", "left").withColumn(
         "files_scanned", F.lit(1).cast("long"))
     # A path that several files have is one key of the counts.
     paths = met.groupBy("kind", "target", "path").agg(F.count("*").alias("n"))
     found = paths.join(counts.where("key IS NOT NULL").select(
-        F.col("key").alias("path"), *_COUNTS), "path", "left").groupBy("kind", "target").agg(
+        F.col("key").alias("path"), *_COUNTS).hint("merge"), "path", "left").groupBy("kind", "target").agg(
         *[F.sum(c).alias(c) for c in _COUNTS], F.sum("n").alias("files_scanned"))
     looked_up = lookups.join(found, ["kind", "target"], "left")
 
     answers = inline_answers.select("request_id", *_COUNTS, "files_scanned").unionByName(
         looked_up.select("request_id", *_COUNTS, "files_scanned"))
     missing = (F.col("error").isNull() & F.col("files_scanned").isNull())
-    return parsed.join(answers, "request_id", "left").select(
+    return parsed.join(answers.hint("merge"), "request_id", "left").select(
         "request_id", "method",
         F.when(missing & (F.col("kind") == "file"),
                F.concat(F.lit("file not found: "), F.col("target")))

@@ -5,6 +5,7 @@ from collections import Counter
 
 import pytest
 from conftest import files_frame
+from pyspark.sql import functions as F
 
 import model
 from flawsieve.operators import embedding_store as store
@@ -16,6 +17,7 @@ from flawsieve.operators.linewise import merge_detector
 from flawsieve.operators.scoring import score_findings
 from flawsieve.operators.similarity import hashed_ngrams
 from flawsieve.plans.scan import scan
+from flawsieve.sources.staging import staged
 
 SCHEMA = ("file string, line int, lane string, pattern string, finding_type string, "
           "severity string, evidence string, confidence double, needs_escalation boolean, "
@@ -64,6 +66,18 @@ def test_dedup_of_one_hot_key(spark):
     assert [(r.evidence, r.confidence) for r in got] == [("e0", 0.96)]
 
 
+def test_growing_tables_are_not_broadcast(spark, capsys):
+    """However small their files are: Spark takes a table for as large as it is when compressed."""
+    rng = random.Random(4)
+    rows = staged(frame(spark, {f"f{i}": random_findings(rng, 9) for i in range(20)}))
+    scores = rows.select("file", "line", "seq", F.lit(0.5).alias("score"))
+    for joined in (tables.attach_scores(tables.merge(tables.dedup(rows)), scores),
+                   tables.line_scores_or_default(rows, scores)):
+        joined.explain()
+        plan = capsys.readouterr().out
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_merge(spark):
     rng = random.Random(3)
     by_file = {}
