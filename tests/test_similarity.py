@@ -4,10 +4,12 @@ import numpy as np
 import pytest
 from conftest import files_frame
 
+from checks import queries
 from flawsieve import catalogue as cat
 from flawsieve.functions.vectors import array_cosine, masked_mean, mean_vectors
 from flawsieve.operators.nearest import indexed, similar_among_many, visited_blocks
-from flawsieve.operators.similarity import hashed_ngrams, similar_patterns, unit_rows
+from flawsieve.operators.similarity import (_pair_finder, hashed_ngrams, similar_patterns,
+                                             unit_rows)
 from flawsieve.plans.detect import detect
 from pyspark.sql import functions as F
 
@@ -110,6 +112,34 @@ def test_pruning_leaves_pairs_out(spark):
     assert all(len(r.b) == 1 for r in nearest)
 
 
+def test_pairs_in_bounded_memory():
+    """Where all pairs match, their vectors are not laid side by side at once."""
+    import tracemalloc
+
+    v = unit_rows(np.ones((1500, 64)))
+    tracemalloc.start()
+    i, j, sims = _pair_finder(0.5, False)(v, v)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(i) == len(j) == 1500 ** 2 and abs(sims - 1).max() < 1e-9
+    assert peak < 400e6
+
+
+def test_registered_search_copies_few_rows(monkeypatch, spark):
+    """Tiles are large enough that half a million vectors are copied a few times only."""
+    bounds = {}
+    monkeypatch.setattr(queries, "similar_among_many", lambda items, *a, **b: bounds.update(b)
+                        or items.select("vec_id", F.lit(0.0).alias("similarity")))
+    monkeypatch.setattr(queries, "table", lambda spark, *a: spark.createDataFrame(
+        [], "vec_id long, embedding array<float>"))
+    queries.cosine_blocks(spark, "")
+    patterns, items = 500_000, 5_000
+    copies = (patterns * -(-items // bounds["items_a_task"])
+              + items * (bounds["blocks"] + patterns // bounds["patterns_a_task"]))
+    assert copies < 10 * patterns
+    assert bounds["items_a_task"] * bounds["patterns_a_task"] < 10 ** 7
+
+
 def test_search_in_empty_tables(spark):
     none = table(spark, vectors(3, 2), "id").limit(0)
     some = table(spark, vectors(3, 5), "ord")
