@@ -3,7 +3,8 @@
 A frontier of folders is expanded in rounds.  In a round every folder is listed by a task, which
 goes on into the folders below until it has met ``budget`` entries and hands back the folders that
 it has not listed; these are dealt anew.  So a small tree takes one round, and of a large one no
-branch, wide or deep, stays with one task.  Excluded folders are never listed.  A listing says of
+branch, wide or deep, stays with one task.  A local folder is read entry by entry, so a wide one needs
+no more memory than a small one; of others pyarrow lists one folder as a whole.  Excluded folders are never listed.  A listing says of
 every entry what becomes of it, so nothing is left out silently.
 """
 
@@ -47,6 +48,29 @@ def _lister(root: str, ignored: frozenset, budget: int):
         local = isinstance(system, fs.LocalFileSystem)
         base = base.rstrip("/")
 
+        def met_in(here):
+            """``(name, kind, size)`` of the entries of a folder, one at a time where the file
+            system allows; a link to a folder could lead back up, and one may lead nowhere."""
+            full = f"{base}/{here}".rstrip("/")
+            if not local:
+                for info in system.get_file_info(fs.FileSelector(full)):
+                    kind = {fs.FileType.Directory: "folder", fs.FileType.File: "file"}.get(
+                        info.type, "unreadable")
+                    yield info.path.rstrip("/").rsplit("/", 1)[-1], kind, info.size
+                return
+            with os.scandir(full or "/") as found:
+                for entry in found:
+                    try:
+                        if entry.is_dir():
+                            kind = "excluded" if entry.is_symlink() else "folder"
+                            yield entry.name, kind, None
+                        elif entry.is_file():
+                            yield entry.name, "file", entry.stat().st_size
+                        else:
+                            yield entry.name, "unreadable", None
+                    except OSError:
+                        yield entry.name, "unreadable", None
+
         def entries(folder):
             waiting, met = [folder], 0
             while waiting:
@@ -54,33 +78,22 @@ def _lister(root: str, ignored: frozenset, budget: int):
                     yield from ((f, None, "folder") for f in waiting)
                     return
                 here = waiting.pop()
-                full = f"{base}/{here}".rstrip("/")
+                met += 1
                 try:
-                    infos = system.get_file_info(fs.FileSelector(full))
-                    # Links that lead nowhere are no entries to pyarrow.
-                    lost = {*os.listdir(full)} if local else set()
-                except OSError:
-                    yield here, None, "unreadable"
-                    continue
-                met += 1 + len(infos)
-                lost.difference_update(i.base_name for i in infos)
-                yield from ((f"{here}/{n}" if here else n, None, "unreadable")
-                            for n in sorted(lost - ignored))
-                for info in sorted(infos, key=lambda i: i.path):
-                    name = info.path.rstrip("/").rsplit("/", 1)[-1]
-                    path = f"{here}/{name}" if here else name
-                    if name in ignored:
-                        yield path, None, "excluded"
-                    elif info.type == fs.FileType.Directory:
-                        # A link to a folder could lead back up.
-                        if local and os.path.islink(info.path):
+                    for name, kind, size in met_in(here):
+                        met += 1
+                        path = f"{here}/{name}" if here else name
+                        if name in ignored:
                             yield path, None, "excluded"
-                        else:
+                        elif kind != "folder":
+                            yield path, size if kind == "file" else None, kind
+                        # Of many folders in one the rest is handed back at once.
+                        elif len(waiting) < budget:
                             waiting.append(path)
-                    elif info.type == fs.FileType.File:
-                        yield path, info.size, "file"
-                    else:
-                        yield path, None, "unreadable"
+                        else:
+                            yield path, None, kind
+                except OSError:
+                    yield here, None, "unreadable"
 
         chunk = []
         for batch in batches:

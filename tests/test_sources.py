@@ -2,6 +2,8 @@
 
 import json
 import os
+import subprocess
+import sys
 
 import pytest
 from conftest import files_frame
@@ -60,6 +62,27 @@ def test_directory(spark, tmp_path):
     assert read_file(spark, os.path.join(root, "missing")).count() == 0
 
 
+def test_wide_folder_in_little_memory(tmp_path):
+    """A task that lists a wide folder holds one batch of its entries, not all."""
+    for i in range(60_000):
+        open(tmp_path / f"a_file_with_some_longer_name_{i}.py", "w").close()
+    code = f"""
+import resource
+import pandas as pd
+from pyarrow import fs
+from flawsieve.sources.walk import _lister
+walk = _lister({str(tmp_path)!r}, frozenset(), 100)
+pd.DataFrame([("", None, "")] * 10_000, columns=["path", "size", "status"])
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+n = sum(len(b) for b in walk([pd.DataFrame({{"path": [""]}})]))
+print(n, resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before)
+"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True,
+                         cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    listed, kilobytes = map(int, out.stdout.split())
+    assert listed == 60_000 and kilobytes < 15_000
+
+
 @pytest.mark.parametrize("budget", [1, 3, 10_000])
 def test_walk(spark, tmp_path, budget):
     """Every entry is listed once and accounted for, however often a task hands folders back."""
