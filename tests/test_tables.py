@@ -227,3 +227,13 @@ def test_embedding_store(spark, tmp_path):
     assert found == sorted(str(r) for r in scan(more, embed=embed).collect())
     assert any("semantic" in r for r in found)
     assert store.stored_vectors(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_terms_of_a_finding_are_looked_up_once(spark):
+    """The look-up does not stand inside the loop over the weights."""
+    rows = spark.range(3).selectExpr(
+        "'Injection' || id AS finding_type", "'eval(x)' || id AS evidence", "'Low' AS severity",
+        "1 AS line", "'shell' || id AS content")
+    plan = score_findings(rows)._jdf.queryExecution().optimizedPlan().toString()
+    tests = plan.split("array_contains(")[1:]
+    assert tests and all(t.startswith("lambda ") for t in tests)
