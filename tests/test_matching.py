@@ -263,3 +263,46 @@ def test_needles_are_looked_up_once_in_a_select(spark):
     assert plan.first().n > 0
     text = plan._jdf.queryExecution().optimizedPlan().toString()
     assert text.count("Contains(") <= 1
+
+
+def test_leads():
+    """What a match starts with, or None where that can't be told."""
+    from flawsieve.functions.regex import leads
+
+    assert leads(r"(API_KEY|a\.b)\s*=") == (("api_key", "a.b"), False)
+    assert leads(r"\w+\s*=\s*x") == (("=",), True)
+    assert leads(r"(a(b|c)|d)e|fg?") == (("a", "d", "f"), False)
+    assert leads("f\u3010x") == (("f",), False)
+    for pattern in (r"a?b", r"a|", r"(a|b)?c", r"^ab", r"(?<!x)ab", r"(?i)ab", r"\Gab", r"[)(|]x",
+                    r"\w+\s*=|b", r"(x)?(?(1)y|xz)", ""):
+        assert leads(pattern) is None, pattern
+    for rule in cat.DEFAULT_CATALOGUE:
+        found = leads(rule.pattern)
+        flags = re.MULTILINE | (re.IGNORECASE if rule.lane == cat.HEURISTIC else 0)
+        for text in SAMPLES:
+            for match in re.finditer(rule.pattern, text, flags):
+                front = r"\w+\s*" if found and found[1] else ""
+                assert found is None or any(re.match(front + re.escape(w), match.group().lower())
+                                            for w in found[0]), rule
+
+
+def test_passes_begin_where_a_match_may_start(spark):
+    """Text in front of the first lead is not searched by regexes, and lines count on from it."""
+    from flawsieve.operators.matching import folded
+
+    prose = "plain words \u017f\u212a\u0130 \u00c4\U0001f600 of no interest\n" * 50
+    text = prose + "  total \n = base + name + path; EVAL\n(a) + eval(b)"
+    files = files_frame(spark, [("a", text), ("b", "eval(x)\n" + text), ("c", prose)])
+    low = folded(F.col("content"))
+    needles = words_in(low, needles_of(cat.DEFAULT_CATALOGUE))
+    rules = files.select("path", F.explode(matching_rules(
+        F.col("content"), needles, cat.DEFAULT_CATALOGUE, low)).alias("r")).select(
+        "path", "r.name", "r.start").collect()
+    starts = {(r.path, r.name): r.start for r in rules}
+    assert starts["a", "R001"] == starts["a", "eval_usage"] == text.index("EVAL") + 1
+    assert starts["a", "R011"] == text.index("total") + 1
+    assert starts["b", "R001"] == 1 and not any(path == "c" for path, _ in starts)
+    got = sorted((r.file, r.ord, r.k, r.pattern, r.evidence, r.line)
+                 for r in scan_matches(files).collect())
+    assert got == expected_matches({r.path: r.content for r in files.collect()},
+                                   cat.DEFAULT_CATALOGUE)
