@@ -306,3 +306,17 @@ def test_passes_begin_where_a_match_may_start(spark):
                  for r in scan_matches(files).collect())
     assert got == expected_matches({r.path: r.content for r in files.collect()},
                                    cat.DEFAULT_CATALOGUE)
+
+
+def test_a_lead_is_looked_for_once(spark):
+    """Rules with the same lead share its place, and a lead that does not occur has none."""
+    from flawsieve.operators.matching import folded, lead_places, rule_array
+
+    shared = tuple(cat.with_needles(cat.Rule(f"T{i}", p, "T", "Low"), "eval") for i, p in
+                   enumerate((r"eval\(", r"eval\s", r"(?:eval|gone)x")))
+    words = needles_of(shared)
+    assert words == ["eval", "eval(", "gone"]
+    low = folded(F.col("content"))
+    got = files_frame(spark, ["\U0001f600 EVAL eval(x"]).select(
+        lead_places(low, rule_array(shared), words_in(low, words)).alias("p")).first().p
+    assert [tuple(p) for p in got] == [("eval(", 8), ("eval", 3)]
